@@ -30,7 +30,8 @@ def heavy_digests(keys: DataFrame, max_heavy: int, tracked: int, parts: int) ->
     by_part = keys.groupBy(F.pmod(F.spark_partition_id(), F.lit(parts)).alias("p")).agg(
         F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("sketch")
     )
-    top = by_part.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {max_heavy})").alias("top"))
+    # grouped by a constant, as combine can't merge the empty buffers that partitions without rows give an ungrouped aggregate
+    top = by_part.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {max_heavy})").alias("top"))
     return top.select(F.explode("top").alias("t")).select(F.col("t.item").alias("h"), F.col("t.count").alias("about"))
 
 

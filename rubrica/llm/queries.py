@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, licenses, matroska, secrets, warc
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+    return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_secret_scan": secrets.op3_secret_scan,
+        "op8_matroska": matroska.op8_matroska,
+        "op9_license_scan": licenses.op9_license_scan,
+        "op10_warc": warc.op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op10_warc": warc.OP10_SQL}
