@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from .common import scratch_dir, table
+from .common import scratch_dir, table, written
 
 END = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -211,16 +211,20 @@ def one_line(column):
     return F.regexp_replace(column.cast("string"), r"[\r\n]+", " ")
 
 
-def with_originals(pages: DataFrame, least: int = 1000) -> DataFrame:
+def with_originals(pages: DataFrame, least: int = 1000, broadcast_rows: int = 500_000) -> DataFrame:
     """``pages`` (page_id, url, html) with digest, size and refers_to: the record with the same payload, or null.
 
-    Groups of equal payloads are counted map-side; only digests that repeat are joined back, and a hot one among them is
-    split by adaptive execution.
+    Groups of equal payloads are counted map-side, and only digests that repeat are joined back. Up to ``broadcast_rows``
+    of them (about 60 bytes each) are broadcast, so that no payload is shuffled; more go through a shuffled join, where
+    adaptive execution splits a hot digest.
     """
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"digest": F.sha1("html"), "size": F.octet_length("html").cast("long")})
     repeated = (
         keyed.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "original")
     )
+    repeated = written(repeated)
+    if repeated.count() <= broadcast_rows:
+        repeated = F.broadcast(repeated)
     joined = keyed.join(repeated, "digest", "left")
     other = (F.col("size") >= least) & (F.coalesce("page_id", F.lit(-1)) != F.col("original"))
     return joined.withColumn("refers_to", F.when(other, F.col("original"))).drop("original")
