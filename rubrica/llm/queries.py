@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, matroska, secrets, warc
+from . import bpe, exact_dedup, licenses, matroska, packing, secrets, warc
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_secret_scan": secrets.op3_secret_scan,
+        "op4_bpe": bpe.op4_bpe,
+        "op6_packing": packing.op6_packing,
         "op8_matroska": matroska.op8_matroska,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_warc": warc.op10_warc,
