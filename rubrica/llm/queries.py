@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, matroska, packing, secrets, warc
+from . import bpe, exact_dedup, licenses, matroska, packing, secrets, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_bpe": bpe.op4_bpe,
         "op6_packing": packing.op6_packing,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_matroska": matroska.op8_matroska,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_warc": warc.op10_warc,
