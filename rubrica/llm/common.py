@@ -41,6 +41,13 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows for the session, so that long texts can't fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into runs of rows with about ``max_bytes`` of ``column`` each; one long text makes a run of its own."""
     for batch in batches:
@@ -67,6 +74,7 @@ def arrow_map(df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.R
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     spark_schema = StructType.fromDDL(schema)
     arrow_schema = to_arrow_schema(spark_schema)
     return df.select(*columns).mapInArrow(run, spark_schema)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import shared_model
-from .common import slices, table, texts_of
+from .common import slices, small_batches, table, texts_of
 
 LENGTH = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -103,6 +103,7 @@ def pack(df: DataFrame, path: str, text: str = "text", id_column: str = "doc_id"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     shared = shared_model(df.sparkSession, path, df, text)
     schema = StructType.fromDDL(f"{id_column} {df.schema[id_column].dataType.simpleString()}, {PIECES}")
     arrow = to_arrow_schema(schema)

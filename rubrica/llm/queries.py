@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, matroska, packing, secrets, toxicity, warc
+from . import bpe, exact_dedup, licenses, matroska, near_dedup, packing, secrets, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_bpe": bpe.op4_bpe,
         "op6_packing": packing.op6_packing,
