@@ -1,6 +1,6 @@
 """MinHash near-dedup with b-bit signatures, confirmed on full shingle sets.
 
-1. Each text becomes its set of word shingles (64-bit hashes), ``BANDS`` band keys of ``ROWS`` minima each, and the lowest
+1. Each text becomes its set of word shingles (64-bit hashes), a few dozen band keys of some minima each, and the lowest
    ``BITS`` bits of all minima, packed to bit planes. Texts with equal sets form a class, which one row stands for.
 2. Members of a band bucket are candidates. Buckets are never paired out: a first round links members with the bucket's
    smallest one; later rounds look only at buckets that still hold several components, in blocks of bounded size whose
@@ -10,7 +10,7 @@
 4. Confirmed links are contracted to components by joins. Pairs inside one component need no further look, as they can't
    change the result; all others that share a bucket are looked at, so no bucket is capped.
 
-A pair at the threshold shares no bucket with a chance of about 1e-6. Null and empty texts have no shingles and are linked
+A pair at the threshold shares no bucket with a chance of at most ``MISS``. Null and empty texts have no shingles and are linked
 with nothing. Rows with a null id are linked with nothing, have a null component and are kept. Rows that share an id count
 as one document. An empty table gives an empty result.
 """
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, dropped, small_batches, slices, table, written
 
-BANDS, ROWS, BITS = 36, 7, 2
+BITS = 2
 PERMUTATIONS = 256
+#: The chance that a pair at the threshold shares no bucket is at most this.
+MISS = 1e-5
 MARGIN = 0.13
 BLOCK = 256
 PLANES = BITS * PERMUTATIONS // 64
@@ -97,10 +99,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
-    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None] << np.uint64(40), len(minima), 0)
-    for r in range(ROWS):
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + minima[:, r : BANDS * ROWS : ROWS].astype(np.uint64))
+def rows_a_band(threshold: float) -> int:
+    """The most minima a band may have, as the bands that the permutations give then miss a pair at most rarely."""
+    return max((r for r in range(1, 17) if (1 - threshold**r) ** (PERMUTATIONS // r) <= MISS), default=1)
+
+
+def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
+    bands = PERMUTATIONS // rows
+    keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None] << np.uint64(40), len(minima), 0)
+    for r in range(rows):
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + minima[:, r : bands * rows : rows].astype(np.uint64))
     return keys.view(np.int64)
 
 
@@ -117,7 +125,7 @@ def similarity(same: np.ndarray) -> np.ndarray:
     return (same - chance) / (1 - chance)
 
 
-def described(df: DataFrame, text: str, id_column: str, k: int) -> DataFrame:
+def described(df: DataFrame, text: str, id_column: str, k: int, rows: int) -> DataFrame:
     """Per row: the id, n_shingles, cls (key of its set), planes, bands; the last three null without shingles."""
 
     def part(batch: pa.RecordBatch) -> dict:
@@ -126,7 +134,7 @@ def described(df: DataFrame, text: str, id_column: str, k: int) -> DataFrame:
         planes, bands = [None] * len(sets), [None] * len(sets)
         if full:
             minima = signatures([sets[i] for i in full])
-            for i, p, b in zip(full, packed(minima), band_keys(minima), strict=True):
+            for i, p, b in zip(full, packed(minima), band_keys(minima, rows), strict=True):
                 planes[i], bands[i] = p, b
         return {
             "id": batch.column("__i"), "n_shingles": [len(s) for s in sets],
@@ -289,7 +297,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     id is its smallest document id.
     """
     least = percent / 100 - MARGIN
-    docs = written(described(df, text, id_column, k))
+    docs = written(described(df, text, id_column, k, rows_a_band(percent / 100)))
     known = docs.where("cls IS NOT NULL AND id IS NOT NULL")
     reps = written(
         known.groupBy("cls").agg(F.min("id").alias("node"), F.min_by("n_shingles", "id").alias("n_shingles"), F.min_by(F.struct("planes", "bands"), "id").alias("s"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table, texts_of
+from .common import arrow_map, small_batches, table, texts_of
 
 #: Fixed values of the contract.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -149,6 +149,7 @@ def redact_secrets(df: DataFrame, text: str = "text", length: str | None = "n_ch
     def clean(texts):
         return texts.map(lambda t: t if t is None else redacted(t))
 
+    small_batches(df.sparkSession)
     out = df.withColumn(text, clean(F.col(text)))
     if length in df.columns:
         out = out.withColumn(length, F.char_length(F.col(text)).cast(df.schema[length].dataType))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LETTER, character_classes, cut
-from .common import arrow_map, table, texts_of
+from .common import SLICE_BYTES, arrow_map, small_batches, table, texts_of
 
 WINDOW, STRIDE = 48, 32
 DIM, HIDDEN = 16, 12
@@ -296,24 +296,24 @@ def score_texts(df: DataFrame, network: Network | None, text: str = "text", id_c
 def drop_toxic(df: DataFrame, network: Network | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` without the rows whose text scores ``threshold`` or more."""
     held = df.sparkSession.sparkContext.broadcast(network)
-
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        values = [t or "" for t in texts]
-        if not held.value:
-            return pd.Series(np.zeros(len(values)))
-        out, start, size = [], 0, 0
-        for i, t in enumerate(values):
-            size += len(t)
-            if size > 2 << 20:
-                out.append(held.value.score(values[start : i + 1]))
-                start, size = i + 1, 0
-        out.append(held.value.score(values[start:]) if start < len(values) else np.zeros(0))
-        return pd.Series(np.concatenate(out))
-
-    return df.where(score(F.col(text)) < threshold)
+    if network is None:
+        return df
+    small_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            keep, start, size = [], 0, 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size > SLICE_BYTES or i + 1 == len(texts):
+                    keep.append(held.value.score(texts[start : i + 1]) < threshold)
+                    start, size = i + 1, 0
+            if keep:
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(np.concatenate(keep))).columns, schema=batch.schema)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def op7_toxicity(spark, sf_dir) -> DataFrame:
