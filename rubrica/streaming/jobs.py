@@ -67,20 +67,37 @@ def append_unseen(path: str, keys: list[str]) -> Callable[[DataFrame, int], None
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        try:
-            seen = spark.read.parquet(path).select(*keys)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            seen = None
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        seen = spark.read.parquet(path).select(*keys) if there else None
         (fresh if seen is None else fresh.join(seen, keys, "left_anti")).write.mode("append").parquet(path)
 
     return sink
 
 
-def run_available(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that is available now, through the memory sink: for tests and small results."""
+def run_available(stream: DataFrame, folder: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream gives for the data that is there now, through files in ``folder`` (shared by all executors).
+
+    In the update mode, ``keys`` name a row, whose last version counts.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("__batch", F.lit(batch_id)).write.mode("append").parquet(f"{folder}/rows")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer.foreachBatch(sink).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/rows")
+    if keys:
+        last = rows.groupBy(*keys).agg(F.max("__batch").alias("__batch"))
+        rows = rows.join(last, [*keys, "__batch"])
+    return rows.drop("__batch")
+
+
+def read_stream(spark, path: str) -> DataFrame:
+    """A Parquet table as a stream of its files; a table of one file streams from the folder that it is in."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(path.rsplit("/", 1)[0])
+    return reader.parquet(path)
