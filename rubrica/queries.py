@@ -6,7 +6,7 @@ import importlib
 
 from .plans.registry import ORACLES, QUERIES
 
-MODULES = ["text_queries", "dedup_queries", "vector_queries", "grading_queries", "trace_queries"]
+MODULES = ["text_queries", "dedup_queries", "vector_queries", "grading_queries", "trace_queries", "curate_queries", "workflows"]
 for _name in MODULES:
     importlib.import_module(f".plans.{_name}", __package__)
 
