@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 # Words whose lines don't count as a text's first, and the words that open a question or a request.
 GREETINGS = ["hi", "hello", "hey", "greetings", "thanks", "thank", "dear"]
@@ -54,11 +55,14 @@ def clean_markdown(c: Column) -> Column:
 
 
 def first_word(c: Column) -> Column:
-    """First word, lower case, of the first line that is neither empty, code nor a short greeting; else empty."""
+    """First word, lower case, of the first line that is neither empty nor a short greeting; else empty.
+
+    Leading brackets go before a line is judged, so a line ``[code]`` counts, as the word ``code``.
+    """
     bare = F.transform(lines(c), lambda x: F.regexp_replace(F.regexp_replace(stripped(x), r"^[*_`]+|[*_`]+$", ""), r"^[\[\]() .]+", ""))
     word = lambda x: F.lower(F.regexp_extract(x, r"^[A-Za-z']+", 0))
     greeting = lambda x: word(x).isin(GREETINGS) & (F.char_length(x) <= GREETING_CHARS)
-    said = F.filter(bare, lambda x: (x != "") & (x != "[code]") & ~greeting(x))
+    said = F.filter(bare, lambda x: (x != "") & ~greeting(x))
     return F.coalesce(F.get(F.transform(said, word), F.lit(0)), F.lit(""))
 
 
@@ -120,7 +124,7 @@ def fenced_blocks(c: Column) -> Column:
     return F.struct(F.size(bodies).alias("blocks"), longest.alias("longest"), outside.alias("outside"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def syntax_ok(programs):
     """Whether each program parses as Python; nothing is executed. Null and unparsable programs are false."""
     import ast

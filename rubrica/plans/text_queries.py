@@ -18,7 +18,7 @@ NORM = r"trim(regexp_replace(lower(coalesce({}, '')), '\s+', ' ', 'g'))"
 FIRST = (
     r"coalesce(list_transform(list_filter(list_transform(regexp_split_to_array(coalesce({0}, ''), '\r?\n'), "
     r"lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^[*_`]+|[*_`]+$', '', 'g'), '^[\[\]() .]+', '')), "
-    r"lambda x: x <> '' AND x <> '[code]' AND NOT (lower(regexp_extract(x, '^[A-Za-z'']+')) IN ('hi','hello','hey','greetings','thanks','thank','dear') AND length(x) <= 60)), "
+    r"lambda x: x <> '' AND NOT (lower(regexp_extract(x, '^[A-Za-z'']+')) IN ('hi','hello','hey','greetings','thanks','thank','dear') AND length(x) <= 60)), "
     r"lambda x: lower(regexp_extract(x, '^[A-Za-z'']+')))[1], '')"
 )
 LEAD = ", ".join(f"'{w}'" for w in text.LEAD_WORDS)
