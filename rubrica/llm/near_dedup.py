@@ -6,6 +6,8 @@
    smallest one; later rounds look only at buckets that still hold several components, in blocks of bounded size whose
    pairs are compared by bit counts: first each member's best partner, then all partners left. A pair goes on if its
    collision-corrected similarity is no more than ``MARGIN`` below the threshold; few pairs at the threshold lie lower.
+   In the later rounds it must also pass a bound that no linked pair fails: a bit that only one set's bitmap has stands
+   for at least one shingle that the other set lacks.
 3. Candidates are confirmed on the full sets, from the texts, next to their leader; leaders of many pairs are salted.
 4. Confirmed links are contracted to components by joins. Pairs inside one component need no further look, as they can't
    change the result; all others that share a bucket are looked at, so no bucket is capped.
@@ -33,7 +35,9 @@ PERMUTATIONS = 256
 #: The chance that a pair at the threshold shares no bucket is at most this.
 MISS = 1e-5
 MARGIN = 0.13
-BLOCK = 256
+BLOCK = 1024
+#: Bits of a set's bitmap, whose differences bound an overlap from above.
+MAP_BITS = 2048
 PLANES = BITS * PERMUTATIONS // 64
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -119,6 +123,15 @@ def packed(minima: np.ndarray) -> np.ndarray:
     return np.concatenate(planes, 1)
 
 
+def bitmaps(sets: list[np.ndarray]) -> list[bytes]:
+    out = []
+    for s in sets:
+        bits = np.zeros(MAP_BITS, np.uint8)
+        bits[(s >> np.uint64(64 - MAP_BITS.bit_length() + 1)).astype(np.int64)] = 1
+        out.append(np.packbits(bits).tobytes())
+    return out
+
+
 def similarity(same: np.ndarray) -> np.ndarray:
     """Similarity by the share of equal low bits, corrected for chance collisions."""
     chance = 0.5**BITS
@@ -126,23 +139,23 @@ def similarity(same: np.ndarray) -> np.ndarray:
 
 
 def described(df: DataFrame, text: str, id_column: str, k: int, rows: int) -> DataFrame:
-    """Per row: the id, n_shingles, cls (key of its set), planes, bands; the last three null without shingles."""
+    """Per row: the id, n_shingles, cls (key of its set), planes, bands, bits (its bitmap); the last four null without shingles."""
 
     def part(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(batch.column("__t"), k)
         full = [i for i, s in enumerate(sets) if len(s)]
-        planes, bands = [None] * len(sets), [None] * len(sets)
+        planes, bands, bits = ([None] * len(sets) for _ in range(3))
         if full:
             minima = signatures([sets[i] for i in full])
-            for i, p, b in zip(full, packed(minima), band_keys(minima, rows), strict=True):
-                planes[i], bands[i] = p, b
+            for i, p, b, m in zip(full, packed(minima), band_keys(minima, rows), bitmaps([sets[i] for i in full]), strict=True):
+                planes[i], bands[i], bits[i] = p, b, m
         return {
             "id": batch.column("__i"), "n_shingles": [len(s) for s in sets],
-            "cls": [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], "planes": planes, "bands": bands,
+            "cls": [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], "planes": planes, "bands": bands, "bits": bits,
         }
 
     kind = df.schema[id_column].dataType.simpleString()
-    schema = f"id {kind}, n_shingles long, cls binary, planes array<long>, bands array<long>"
+    schema = f"id {kind}, n_shingles long, cls binary, planes array<long>, bands array<long>, bits binary"
     return arrow_map(df.selectExpr(f"`{id_column}` AS __i", f"`{text}` AS __t"), ["__i", "__t"], schema, part, "__t")
 
 
@@ -236,7 +249,7 @@ def block_pairs(open_: DataFrame, reps: DataFrame, least: float, percent: int, b
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = open_.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-    rows = rows.join(reps.select("node", "n_shingles", "planes"), "node")
+    rows = rows.join(reps.select("node", "n_shingles", "planes", "bits"), "node")
     small_batches(open_.sparkSession)
     half = PLANES // BITS
 
@@ -245,6 +258,7 @@ def block_pairs(open_: DataFrame, reps: DataFrame, least: float, percent: int, b
         component = np.unique([str(r[1]) for r in rows], return_inverse=True)[1]
         n = np.array([r[2] for r in rows], np.int64)
         bits = np.array([r[3] for r in rows], np.int64)
+        maps = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
         block = np.array([r[4] for r in rows])
         found = []
         first = np.flatnonzero(block == block.min())
@@ -261,6 +275,10 @@ def block_pairs(open_: DataFrame, reps: DataFrame, least: float, percent: int, b
                 differ |= bits[y, b * half : (b + 1) * half] ^ bits[x, b * half : (b + 1) * half]
             s = similarity(1 - np.bitwise_count(differ.view(np.uint64)).sum(1) / PERMUTATIONS)
             ok = np.flatnonzero(s >= least)
+            only = lambda a, b: np.bitwise_count(a & ~b).sum(1)
+            other = maps[y[ok]]
+            most = np.minimum(n[x] - only(maps[x][None], other), n[y[ok]] - only(other, maps[x][None]))
+            ok = ok[100 * most >= percent * (n[x] + n[y[ok]] - most)]
             if best_only and len(ok):
                 ok = ok[[np.argmax(s[ok])]]
             found += [(min(nodes[x], nodes[z]), max(nodes[x], nodes[z])) for z in y[ok]]
@@ -275,7 +293,7 @@ def block_pairs(open_: DataFrame, reps: DataFrame, least: float, percent: int, b
 
         for batch in batches:
             kind = batch.schema.field("node").type
-            columns = (batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "component", "n_shingles", "planes", "own"))
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "component", "n_shingles", "planes", "own", "bits"))
             for bucket, i, j, *row in zip(*columns, strict=True):
                 if (bucket, i, j) != group:
                     if len(held) > 1 and (found := pairs_of(held)):
@@ -287,7 +305,7 @@ def block_pairs(open_: DataFrame, reps: DataFrame, least: float, percent: int, b
 
     id_kind = reps.schema["node"].dataType.simpleString()
     grouped = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return grouped.select("bucket", "i", "j", "node", "component", "n_shingles", "planes", "own").mapInArrow(run, f"a {id_kind}, b {id_kind}")
+    return grouped.select("bucket", "i", "j", "node", "component", "n_shingles", "planes", "own", "bits").mapInArrow(run, f"a {id_kind}, b {id_kind}")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
@@ -300,8 +318,8 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     docs = written(described(df, text, id_column, k, rows_a_band(percent / 100)))
     known = docs.where("cls IS NOT NULL AND id IS NOT NULL")
     reps = written(
-        known.groupBy("cls").agg(F.min("id").alias("node"), F.min_by("n_shingles", "id").alias("n_shingles"), F.min_by(F.struct("planes", "bands"), "id").alias("s"))
-        .select("cls", "node", "n_shingles", "s.planes", "s.bands")
+        known.groupBy("cls").agg(F.min("id").alias("node"), F.min_by("n_shingles", "id").alias("n_shingles"), F.min_by(F.struct("planes", "bands", "bits"), "id").alias("s"))
+        .select("cls", "node", "n_shingles", "s.planes", "s.bands", "s.bits")
     )
     exploded = reps.select("node", F.explode("bands").alias("bucket"))
     leaders = written(exploded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("bucket", "leader"))
