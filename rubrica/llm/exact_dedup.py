@@ -94,17 +94,12 @@ def drop_copies(df: DataFrame, text: str = "text", id_column: str = "doc_id", **
     """
     slim = written(digests(df, text, id_column))
     winners = heavy_winners(slim, **heavy)
-    own = ("__digest", "__o", "__best", "__n")
-    keyed = df.withColumns(
-        {
-            "__digest": F.sha2(normal_text(F.col(text)), 256),
-            "__o": order_of(F.col(id_column), F.char_length(F.coalesce(F.col(text), F.lit("")))),
-        }
-    )
-    heavy_best = winners.select(F.col("digest").alias("__digest"), F.col("best").alias("__best"))
-    left = keyed.join(F.broadcast(heavy_best), "__digest", "left").where(F.col("__best").isNull() | (F.col("__o") == F.col("__best")))
-    ranked = left.withColumn("__n", F.row_number().over(Window.partitionBy("__digest").orderBy("__o")))
-    return ranked.where("__n = 1").drop(*own).select(*df.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")  # so that no column of df can clash with ours
+    order = order_of(F.col(id_column), F.char_length(F.coalesce(F.col(text), F.lit(""))))
+    keyed = df.select(F.sha2(normal_text(F.col(text)), 256).alias("digest"), order.alias("o"), row)
+    left = keyed.join(F.broadcast(winners.select("digest", "best")), "digest", "left").where(F.col("best").isNull() | (F.col("o") == F.col("best")))
+    ranked = left.withColumn("place", F.row_number().over(Window.partitionBy("digest").orderBy("o")))
+    return ranked.where("place = 1").select("row.*")
 
 
 def op1_exact_dedup(spark, sf_dir) -> DataFrame:

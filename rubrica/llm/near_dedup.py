@@ -367,10 +367,11 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
 def drop_near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """``df`` without the rows that a smaller id of their component stands for. Of rows that share an id, one stays."""
     marked = near_duplicates(df, text, id_column, k, percent)
-    lost = written(marked.where("NOT kept").select(F.col(id_column).alias("__lost")).distinct())
-    left = df.join(lost, F.col(id_column) == F.col("__lost"), "left_anti")
-    first = F.row_number().over(Window.partitionBy(id_column).orderBy(F.char_length(text).desc()))
-    return left.withColumn("__n", F.when(F.col(id_column).isNull(), 1).otherwise(first)).where("__n = 1").drop("__n").select(*df.columns)
+    lost = written(marked.where("NOT kept").select(F.col(id_column).alias("id")).distinct())
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")  # so that no column of df can clash with ours
+    left = df.select(F.col(id_column).alias("id"), F.char_length(text).alias("n"), row).join(lost, "id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("id", F.when(F.col("id").isNull(), F.monotonically_increasing_id())).orderBy(F.desc("n")))
+    return left.withColumn("place", first).where("place = 1").select("row.*")
 
 
 def op2_near_dedup(spark, sf_dir) -> DataFrame:
