@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, matroska, near_dedup, packing, secrets, toxicity, warc
+from . import bpe, exact_dedup, html_text, licenses, matroska, near_dedup, packing, secrets, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_bpe": bpe.op4_bpe,
+        "op5_html_text": html_text.op5_html_text,
         "op6_packing": packing.op6_packing,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_matroska": matroska.op8_matroska,
