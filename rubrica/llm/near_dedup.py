@@ -35,7 +35,7 @@ PERMUTATIONS = 256
 #: The chance that a pair at the threshold shares no bucket is at most this.
 MISS = 1e-5
 MARGIN = 0.13
-BLOCK = 1024
+BLOCK = 512
 #: Bits of a set's bitmap, whose differences bound an overlap from above.
 MAP_BITS = 2048
 PLANES = BITS * PERMUTATIONS // 64
