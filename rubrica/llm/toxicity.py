@@ -1,13 +1,13 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is the sum of a hashed word vector and the mean of hashed vectors of its character n-grams, so that
-inflected or altered forms share what was learned. Windows of ``WINDOW`` words, ``STRIDE`` apart, cover a text whole; a
+A word's input is the sum of a vector of its own, if it is frequent in training, and the mean of hashed vectors of its
+character n-grams, so that inflected or altered forms share what was learned. Windows of ``WINDOW`` words, ``STRIDE`` apart, cover a text whole; a
 gated recurrent network reads each in both directions, attention pools its states to one logit, and a text's score is
 that of its worst window. Training minimises the log loss of texts whose windows are pooled by a soft maximum.
 
 Training takes at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled rows of up to ``MOST_CHARS`` characters, chosen by hash
 of their ids among rows with crc32(id as text) mod 3 other than 1; the bound keeps it on the driver. Scoring is narrow:
-weights of about 3 MB are broadcast, and slices of bounded size are scored task by task.
+weights of a few MB are broadcast, and slices of bounded size are scored task by task.
 
 Nulls and texts without a word score 0. Without labelled rows of both classes there is nothing to learn: all score 0.
 Rows that repeat score alike.
@@ -25,7 +25,9 @@ from .common import SLICE_BYTES, arrow_map, small_batches, table, texts_of
 
 WINDOW, STRIDE = 48, 32
 DIM, HIDDEN = 16, 12
-WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 13
+GRAM_ROWS = 1 << 15
+#: Words that occur less often in the training texts have no vector of their own, only their grams.
+LEAST_SEEN = 3
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 4000, 8000
 EPOCHS, BATCH_WINDOWS, RATE, SHARPNESS = 6, 800, 0.02, 3.0
 THRESHOLD = 0.7
@@ -35,7 +37,7 @@ def inputs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, tuple]:
     """(index of each word among the distinct ones, bounds by text, features of the distinct words)."""
     data, bounds, owner = cut([t.lower() for t in texts], "word")
     if not len(owner):
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     raw = np.frombuffer(data, np.uint8)
     first = raw[bounds[:-1]]
     keep = (owner >= 0) & ((first >= 128) | ((first >= 97) & (first <= 122)))
@@ -57,7 +59,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of each word's vector, rows of its 3- and 4-byte grams, where each word's grams begin)."""
+    """(hash of each word, rows of its 3- and 4-byte grams, where each word's grams begin)."""
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
     data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     sizes = np.diff(offsets)
@@ -76,7 +78,7 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grams = np.stack([rows3, rows4], 1).reshape(-1).astype(np.int64)
     grams = grams[np.stack([ok3, ok4], 1).reshape(-1)]
     count = sizes + np.maximum(sizes - 1, 0)
-    return (word_hash % np.uint64(WORD_ROWS)).astype(np.int64), grams, np.cumsum(count) - count
+    return word_hash, grams, np.cumsum(count) - count
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,22 +96,29 @@ def sigmoid(x):
 
 
 class Network:
-    """Weights: vectors of words W and grams G; per direction input A, state U and bias B; attention P, q; output o, b."""
+    """Weights: vectors of the known words W (row 0: all others) and grams G; per direction input A, state U and bias B; attention P, q; output o, b."""
 
-    def __init__(self, seed: int = 7):
+    def __init__(self, seed: int = 7, known: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
+        self.known = np.zeros(0, np.uint64) if known is None else known  # sorted hashes
         new = lambda *shape, s=0.2: (rng.standard_normal(shape) * s).astype(np.float32)
         h = HIDDEN
-        self.w = {"W": new(WORD_ROWS, DIM, s=0.05), "G": new(GRAM_ROWS, DIM, s=0.1), "P": new(2 * h, h), "q": new(h), "o": new(2 * h), "b": np.full(1, -1, np.float32)}
+        self.w = {"W": np.zeros((len(self.known) + 1, DIM), np.float32), "G": new(GRAM_ROWS, DIM, s=0.1), "P": new(2 * h, h), "q": new(h), "o": new(2 * h), "b": np.full(1, -1, np.float32)}
         for d in "fr":
             self.w |= {f"A{d}": new(DIM, 3 * h, s=0.3), f"U{d}": new(h, 3 * h, s=0.3), f"B{d}": np.zeros(3 * h, np.float32)}
 
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, at + 1, 0)
+
     def vectors(self, feats: tuple) -> np.ndarray:
-        rows, grams, at = feats
-        if not len(rows):
+        hashes, grams, at = feats
+        if not len(hashes):
             return np.zeros((0, DIM), np.float32)
         count = np.diff(np.append(at, len(grams)))
-        return self.w["W"][rows] + np.add.reduceat(self.w["G"][grams], at) / count[:, None].astype(np.float32)
+        return self.w["W"][self.rows(hashes)] + np.add.reduceat(self.w["G"][grams], at) / count[:, None].astype(np.float32)
 
     def forward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows: ``index`` (windows, words) into the vectors ``x``, ``mask`` for words that are there."""
@@ -188,8 +197,9 @@ class Network:
         words, bounds, feats = inputs(texts)
         starts, sizes, owner = windows(bounds)
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
-        scale = {k: np.full_like(v, 1e-8) if v.ndim < 2 or len(v) < 1000 else np.full(len(v), 1e-8, np.float32) for k, v in self.w.items()}
-        rows, grams, at = feats
+        hashes, grams, at = feats
+        self.__init__(known=np.sort(hashes[np.bincount(words, minlength=len(hashes)) >= LEAST_SEEN]))
+        scale = {k: np.full_like(v, 1e-8) if k not in ("W", "G") else np.full(len(v), 1e-8, np.float32) for k, v in self.w.items()}
         count = np.diff(np.append(at, len(grams)))
         for epoch in range(epochs):
             rate = RATE * (1 - 0.8 * epoch / max(1, epochs - 1))
@@ -212,7 +222,7 @@ class Network:
                 index, mask = self.grid(starts[pick], sizes[pick], words)
                 used, index = np.unique(index, return_inverse=True)
                 index = index.reshape(len(pick), -1)
-                sub = (rows[used], np.concatenate([grams[a : a + c] for a, c in zip(at[used], count[used], strict=True)]), np.cumsum(count[used]) - count[used])
+                sub = (hashes[used], np.concatenate([grams[a : a + c] for a, c in zip(at[used], count[used], strict=True)]), np.cumsum(count[used]) - count[used])
                 x = self.vectors(sub)
                 logits, kept = self.forward(x, index, mask, True)
                 top = np.full(len(y), -np.inf, np.float32)
@@ -226,13 +236,16 @@ class Network:
                 for k, v in g.items():
                     scale[k] = 0.95 * scale[k] + 0.05 * v * v
                     self.w[k] -= rate * 0.3 * v / (np.sqrt(scale[k]) + 1e-6)
-                self._rows("W", sub[0], dx, scale["W"], rate)
+                own = self.rows(sub[0])
+                self._rows("W", own[own > 0], dx[own > 0], scale["W"], rate)
                 spread = np.repeat(dx / count[used][:, None], count[used], 0).astype(np.float32)
                 self._rows("G", sub[1], spread, scale["G"], rate)
         return self
 
     def _rows(self, name: str, rows: np.ndarray, grad: np.ndarray, scale: np.ndarray, rate: float) -> None:
         """A step of row-wise adaptive descent on the vectors that were used."""
+        if not len(rows):
+            return
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
