@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,7 +142,3 @@ def shard_load(df: DataFrame, key: Column, shards: int) -> DataFrame:
     from ..functions.ids import shard_of
 
     return df.groupBy(shard_of(key, shards).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -38,7 +38,7 @@ def parse_sections(df: DataFrame, text: str, key: str) -> DataFrame:
     by_note = Window.partitionBy(key).orderBy("at")
     head = F.col("line").rlike(r"^##\s+\S")
     numbered = parts.withColumn("section", F.sum(head.cast("int")).over(by_note)).withColumn("is_head", head)
-    # the first line, as long as nothing stands before it, may be the document's title
+    # the first line may be the document's title
     title = (F.col("section") == 0) & F.col("line").startswith("# ") & (F.col("at") == 0)
     grouped = (
         numbered.where(~title)

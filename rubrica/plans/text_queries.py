@@ -68,7 +68,7 @@ _PICK = "CASE WHEN greatest(en, de, fr, es) = 0 THEN 'unknown' " + " ".join(f"WH
 
 @query(
     "tx6_detect_language",
-    r"WITH v AS (SELECT doc_id, lang, " + _VOTES.replace("{", "{{") + r" FROM (SELECT doc_id, lang, regexp_split_to_array(" + NORM.format("substr(text, 1, 1500)") + r", '[^\p{L}]+') AS w FROM documents)) "
+    r"WITH v AS (SELECT doc_id, lang, " + _VOTES + r" FROM (SELECT doc_id, lang, regexp_split_to_array(" + NORM.format("substr(text, 1, 1500)") + r", '[^\p{L}]+') AS w FROM documents)) "
     f"SELECT lang, {_PICK} AS detected, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY 1, 2",
 )
 def tx6(spark, sf_dir):
@@ -136,8 +136,7 @@ def tx12(spark, sf_dir):
     "tx13_content_ids",
     "SELECT doc_id, 'doc_' || substr(sha256(text), 1, 12) AS content_id, ('0x' || substr(sha256(lang || '|' || doc_id), 1, 8))::BIGINT & 2147483647 AS seed, "
     "sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}') AS fingerprint, "
-    + "((" * 0
-    + "CAST(list_reduce(list_prepend(0::BIGINT, list_transform(range(0, 8), lambda i: ('0x' || substr(sha256(text), CAST(i * 8 + 1 AS BIGINT), 8))::BIGINT)), lambda r, x: (r * (4294967296 % 7) + x) % 7) AS BIGINT) AS shard FROM documents",
+    "CAST(list_reduce(list_prepend(0::BIGINT, list_transform(range(0, 8), lambda i: ('0x' || substr(sha256(text), CAST(i * 8 + 1 AS BIGINT), 8))::BIGINT)), lambda r, x: (r * (4294967296 % 7) + x) % 7) AS BIGINT) AS shard FROM documents",
 )
 def tx13(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -147,12 +146,6 @@ def tx13(spark, sf_dir):
     )
 
 
-#: A note for each conversation: a title, text before the first section, then a section for each turn.
-_NOTES_SQL = (
-    "n AS (SELECT conv_id, '# Note' || chr(10) || 'before' || chr(10) || string_agg('## Turn ' || turn || chr(10) || replace(text, '#', ''), chr(10) ORDER BY turn) AS note FROM conversations GROUP BY conv_id)"
-)
-
-
 @query(
     "tx14_parse_sections",
     "SELECT conv_id, 's1' AS section_id, 'Overview' AS title, md5('before') AS content_md5 FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL "
