@@ -33,22 +33,39 @@ EPOCHS, BATCH_WINDOWS, RATE, SHARPNESS = 6, 800, 0.02, 3.0
 THRESHOLD = 0.7
 
 
-def inputs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """(index of each word among the distinct ones, bounds by text, features of the distinct words)."""
+def coded(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(the words of all texts as codes of distinct ones, number of words of each text)."""
     data, bounds, owner = cut([t.lower() for t in texts], "word")
     if not len(owner):
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    raw = np.frombuffer(data, np.uint8)
-    first = raw[bounds[:-1]]
+        return pa.array([], pa.binary()).dictionary_encode(), np.zeros(len(texts), np.int64)
+    first = np.frombuffer(data, np.uint8)[bounds[:-1]]
     keep = (owner >= 0) & ((first >= 128) | ((first >= 97) & (first <= 122)))
     wide = np.flatnonzero(keep & (first >= 128))
     if len(wide):  # beyond ASCII, letters only
         heads = [data[bounds[i] : bounds[i] + 4].decode("utf-8", "ignore")[:1] for i in wide]
         keep[wide] = character_classes()[[ord(h) if h else 0 for h in heads]] == LETTER
     array = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
-    coded = array.filter(pa.array(keep)).dictionary_encode()
-    per_text = np.bincount(owner[keep], minlength=len(texts))
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(per_text)]), features(coded.dictionary)
+    return array.filter(pa.array(keep)).dictionary_encode(), np.bincount(owner[keep], minlength=len(texts))
+
+
+def inputs(texts: list[str], at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """(index of each word among the distinct ones, bounds by text, features of the distinct words).
+
+    Texts are cut about ``at_once`` characters at a time, which bounds the memory for it.
+    """
+    parts, counts, start, held = [], [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held > at_once or i + 1 == len(texts):
+            part, count = coded(texts[start : i + 1])
+            parts.append(part)
+            counts.append(count)
+            start, held = i + 1, 0
+    if not parts:
+        parts, counts = [coded([])[0]], [np.zeros(0, np.int64)]
+    together = pa.chunked_array(parts).unify_dictionaries()
+    words = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in together.chunks]).astype(np.int64)
+    return words, np.concatenate([[0], np.cumsum(np.concatenate(counts))]), features(together.chunk(0).dictionary)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -58,24 +75,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(words: pa.Array, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``some_features`` of all words, some at a time to bound the memory for it."""
+    parts = [some_features(words.slice(i, at_once)) for i in range(0, max(len(words), 1), at_once)]
+    hashes, grams, at = zip(*parts, strict=True)
+    before = np.cumsum([0, *map(len, grams[:-1])])
+    return np.concatenate(hashes), np.concatenate(grams), np.concatenate([a + b for a, b in zip(at, before, strict=True)])
+
+
+def some_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, rows of its 3- and 4-byte grams, where each word's grams begin)."""
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
     data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     sizes = np.diff(offsets)
     n = len(sizes)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
     at = np.cumsum(sizes + 2) - sizes - 2  # each word between two marks
     flat = np.full(int((sizes + 2).sum()) + 3, 1, np.uint64)
     flat[np.arange(len(data)) + np.repeat(at - (offsets[:-1] - offsets[0]) + 1, sizes)] = data
     place = np.arange(len(flat) - 3) - np.repeat(at, sizes + 2)
     power = np.uint64(1_000_003) ** np.arange(int(place.max(initial=0)) + 1, dtype=np.uint64)
-    word_hash = mixed(np.add.reduceat(flat[:-3] * power[place], at)) if n else np.zeros(0, np.uint64)
+    word_hash = mixed(np.add.reduceat(flat[:-3] * power[place], at))
     three = flat[:-3] << np.uint64(16) | flat[1:-2] << np.uint64(8) | flat[2:-1]
     four = three << np.uint64(8) | flat[3:] | np.uint64(1 << 40)
     left = np.repeat(sizes + 2, sizes + 2) - place
     rows3, rows4 = (mixed(x) % np.uint64(GRAM_ROWS) for x in (three, four))
     ok3, ok4 = left >= 3, left >= 4
-    grams = np.stack([rows3, rows4], 1).reshape(-1).astype(np.int64)
+    grams = np.stack([rows3, rows4], 1).reshape(-1).astype(np.int32)
     grams = grams[np.stack([ok3, ok4], 1).reshape(-1)]
     count = sizes + np.maximum(sizes - 1, 0)
     return word_hash, grams, np.cumsum(count) - count
@@ -285,11 +312,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clea
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_chars: int = MOST_CHARS) -> Network | None:
     """The network fitted to the bounded sample; None where it lacks one of the classes."""
     rows = training_rows(docs, labels, most_toxic, most_clean, most_chars).collect()
-    y = np.array([r.toxic for r in rows], np.int64)
+    y, texts = np.array([r.toxic for r in rows], np.int64), [r.text for r in rows]
+    del rows
     if not len(y) or y.min() == y.max():
         return None
     few = max(1, round(2000 / len(y)))  # small samples need more rounds for as many steps
-    return Network().fit([r.text for r in rows], y, EPOCHS * min(few, 8))
+    return Network().fit(texts, y, EPOCHS * min(few, 8))
 
 
 def score_texts(df: DataFrame, network: Network | None, text: str = "text", id_column: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
