@@ -239,13 +239,10 @@ def io3(spark, sf_dir):
 @query("io4_episode_tree", "SELECT source AS budget, CAST(doc_id % 3 AS INTEGER) AS rollout, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS BIGINT) AS gen_tokens FROM documents WHERE n_chars < 400 GROUP BY 1, 2")
 def io4(spark, sf_dir):
     path = scratch(spark)
-    d = table(spark, sf_dir, "documents").where("n_chars < 400").select("source", F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")).alias("rollout"), F.to_json(F.struct("n_chars")).alias("value"))
-    for_each = d.repartition("source", "rollout").write.partitionBy("source", "rollout").option("maxRecordsPerFile", 1)
-    for_each.text(path)  # folders source=…/rollout=r…/part-….txt
-    tree = spark.read.schema("n_chars bigint").json(path, recursiveFileLookup=True).withColumn("p", F.col("_metadata.file_path"))
-    moved = tree.select(F.regexp_replace(F.regexp_replace("p", r"source=|rollout=", ""), r"\.txt$", ".json").alias("p"), "n_chars")
-    keyed = moved.select(F.regexp_extract("p", files.TREE, 1).alias("budget"), F.regexp_extract("p", files.TREE, 2).cast("int").alias("rollout"), "n_chars")
-    return keyed.groupBy("budget", "rollout").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("gen_tokens"))
+    d = table(spark, sf_dir, "documents").where("n_chars < 400")
+    files.write_episode_tree(d.select(F.col("source").alias("budget"), (F.col("doc_id") % 3).alias("rollout"), F.col("doc_id").alias("qid"), "n_chars"), path)
+    tree = files.read_episode_tree(spark, path, "n_chars bigint")
+    return tree.groupBy("budget", "rollout").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("gen_tokens"))
 
 
 @query("io5_read_events", "SELECT CAST(count(*) AS BIGINT) AS events, CAST(sum(length(text)) AS BIGINT) AS tokens FROM conversations WHERE turn <> 1")

@@ -175,6 +175,22 @@ def test_globs(glob, path, hit):
     assert codesearch.safe_pattern("a(") == "a\\("
 
 
+def test_episode_tree(spark, monkeypatch):
+    """The tree of io4 is written and read in the operator's layout; so is one of all documents, of any length."""
+    from rubrica.plans import trace_queries
+
+    from .conftest import SMALL
+
+    calls, read = [], files.read_episode_tree
+    monkeypatch.setattr(files, "read_episode_tree", lambda *a: calls.append(a) or read(*a))
+    assert trace_queries.io4(spark, SMALL).count() and len(calls) == 1
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("source").alias("budget"), (F.col("doc_id") % 3).cast("int").alias("rollout"), F.col("doc_id").cast("string").alias("qid"), "n_chars")
+    root = trace_queries.scratch(spark)
+    files.write_episode_tree(docs, root)
+    got = read(spark, root, "n_chars bigint").select("budget", "rollout", "qid", "n_chars")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_readers(spark, tmp_path):
     snapshot = {"repository": "r", "sessions": [{"number": 1, "state": "OPEN", "created_at": "2024-01-01T00:00:00Z"}, {"number": 2, "state": "CLOSED", "created_at": "2024-01-01T02:00:00+02:00"}]}
     (tmp_path / "s.json").write_text(json.dumps(snapshot))
