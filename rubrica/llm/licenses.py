@@ -26,22 +26,23 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
+PLAIN = re.compile(r"\w+")
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
-#: label; keywords that gate it; the license's name in words, as it is written in prose; its identifier in words.
+#: label; keywords that gate it (each match holds one of them as a word); the license's name in words, as it is written in prose; its identifier in words.
 FAMILIES = [
     ("0bsd", "bsd 0bsd", r"(?:zero clause bsd|0 ?clause bsd|bsd zero clause|0bsd)", r"0bsd"),
     ("afl-3.0", "academic afl", r"academic free license(?: (?:version )?v?3(?: 0)?)?", r"afl 3 0"),
-    ("agpl-3.0", "affero agpl", r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: version| v)? ?v?3(?: 0)?", r"agpl 3 0"),
+    ("agpl-3.0", "affero agpl agpl3 agplv3", r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: version| v)? ?v?3(?: 0)?", r"agpl 3 0"),
     ("agpl-1.0", "affero agpl", r"affero general public licen[sc]e(?: version| v)? ?v?1(?: 0)?", r"agpl 1 0"),
     ("agpl", "affero agpl", r"(?:gnu )?(?:affero general public licen[sc]e|agpl)", r"agpl"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e(?: version| v)? ?v?1 1", r"apache 1 1"),
-    ("apache-2.0", "apache asl", r"(?:apache (?:software )?licen[sc]e(?: version| v)? ?v?2(?: 0)?|asl ?2(?: 0)?)", r"apache 2 0"),
+    ("apache-2.0", "apache asl asl2", r"(?:apache (?:software )?licen[sc]e(?: version| v)? ?v?2(?: 0)?|asl ?2(?: 0)?)", r"apache 2 0"),
     ("apsl-2.0", "apple apsl", r"apple public source licen[sc]e(?: (?:version )?v?2(?: 0)?)?", r"apsl 2 0"),
     ("artistic-1.0", "artistic", r"artistic licen[sc]e(?: version| v)? ?v?1(?: 0)?", r"artistic 1 0"),
     ("artistic-2.0", "artistic", r"artistic licen[sc]e(?: version| v)? ?v?2(?: 0)?", r"artistic 2 0"),
     ("beerware", "beer beerware", r"(?:beer ?ware licen[sc]e|buy me a beer)", r"beerware"),
-    ("bsd-2-clause", "bsd", r"(?:(?:2|two) clause bsd|simplified bsd|freebsd licen[sc]e|bsd (?:2|two) clause)", r"bsd 2 clause"),
+    ("bsd-2-clause", "bsd freebsd", r"(?:(?:2|two) clause bsd|simplified bsd|freebsd licen[sc]e|bsd (?:2|two) clause)", r"bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:(?:3|three) clause bsd|(?:new|modified|revised) bsd|bsd (?:3|three) clause)", r"bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:(?:4|four) clause bsd|(?:original|old) bsd|bsd (?:4|four) clause)", r"bsd 4 clause"),
     ("bsd", "bsd", r"bsd (?:style )?licen[sc]e", r"bsd"),
@@ -67,24 +68,24 @@ FAMILIES = [
     ("epl-2.0", "eclipse epl", r"eclipse public licen[sc]e(?: (?:version )?v| version)? ?v?2(?: 0)?", r"epl 2 0"),
     ("eupl-1.2", "eupl european", r"(?:european union public licen[sc]e|eupl)(?: (?:version )?v?1 2)?", r"eupl 1 2"),
     ("gfdl-1.3", "documentation gfdl", r"(?:gnu )?free documentation licen[sc]e(?: (?:version )?v?1 3)?", r"gfdl 1 3"),
-    ("gpl-1.0", "gpl general", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: version| v)? ?v?1(?: 0)?", r"gpl 1 0"),
-    ("gpl-2.0", "gpl general gplv2", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: version| v)? ?v?2(?: 0)?|gplv2", r"gpl 2 0"),
-    ("gpl-3.0", "gpl general gplv3", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: version| v)? ?v?3(?: 0)?|gplv3", r"gpl 3 0"),
+    ("gpl-1.0", "gpl general gpl1 gplv1", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: version| v)? ?v?1(?: 0)?", r"gpl 1 0"),
+    ("gpl-2.0", "gpl general gpl2 gplv2", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: version| v)? ?v?2(?: 0)?|gplv2", r"gpl 2 0"),
+    ("gpl-3.0", "gpl general gpl3 gplv3", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: version| v)? ?v?3(?: 0)?|gplv3", r"gpl 3 0"),
     ("gpl", "gpl gnu", r"(?:gnu (?:general public licen[sc]e|gpl)|gpl licen[sc]e)", r"gpl"),
     ("icu", "icu unicode", r"(?:icu licen[sc]e|unicode license agreement)", r"icu"),
     ("ijg", "jpeg ijg", r"independent jpeg group", r"ijg"),
     ("isc", "isc", r"isc licen[sc]e", r"isc"),
-    ("lgpl-2.0", "lgpl library", r"(?:gnu )?(?:library general public licen[sc]e|lgpl)(?: version| v)? ?v?2(?: 0)", r"lgpl 2 0"),
-    ("lgpl-2.1", "lgpl lesser", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version| v)? ?v?2 1", r"lgpl 2 1"),
-    ("lgpl-3.0", "lgpl lesser", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version| v)? ?v?3(?: 0)?", r"lgpl 3 0"),
+    ("lgpl-2.0", "lgpl library lgpl2 lgplv2", r"(?:gnu )?(?:library general public licen[sc]e|lgpl)(?: version| v)? ?v?2(?: 0)", r"lgpl 2 0"),
+    ("lgpl-2.1", "lgpl lesser lgpl2 lgplv2", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version| v)? ?v?2 1", r"lgpl 2 1"),
+    ("lgpl-3.0", "lgpl lesser lgpl3 lgplv3", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version| v)? ?v?3(?: 0)?", r"lgpl 3 0"),
     ("lgpl", "lgpl lesser", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)", r"lgpl"),
     ("libpng", "libpng png", r"(?:libpng|png reference library) licen[sc]e", r"libpng"),
     ("lppl-1.3c", "latex lppl", r"latex project public licen[sc]e(?: (?:version )?v?1 3c?)?", r"lppl 1 3c"),
     ("mit", "mit expat x11", r"(?:(?:mit|expat) (?:style )?licen[sc]e|x11 licen[sc]e|licen[sc]e mit)", r"mit"),
     ("mit-0", "mit", r"mit (?:no attribution|0)(?: licen[sc]e)?", r"mit 0"),
-    ("mpl-1.1", "mozilla mpl", r"(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?v?1 1", r"mpl 1 1"),
-    ("mpl-2.0", "mozilla mpl", r"(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?v?2(?: 0)?", r"mpl 2 0"),
-    ("mpl", "mozilla", r"mozilla public licen[sc]e", r"mpl"),
+    ("mpl-1.1", "mozilla mpl mpl1 mplv1", r"(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?v?1 1", r"mpl 1 1"),
+    ("mpl-2.0", "mozilla mpl mpl2 mplv2", r"(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?v?2(?: 0)?", r"mpl 2 0"),
+    ("mpl", "mozilla mpl", r"mozilla public licen[sc]e", r"mpl"),
     ("ms-pl", "microsoft ms", r"microsoft public licen[sc]e", r"ms pl"),
     ("ms-rl", "microsoft ms", r"microsoft reciprocal licen[sc]e", r"ms rl"),
     ("ncsa", "ncsa illinois", r"(?:university of illinois|uiuc) ncsa open source licen[sc]e", r"ncsa"),
@@ -96,37 +97,37 @@ FAMILIES = [
     ("postgresql", "postgresql", r"postgresql licen[sc]e", r"postgresql"),
     ("psf-2.0", "psf python", r"python software foundation licen[sc]e(?: (?:version )?v?2)?", r"(?:psf|python) 2 0"),
     ("public-domain", "domain", r"(?:(?:released|placed|dedicated) (?:in)?to the public domain|public domain dedication)", r"public domain"),
-    ("qpl-1.0", "qpl", r"q public licen[sc]e(?: (?:version )?v?1(?: 0)?)?", r"qpl 1 0"),
+    ("qpl-1.0", "qpl q", r"q public licen[sc]e(?: (?:version )?v?1(?: 0)?)?", r"qpl 1 0"),
     ("sspl-1.0", "sspl server", r"server side public licen[sc]e(?: (?:version )?v?1(?: 0)?)?", r"sspl 1 0"),
     ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense"),
     ("upl-1.0", "upl universal", r"universal permissive licen[sc]e(?: (?:version )?v?1(?: 0)?)?", r"upl 1 0"),
     ("vim", "vim", r"vim licen[sc]e", r"vim"),
     ("w3c", "w3c", r"w3c software (?:notice and )?licen[sc]e", r"w3c"),
-    ("wtfpl", "wtfpl", r"(?:wtfpl|do what the f\w+ you want to public licen[sc]e)", r"wtfpl"),
+    ("wtfpl", "wtfpl want", r"(?:wtfpl|do what the f\w+ you want to public licen[sc]e)", r"wtfpl"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e", r"zlib"),
     ("zpl-2.1", "zope zpl", r"zope public licen[sc]e(?: (?:version )?v?2 1)?", r"zpl 2 1"),
 ]
 
 #: Marks of a license's own text: label, keywords, words of it.
 BODIES = [
-    ("apache-2.0", "apache", r"you may not use this file except in compliance with the license(?: .{0,200}?apache org licenses license 2 0)?"),
+    ("apache-2.0", "compliance", r"you may not use this file except in compliance with the license(?: .{0,200}?apache org licenses license 2 0)?"),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "neither", r"neither the name of .{1,80}? nor the names of its contributors may be used to endorse"),
     ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software"),
-    ("bsl-1.0", "boost", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
-    ("gpl", "foundation", r"redistribute it and or modify it under the terms of the gnu general public license"),
+    ("bsl-1.0", "organization", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("gpl", "redistribute", r"redistribute it and or modify it under the terms of the gnu general public license"),
     ("gpl-or-later", "option", r"either version \d(?: \d)? of the license or at your option any later version"),
     ("isc", "fee", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
     ("lgpl", "lesser", r"redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("wtfpl", "wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies .{0,40}?wtfpl"),
+    ("wtfpl", "verbatim", r"everyone is permitted to copy and distribute verbatim or modified copies .{0,40}?wtfpl"),
     ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
     ("proprietary", "reserved", r"all rights reserved"),
     ("proprietary", "confidential", r"confidential and proprietary"),
     ("no-license", "permission", r"may not be (?:reproduced|copied|distributed) without (?:prior )?(?:written )?permission"),
-    ("generic-license", "license", r"see (?:the )?licen[sc]e (?:file )?for (?:the )?(?:specific |more )?(?:language|details|information)"),
+    ("generic-license", "license licence", r"see (?:the )?licen[sc]e (?:file )?for (?:the )?(?:specific |more )?(?:language|details|information)"),
 ]
 
 #: Priority: weight of a detection of it in the score.
@@ -159,6 +160,8 @@ KEYWORDS = frozenset(RULES)
 def detections(words: list[str], joined: str) -> list[tuple[int, int, int, str]]:
     """(start, end, priority, label) over ``joined``, kept ones only, by start."""
     hits = KEYWORDS.intersection(words)
+    if not joined.isascii():  # signs beyond ASCII stay in words, but bound what a rule matches
+        hits = hits.union(*(KEYWORDS.intersection(PLAIN.findall(w)) for w in set(words) if not w.isascii()))
     if not hits:
         return []
     found = set()

@@ -410,6 +410,53 @@ def test_license_labels(text, base, labels):
     assert (got[4], got[5]) == (base, labels)
 
 
+def matches_of(parsed):
+    """Texts that a parsed pattern matches: each alternative, each member of a class, options left out and put in."""
+    from itertools import islice, product
+    from re import _constants as c
+
+    parts = []
+    for op, arg in parsed:
+        if op is c.LITERAL:
+            parts.append([chr(arg)])
+        elif op is c.ANY:
+            parts.append(["x"])
+        elif op is c.IN:
+            parts.append([chr(a) if kind is c.LITERAL else "1" if a is c.CATEGORY_DIGIT else "x" for kind, a in arg])
+        elif op is c.BRANCH:
+            parts.append([s for branch in arg[1] for s in matches_of(branch)])
+        elif op is c.SUBPATTERN:
+            parts.append(matches_of(arg[3]))
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            parts.append(([] if arg[0] else [""]) + matches_of(arg[2]))
+        else:
+            assert op is c.AT
+    return list(islice(map("".join, product(*parts)), 20_000))
+
+
+def test_license_gate_loses_nothing():
+    from re import _parser
+
+    keys = {}
+    for key, rules in licenses.RULES.items():
+        for rule in rules:
+            keys.setdefault(rule, set()).add(key)
+    for rule, own in keys.items():
+        for text in map(str.split, matches_of(_parser.parse(rule[3].pattern))):
+            assert rule[3].search(" ".join(text)) and own.intersection(text), (rule[2], text)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("LGPLv3", "lgpl-3.0"), ("LGPLv2.1", "lgpl-2.1"), ("AGPLv3", "agpl-3.0"), ("GPL2", "gpl-2.0"), ("MPLv2", "mpl-2.0"), ("FreeBSD License", "bsd-2-clause"), ("ASL2", "apache-2.0"),
+        ("Do What The Fuck You Want To Public License", "wtfpl"), ("SPDX-License-Identifier: MPL", "mpl"), ("\u201czlib license\u201d", "zlib"),
+    ],
+)
+def test_license_gate(text, label):
+    assert label in licenses.scan(text.lower())[5].split(",")
+
+
 def test_license_places(edge, none):
     got = licenses.scan("a mit license mit license cc by cc by é")
     assert got[:4] == (10, 4, 1, 7) and 0 <= got[6] <= 1
