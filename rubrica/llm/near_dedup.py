@@ -348,7 +348,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
         candidates = block_pairs(open_, reps, least, percent, best_only).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         candidates = written(candidates)
         if candidates.isEmpty():
-            break
+            continue  # the best partners may all have been tried, but not the others
         tried = tried.unionByName(candidates)
         more = written(confirmed(candidates, texts, k, percent))
         links = links.unionByName(more)

@@ -119,6 +119,17 @@ def test_near_dedup(spark, k, percent):
     assert got == brute_near(rows, k, percent)
 
 
+def test_near_dedup_links_beside_tried_partners(spark):
+    """Each bucket's leader is just below the threshold and every text's best partner by estimate; only the other two are linked."""
+    rows = []
+    for seed in (6, 29, 60):
+        w = [f"{seed}-{i}" for i in range(1079)]
+        rows += [(100 * seed + i, " ".join(w[:1000] + own)) for i, own in enumerate((w[1000:1027], w[1027:1053], w[1053:]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), k=1, percent=95).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_near(rows, 1, 95)
+    assert {r.component_id for r in got if r.doc_id % 100 == 2} == {601, 2901, 6001}
+
+
 def test_near_dedup_edges(edge, none):
     got = near_dedup.near_duplicates(edge).collect()
     assert len(got) == edge.count()
