@@ -175,6 +175,43 @@ def test_secret_battery():
     assert not secrets.random_runs("=" * 60) and not secrets.random_runs("a" * 60) and not secrets.random_runs("0123456789" * 5)
 
 
+def recall(rng, members, length, runs, trials):
+    """The share of random tokens found, each among runs of rulers, paths and long identifiers."""
+    words, found = ["the", "tion", "and", "ing", "for", "able", "ment", "Get", "Value", "name"], 0
+    for _ in range(trials):
+        token = "".join(rng.choice(members) for _ in range(length))
+        others = ["-" * 30, "=/" * 15, "/usr/lib/" + "".join(rng.choice(words) for _ in range(6)), "".join(rng.choice(words) for _ in range(8))]
+        parts = [rng.choice(others) for _ in range(runs - 1)]
+        parts.insert(rng.randrange(runs), token)
+        at = " ".join(parts).index(token)
+        found += any(a <= at and at + length <= b for a, _, b in secrets.random_runs(" ".join(parts)))
+    return found / trials
+
+
+@pytest.mark.parametrize(("length", "least"), [(20, 0.5), (32, 0.75), (40, 0.85), (64, 0.9)])
+@pytest.mark.parametrize("runs", [1, 5, 20, 100])
+def test_secret_recall(length, least, runs):
+    import random
+
+    rng = random.Random(f"{length} {runs}")
+    for name, members in ((a[0], a[1]) for a in secrets.ALPHABETS):
+        assert recall(rng, members, length, runs, 60) >= least, name
+
+
+def test_secret_null_tail():
+    """The computed tail of ordinary text against draws of it."""
+    rng = np.random.default_rng(2)
+    for name, n in (("alnum", 20), ("hex", 32), ("lower", 24)):
+        o, ratios = secrets.ORDINARY[name], []
+        for _ in range(4000):
+            kinds = [rng.choice(len(o.first), p=o.first)]
+            for _ in range(n - 1):
+                kinds.append(rng.choice(len(o.first), p=o.move[kinds[-1]]))
+            ratios.append(o.ratio(np.array([rng.choice(o.size, p=np.where(o.kind == k, o.within, 0)) for k in kinds])))
+        for share in (0.01, 0.1):
+            assert 0.6 < secrets.text_tail(name, n, float(np.quantile(ratios, share))) / share < 1.6
+
+
 def test_secret_tables(edge, none):
     got = secrets.scan_secrets(edge)
     assert got.count() == edge.count() and secrets.scan_secrets(none).count() == 0
