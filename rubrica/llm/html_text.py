@@ -4,6 +4,7 @@ The tree builder takes any bytes of markup: it opens and closes what the grammar
 rows and cells), keeps raw text of scripts and styles apart, and repairs stray and missing end tags. Hidden are what the
 browser hides by default, ``hidden`` attributes, hidden inputs, closed details, and elements that inline styles or simple
 rules of the page's style sheets (a tag, class or id) turn off; a visible child of an element of hidden visibility shows.
+Rules inside at-rules count only where these plainly hold for a screen. Formulas and the text elements of drawings show.
 
 Layout: white space collapses outside ``pre``; blocks begin on new lines, and paragraphs, headings, lists and tables stand
 between blank lines; list items have bullets or numbers and are indented by depth; table cells are padded to their
@@ -28,7 +29,9 @@ from .common import arrow_map, table, texts_of
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[a-zA-Z][^>]*(?:>|\Z)|<[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>`]+)))?""")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
+#: At-rules whose rules hold on a screen, whatever its size.
+PLAIN = re.compile(r"@layer\b.*|@media\s*(?:.*,)?\s*(?:|(?:only\s+)?(?:all|screen)|not\s+(?:print|speech))\s*(?:,.*)?", re.S | re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -38,7 +41,12 @@ BLOCKS = frozenset(
     "select summary table tbody td tfoot th thead tr caption ul xmp".split()
 )
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu dir ol p pre table ul xmp listing fieldset".split())
-UNSEEN = frozenset("area base datalist embed head iframe link meta noembed noframes object param rp script source style template title track audio video canvas svg math".split())
+UNSEEN = frozenset("area base datalist embed head iframe link meta noembed noframes object param rp script source style template title track audio video canvas".split())
+#: What a drawing or a formula doesn't show, and the elements of HTML that end one that is left open.
+FOREIGN_UNSEEN = {"svg": frozenset("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split()), "math": frozenset("annotation annotation-xml".split())}
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 #: Start tag: open elements that it closes, and those that stop the search for them.
 CLOSES = {
     "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select datalist"), "optgroup": ("option optgroup", "select"),
@@ -63,12 +71,13 @@ def parse(markup: str) -> tuple[Node, list[str]]:
     """(tree, style sheets)."""
     root = Node("html")
     stack, sheets = [root], []
+    modes = ["html"]  # of the elements on the stack: html, svg, text (of a drawing) or math
     opened: Counter[str] = Counter()  # of the elements on the stack, so that deep pages aren't searched in vain
 
     def pop_to(at: int) -> None:
         for node in stack[at:]:
             opened[node.tag] -= 1
-        del stack[at:]
+        del stack[at:], modes[at:]
 
     def close(tags: frozenset, stops: frozenset) -> None:
         if not any(opened[t] for t in tags):
@@ -84,13 +93,24 @@ def parse(markup: str) -> tuple[Node, list[str]]:
         return None
 
     def put(node: Node, is_open: bool) -> None:
+        mode = modes[-1]
+        if mode == "html":
+            mode = node.tag if node.tag in FOREIGN_UNSEEN else mode
+        elif node.tag in FOREIGN_UNSEEN["math" if mode == "math" else "svg"]:
+            node.attrs["hidden"] = ""
+        elif mode == "svg" and node.tag == "text":
+            mode = "text"
+            stack[-1].children.append(" ")  # texts of a drawing stand apart
+        elif node.tag == "foreignobject" or mode == "math" and node.tag in ("mi", "mo", "mn", "ms", "mtext"):
+            mode = "html"
         stack[-1].children.append(node)
         if is_open:
             stack.append(node)
+            modes.append(mode)
             opened[node.tag] += 1
 
     def add_text(text: str) -> None:
-        if text:
+        if text and modes[-1] != "svg":
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
 
     at, n = 0, len(markup)
@@ -104,7 +124,8 @@ def parse(markup: str) -> tuple[Node, list[str]]:
         at, token = m.end(), m.group()
         if token[1] in "!?":
             if token.startswith("<![CDATA["):
-                stack[-1].children.append(token[9:].removesuffix("]]>"))
+                if modes[-1] != "svg":
+                    stack[-1].children.append(token[9:].removesuffix("]]>"))
             continue
         named = NAME.match(token)
         tag = named[1].lower()
@@ -137,6 +158,11 @@ def parse(markup: str) -> tuple[Node, list[str]]:
             continue
         if len(stack) > 1 and stack[1].tag == "head" and tag not in HEAD:
             pop_to(1)
+        if modes[-1] != "html" and tag in BREAKOUT:
+            inside = len(stack)
+            while modes[inside - 1] != "html":
+                inside -= 1
+            pop_to(inside)
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in CLOSE_P:
@@ -177,11 +203,41 @@ def declared(style: str) -> tuple[bool, bool | None]:
     return gone, seen
 
 
+def screen_rules(sheet: str) -> list[tuple[str, str]]:
+    """(selectors, own declarations) of the rules that plainly hold on a screen, in order."""
+    out, opened, text, at = [], [], [], 0  # opened: (prelude, does it hold, declarations)
+    for m in CSS.finditer(sheet):
+        text.append(sheet[at : m.start()])
+        at, sign = m.end(), m.group()
+        if sign[0] in "\"'":
+            text.append(sign)
+        elif sign == "{":
+            prelude = "".join(text).strip()
+            holds = all(is_plain for _, is_plain, _ in opened[-1:])
+            # what stands in a rule is not its own, and hangs on the rule's selector
+            opened.append((prelude, holds and bool(PLAIN.fullmatch(prelude)), []))
+            if holds and not prelude.startswith("@"):
+                opened[-1] = (prelude, False, opened[-1][2])
+                out.append((prelude, opened[-1][2]))
+            text = []
+        elif sign == ";":
+            if opened:
+                opened[-1][2].append("".join(text))
+            text = []
+        elif sign == "}":
+            if opened:
+                opened.pop()[2].append("".join(text))
+            text = []
+    if opened:
+        opened[-1][2].append("".join(text) + sheet[at:])
+    return [(prelude, ";".join(body)) for prelude, body in out]
+
+
 def sheet_rules(sheets: list[str]) -> dict[str, tuple[bool, bool | None]]:
     """Simple selectors (a tag, .class or #id) that hide or show."""
     out: dict[str, tuple[bool, bool | None]] = {}
     for sheet in sheets:
-        for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
+        for selectors, body in screen_rules(sheet):
             if "display" in body or "visibility" in body:
                 for selector in selectors.split(","):
                     if re.fullmatch(r"[.#]?[\w-]+", selector.strip()):

@@ -23,6 +23,29 @@ def test_layout(markup, text):
     assert visible_text(markup) == text
 
 
+@pytest.mark.parametrize(
+    ("sheet", "text"),
+    [
+        ("@media print { .n {display:none} } @media (max-width:600px){.s{display:none}}", "n s"), ("@media screen{.n{display:none}} .s{display:none;}", ""), ("@media only screen, print {.n{visibility:hidden}}", "s"),
+        (".n{display:none} @media print{.n{display:block}}", "s"), ("@import url('x;{y'); .n{display:none}", "s"), (".x{color:red; .n{display:none}} .s{display:none", "n"), ("@supports (a:b){.n{display:none}} @layer q{.s{display:none}}", "n"),
+        (".x::after{content:'}'} /* } */ .n{display:none}", "s"), ("@media not print{.n{display:none}} @media print and (color){.s{display:none}}", "s"),
+    ],
+)
+def test_conditional_sheets(sheet, text):
+    assert visible_text(f"<style>{sheet}</style><span class=n>n</span> <span class=s>s</span>") == text
+
+
+@pytest.mark.parametrize(
+    ("markup", "text"),
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> ok", "so x=1 ok"), ("<svg><title>t</title><desc>d</desc><metadata>m</metadata><defs><text>no</text></defs>bare<g><text x=1>La<tspan>bel</tspan></text><text>two</text></g></svg> after", "Label two after"),
+        ("<svg><path d='x'>icon<p>para", "para"), ("a<svg><path/></svg>b", "ab"), ("<svg><foreignObject><div>in</div></foreignObject></svg>", "in"), ("<style>.o{display:none}</style><svg class=o><text>x</text></svg>z", "z"), ("<svg><script>var a</script><text>v</text></svg>", "v"),
+    ],
+)
+def test_drawings_and_formulas(markup, text):
+    assert visible_text(markup) == text
+
+
 @pytest.mark.parametrize("markup", ["<div>" * 50_000 + "x", "<table><tr><td>" * 3000 + "x", "<ul><li>" * 3000 + "x", "<p>" + "w " * 200_000, "<" * 5000, "<a " * 3000, "&" * 5000, "<!--" * 2000])
 def test_stress(markup):
     text = visible_text(markup)
