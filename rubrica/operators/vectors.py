@@ -192,19 +192,61 @@ def usable_topics(clusters: DataFrame) -> DataFrame:
     return clusters.where(F.col("coherent") & F.col("corpus_groundable"))
 
 
+def _nearest_by_blocks(unit: DataFrame, base: DataFrame, many: int, block_rows: int = 2048) -> DataFrame:
+    """key, nearest of each row of ``unit`` (key, v) to the ``many`` rows of ``base`` (v); both of unit length.
+
+    Each pair of blocks meets in one task, which keeps one cosine a row; what is shuffled grows with rows × blocks.
+    """
+    rows = cut(unit.withColumn("row", F.monotonically_increasing_id()))  # so that rows of one key stay apart
+    dealt = cut(base.withColumn("row", F.monotonically_increasing_id()))
+    wide, high = max(1, -(-many // block_rows)), max(1, -(-rows.count() // block_rows))
+    place = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = dealt.select(each(high).alias("q"), place(wide).alias("b"), F.lit(0).alias("role"), "row", "v")
+    asked = rows.select(place(high).alias("q"), each(wide).alias("b"), F.lit(1).alias("role"), "row", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        group, block, ids, vs = None, [], [], []
+
+        def out():
+            best = (np.array(vs) @ np.array(block).T).max(1)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(best, pa.float64())], ["row", "nearest"])
+
+        for batch in batches:
+            for q, b, role, row, v in zip(*(batch.column(c).to_pylist() for c in ("q", "b", "role", "row", "v")), strict=True):
+                if (q, b) != group:
+                    if ids and block:
+                        yield out()
+                    group, block, ids, vs = (q, b), [], [], []
+                if role:
+                    ids.append(row)
+                    vs.append(v)
+                else:
+                    block.append(v)
+        if ids and block:
+            yield out()
+
+    met = held.unionByName(asked).repartition("q", "b").sortWithinPartitions("q", "b").select("q", "b", "role", "row", "v")
+    best = met.mapInArrow(run, "row long, nearest double").groupBy("row").agg(F.max("nearest").alias("nearest"))
+    return rows.select("row", "key").join(best, "row", "left").select("key", "nearest")
+
+
 def nearest_cosine(a: DataFrame, b: DataFrame, key: str, vector: str, broadcast_rows: int = 100_000, flag: float = 0.95) -> DataFrame:
     """key, nearest (highest cosine of a row of ``a`` to any row of ``b``), flagged.
 
-    Up to ``broadcast_rows`` rows of ``b`` are gathered to one block that every task multiplies with; beyond that raise the
-    bound or split ``b``.
+    Up to ``broadcast_rows`` rows of ``b``, as counted, are gathered to one block that every task multiplies with; beyond
+    that both sides are dealt to blocks, whose pairs are multiplied in tasks.
     """
     import numpy as np
 
-    held = l2_normalize(b.select(F.col(vector).alias("v")), "v").select("v").limit(broadcast_rows + 1).toPandas()
-    if len(held) > broadcast_rows:
-        raise ValueError(f"more than {broadcast_rows} rows to compare with; split them and take the maximum of the parts")
-    block = a.sparkSession.sparkContext.broadcast(np.array(held["v"].tolist(), dtype=np.float64))
+    base = l2_normalize(b.select(F.col(vector).alias("v")), "v").select("v")
     unit = l2_normalize(a.select(F.col(key), F.col(vector).alias("v")), "v")
+    if (many := base.count()) > broadcast_rows:
+        scored = _nearest_by_blocks(unit.select(F.col(key).alias("key"), "v"), base, many)
+        return scored.select(F.col("key").alias(key), "nearest", (F.col("nearest") >= flag).alias("flagged"))
+    block = a.sparkSession.sparkContext.broadcast(np.array(base.toPandas()["v"].tolist(), dtype=np.float64))
 
     @F.pandas_udf("double")
     def best(vs):

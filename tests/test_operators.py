@@ -175,6 +175,20 @@ def test_globs(glob, path, hit):
     assert codesearch.safe_pattern("a(") == "a\\("
 
 
+def test_nearest_cosine_beyond_its_bound(spark):
+    import numpy as np
+
+    from rubrica.operators import vectors
+
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(50, 6)), rng.normal(size=(2500, 6))
+    frame = lambda x: spark.createDataFrame([(i // 2, list(map(float, v))) for i, v in enumerate(x)], "id long, v array<double>")
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = (unit(a) @ unit(b).T).max(1)
+    got = vectors.nearest_cosine(frame(a), frame(b), "id", "v", broadcast_rows=100).collect()
+    assert sorted((r.id, round(r.nearest, 9), r.flagged) for r in got) == sorted((i // 2, round(float(x), 9), bool(x >= 0.95)) for i, x in enumerate(best))
+
+
 def test_episode_tree(spark, monkeypatch):
     """The tree of io4 is written and read in the operator's layout; so is one of all documents, of any length."""
     from rubrica.plans import trace_queries
