@@ -19,6 +19,10 @@ LEAD_WORDS = [
     "document", "consider", "suggest", "share", "expose", "enable", "let", "please",
 ]
 
+# What is noise in a markdown text, in the order in which it goes, and what stands instead; lines that carry no prose.
+MARKDOWN_NOISE = [(r"(?s)<!--.*?-->", " "), (r"(?s)```.*?(```|\z)", " [code] "), (r"<[^>\n]{1,80}>", " ")]
+SKIPPED_LINES = r"(?md)^\s*[#>|].*$"
+
 #: Frequent short words by language, our own choice, for the vote of ``detect_language``.
 STOP_WORDS = {
     "en": ["the", "and", "of", "to", "is", "in", "it", "that", "was", "for", "with", "this", "are", "be"],
@@ -46,12 +50,15 @@ def stripped(c: Column) -> Column:
 
 
 def clean_markdown(c: Column) -> Column:
-    """Prose of a markdown text: no comments, tags, quotes, headings or table rows; code fences become ``[code]``."""
-    t = F.regexp_replace(empty(c), r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?s)```.*?(```|\z)", " [code] ")
-    t = F.regexp_replace(t, r"<[^>\n]{1,80}>", " ")
-    kept = F.filter(F.transform(F.split(t, r"\r?\n"), stripped), lambda x: (x != "") & ~x.rlike(r"^[#>|]"))
-    return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"[ \t]+", " "))
+    """Prose of a markdown text: no comments, tags, quotes, headings or table rows; code fences become ``[code]``.
+
+    Lines are never taken apart: rows to skip, then the white space around line ends, go by expressions over the whole text.
+    """
+    prose = empty(c)
+    for noise, instead in MARKDOWN_NOISE:
+        prose = F.regexp_replace(prose, noise, instead)
+    packed = stripped(F.regexp_replace(F.regexp_replace(prose, SKIPPED_LINES, ""), r"\s*\n\s*", "\n"))
+    return F.trim(F.regexp_replace(packed, r"[ \t]+", " "))
 
 
 def first_word(c: Column) -> Column:
@@ -59,11 +66,15 @@ def first_word(c: Column) -> Column:
 
     Leading brackets go before a line is judged, so a line ``[code]`` counts, as the word ``code``.
     """
-    bare = F.transform(lines(c), lambda x: F.regexp_replace(F.regexp_replace(stripped(x), r"^[*_`]+|[*_`]+$", ""), r"^[\[\]() .]+", ""))
-    word = lambda x: F.lower(F.regexp_extract(x, r"^[A-Za-z']+", 0))
-    greeting = lambda x: word(x).isin(GREETINGS) & (F.char_length(x) <= GREETING_CHARS)
-    said = F.filter(bare, lambda x: (x != "") & ~greeting(x))
-    return F.coalesce(F.get(F.transform(said, word), F.lit(0)), F.lit(""))
+
+    def judged(line: Column) -> Column:
+        """The line's word, perhaps empty; null for a line that doesn't count."""
+        bare = F.regexp_replace(F.regexp_replace(stripped(line), r"^[*_`]+|[*_`]+$", ""), r"^[\[\]() .]+", "")
+        word = F.lower(F.regexp_extract(bare, r"^[A-Za-z']+", 0))
+        passed_over = (bare == "") | (word.isin(GREETINGS) & (F.char_length(bare) <= GREETING_CHARS))
+        return F.when(~passed_over, word)
+
+    return F.coalesce(F.get(F.array_compact(F.transform(lines(c), judged)), F.lit(0)), F.lit(""))
 
 
 def is_question_form(title: Column, body: Column) -> Column:
@@ -71,7 +82,8 @@ def is_question_form(title: Column, body: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(empty(c)), r"\s+", " "))
+    """Lower case, runs of white space as one blank, none at the ends. Single blanks, the common case, match nothing."""
+    return F.trim(F.regexp_replace(F.lower(empty(c)), r"\s{2,}|[^\S ]", " "))
 
 
 def length_between(c: Column, low: int = 30, high: int = 20_000) -> Column:
@@ -97,14 +109,26 @@ def detect_language(c: Column, chars: int = 1500) -> Column:
     return pick
 
 
-def shingles(c: Column, k: int = 3) -> Column:
-    """Distinct word k-grams of the normalized text; a shorter text is one shingle, an empty one has none."""
+def _grams(c: Column, k: int, short, gram) -> Column:
+    """Distinct ``gram`` of each run of ``k`` words of the normalized text; ``short`` of all words where they are fewer."""
+
     def of(words: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " "))
-        return F.when(F.size(words) < k, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(grams))
+        runs = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: gram(*(F.get(words, i + j) for j in range(k))))
+        return F.when(F.size(words) < k, F.array(short(words))).otherwise(F.array_distinct(runs))
 
     norm = normalize_text(c)
-    return F.when(norm == "", F.array().cast("array<string>")).otherwise(let(F.split(norm, " "), of))
+    kind = gram(F.lit("")).alias("g")
+    return F.when(norm == "", F.array_remove(F.array(kind), kind)).otherwise(let(F.split(norm, " "), of))
+
+
+def shingles(c: Column, k: int = 3) -> Column:
+    """Distinct word k-grams of the normalized text; a shorter text is one shingle, an empty one has none."""
+    return _grams(c, k, lambda words: F.array_join(words, " "), lambda *w: F.concat_ws(" ", *w))
+
+
+def shingle_hashes(c: Column, k: int = 3) -> Column:
+    """The set of ``shingles`` as 64-bit hashes, without making their strings."""
+    return _grams(c, k, F.xxhash64, F.xxhash64)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -142,7 +166,11 @@ def syntax_ok(programs):
     return programs.map(parses)
 
 
-def number_lines(c: Column, width: int = 4) -> Column:
+def numbered_line(number: Column, line: Column) -> Column:
+    """``0001: line``: at least four digits, more where the number has them."""
+    return F.format_string("%04d: %s", number, line)
+
+
+def number_lines(c: Column) -> Column:
     """Each line after its number: ``0001: …``."""
-    numbered = F.transform(lines(c), lambda x, i: F.concat(F.lpad((i + 1).cast("string"), width, "0"), F.lit(": "), x))
-    return F.array_join(numbered, "\n")
+    return F.array_join(F.transform(lines(c), lambda x, i: numbered_line(i + 1, x)), "\n")

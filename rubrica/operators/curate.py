@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fenced_blocks, syntax_ok
+from ..functions.text import fenced_blocks, numbered_line, syntax_ok
 
 MAX_SPAN = 300
 
@@ -126,7 +126,7 @@ def excerpts(spans: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """
     wanted = spans.where("start_line <= end_line").select(*keys, "path", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
     rows = wanted.join(lines, ["path", "line_no"])
-    numbered = F.concat(F.lpad(F.col("line_no").cast("string"), 4, "0"), F.lit(": "), F.col("text"))
+    numbered = numbered_line(F.col("line_no"), F.col("text"))
     cut = rows.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", numbered.alias("t")))), lambda x: x.t), "\n").alias("recomputed"))
     return spans.select(*keys).distinct().join(cut, keys, "left")
 

@@ -1,57 +1,151 @@
 """Dedup, similarity and decontamination on word shingles.
 
-Shingles are compared by 64-bit hash and joined by equality; no pair of rows is made that shares none. Frequent shingles
-are kept, as dropping them would change similarities.
+A text's set of shingles is an array of 64-bit hashes, made once a text (``shingle_sets``). Pairs of texts are made only
+by equality of a shingle, a band or a phrase; frequent shingles are kept, as dropping them would change similarities.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text, shingles
+from ..functions.text import jaccard, normalize_text, shingle_hashes, shingles
 from .lineage import cut
 
+#: Shingle rows of a side (16 bytes each, some 100 with the join's own) up to which it is broadcast, as counted.
+BROADCAST_ROWS = 1_000_000
+#: Members of a bucket that meet in one group; larger buckets are dealt to pairs of such blocks.
+BLOCK = 256
+#: How far below the threshold an estimate of a linked pair may lie: over four standard deviations of 128 two-bit minima.
+MARGIN = 0.22
+
 
 def exact_dedup(df: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """The first row, by ``order``, of each normalized text."""
-    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(F.sha2(normalize_text(F.col(text)), 256)).orderBy(*order)))
-    return ranked.where("__n = 1").drop("__n")
+    """The first row, by ``order``, of each normalized text; where rows tie in ``order``, one of them.
+
+    What repeats is found on digests and order columns alone, with map-side counts. Rows are then judged where they are if
+    the repeated texts are few enough to be broadcast, as adaptive execution measures; only ties are shuffled whole.
+    """
+    keyed = df.withColumns({"__d": F.sha2(normalize_text(F.col(text)), 256), "__o": F.struct(*order)})
+    per = keyed.groupBy("__d", "__o").agg(F.count(F.lit(1)).alias("n"))
+    groups = per.groupBy("__d").agg(F.min(F.struct("__o", "n")).alias("b"), F.sum("n").alias("n")).where("n > 1")
+    best = cut(groups.select("__d", F.col("b.__o").alias("__best"), (F.col("b.n") > 1).alias("__ties")))
+    left = keyed.join(best, "__d", "left").where(F.col("__best").isNull() | (F.col("__o") == F.col("__best")))
+    if not best.where("__ties").isEmpty():
+        rank = F.row_number().over(Window.partitionBy("__d").orderBy("__o"))
+        left = left.where("NOT coalesce(__ties, false)").unionByName(left.where("__ties").withColumn("__r", rank).where("__r = 1").drop("__r"))
+    return left.select(*df.columns)
 
 
-def shingle_rows(df: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
-    """key, h (shingle hash), n (size of the key's set), a row for each distinct shingle."""
-    sets = df.select(F.col(key).alias("key"), F.transform(shingles(F.col(text), k), lambda s: F.xxhash64(s)).alias("s"))
-    return sets.select("key", F.size("s").alias("n"), F.explode("s").alias("h"))
+def shingle_sets(df: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
+    """key, n (size), s (shingle hashes) of each text."""
+    sets = df.select(F.col(key).alias("key"), shingle_hashes(F.col(text), k).alias("s"))
+    return sets.select("key", F.size("s").alias("n"), "s")
 
 
 def minhash(df: DataFrame, key: str, text: str, k: int = 3, permutations: int = 128) -> DataFrame:
-    """key, signature (array of minima): one partial aggregate over exploded shingles."""
-    rows = shingle_rows(df, key, text, k)
-    minima = [F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(permutations)]
-    return rows.groupBy("key").agg(F.first("n").alias("n"), *minima).select(F.col("key").alias(key), "n", F.array(*(f"m{i}" for i in range(permutations))).alias("signature"))
+    """key, n, signature (array of minima) of texts with shingles. A row's own work: nothing is shuffled."""
+    return _signed(shingle_sets(df, key, text, k), permutations).withColumnRenamed("key", key)
+
+
+def _signed(sets: DataFrame, permutations: int) -> DataFrame:
+    return sets.where("n > 0").select("key", "n", _minima(permutations)("s").alias("signature"))
+
+
+def _factors(permutations: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and shifts of the permutations h → h · factor + shift of the 64-bit numbers."""
+    rng = np.random.default_rng(20240501)
+    return rng.integers(0, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, permutations, dtype=np.uint64)
+
+
+def _minima(permutations: int):
+    factors, shifts = _factors(permutations)
+
+    @F.arrow_udf("array<bigint>")
+    def minima(sets: pa.Array) -> pa.Array:
+        """Minima of each set, none of them empty: a pass over the flat hashes for each permutation."""
+        bounds = sets.offsets.to_numpy().astype(np.int64)
+        flat = sets.values.slice(bounds[0], bounds[-1] - bounds[0]).to_numpy(zero_copy_only=False).view(np.uint64)
+        out = np.empty((len(sets), permutations), np.int64)
+        for i in range(permutations if len(sets) else 0):
+            out[:, i] = np.minimum.reduceat(flat * factors[i] + shifts[i], bounds[:-1] - bounds[0]).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, permutations), pa.int32()), pa.array(out.ravel()))
+
+    return minima
+
+
+@F.arrow_udf("array<bigint>")
+def _planes(signatures: pa.Array) -> pa.Array:
+    """The highest bit of all minima, then the next, 64 permutations a number."""
+    minima = np.stack(signatures.to_numpy(zero_copy_only=False)) if len(signatures) else np.zeros((0, 64), np.int64)
+    # the highest bits of minima are mostly zero, so the bits are taken from a product
+    mixed = minima.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    planes = [np.packbits((mixed >> np.uint64(bit) & np.uint64(1)).astype(np.uint8), 1, "little") for bit in (63, 62)]
+    words = np.concatenate([np.pad(p, ((0, 0), (0, -p.shape[1] % 8))).view(np.int64) for p in planes], 1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, words.shape[1]), pa.int32()), pa.array(words.ravel()))
+
 
+def overlaps(a: DataFrame, b: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """a_key, b_key, similarity of the sets (``shingle_sets``) of two tables that share a shingle.
 
-def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a_key, b_key, similarity of rows (key, n, h) of two tables that share a shingle."""
-    left = a.select(F.col("key").alias("a_key"), F.col("n").alias("a_n"), "h")
-    right = b.select(F.col("key").alias("b_key"), F.col("n").alias("b_n"), "h")
-    both = left.join(right, "h").groupBy("a_key", "b_key").agg(F.count(F.lit(1)).alias("both"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+    Where ``b`` has at most ``broadcast_rows`` shingle rows, as counted, they are broadcast: a text's shingles then meet
+    them where they are, and what is shuffled is a count for each pair, not a row for each shingle. Beyond that both sides
+    are shuffled by shingle, where adaptive execution splits frequent ones.
+    """
+    rows = lambda sets, side: sets.select(F.col("key").alias(f"{side}_key"), F.col("n").alias(f"{side}_n"), F.explode("s").alias("h"))
+    few = (b.agg(F.sum("n").alias("n")).first().n or 0) <= broadcast_rows
+    right = F.broadcast(rows(b, "b")) if few else rows(b, "b")
+    both = rows(a, "a").join(right, "h").groupBy("a_key", "b_key").agg(F.count(F.lit(1)).alias("both"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
     return both.select("a_key", "b_key", (F.col("both") / (F.col("a_n") + F.col("b_n") - F.col("both"))).alias("similarity"))
 
 
-def near_dup_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, k: int = 3, permutations: int = 128, rows: int = 4) -> DataFrame:
-    """a_key < b_key, similarity ≥ ``threshold``: band candidates, confirmed on full sets. Give it exactly deduplicated rows."""
-    signed = minhash(df, key, text, k, permutations).withColumn("key", F.col(key))
+def _estimate(a: str, b: str, permutations: int) -> Column:
+    """Similarity by the share of equal pairs of bits in two arrays of planes, corrected for chance collisions of one in four."""
+    words = -(-permutations // 64)
+    differ = [F.bit_count(F.expr(f"({a}[{w}] ^ {b}[{w}]) | ({a}[{words + w}] ^ {b}[{words + w}])")) for w in range(words)]
+    same = 1 - reduce(lambda x, y: x + y, differ) / F.lit(float(permutations))
+    return (same - 0.25) / 0.75
+
+
+def candidate_pairs(sets: DataFrame, threshold: float, permutations: int = 128, rows: int = 4, block: int = BLOCK) -> DataFrame:
+    """a_key < b_key of sets that share a band and whose estimate is within ``MARGIN`` of ``threshold``.
+
+    Buckets of one member go first. A bucket of many members is dealt to blocks, so that no task holds all its pairs; pairs
+    leave a block only if sizes and estimate allow them.
+    """
     bands = F.array(*(F.xxhash64(F.lit(b), F.slice("signature", b * rows + 1, rows)) for b in range(permutations // rows)))
-    banded = signed.select("key", "n", F.explode(bands).alias("band"))
-    a, b = banded.select(F.col("key").alias("a_key"), F.col("n").alias("a_n"), "band"), banded.select(F.col("key").alias("b_key"), F.col("n").alias("b_n"), "band")
-    sized = F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n")
-    found = cut(a.join(b, "band").where((F.col("a_key") < F.col("b_key")) & sized).select("a_key", "b_key").distinct())
-    sets = df.select(F.col(key).alias("key"), F.transform(shingles(F.col(text), k), lambda s: F.xxhash64(s)).alias("s"))
-    sides = found.join(sets.select(F.col("key").alias("a_key"), F.col("s").alias("a_s")), "a_key").join(sets.select(F.col("key").alias("b_key"), F.col("s").alias("b_s")), "b_key")
+    signed = cut(_signed(sets, permutations).select("key", "n", bands.alias("bands"), _planes("signature").alias("p")))
+    banded = signed.select("key", "n", "p", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    dealt = banded.join(shared, "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+
+    def side(name: str, i: Column, j: Column) -> DataFrame:
+        return dealt.select("band", F.col("key").alias(f"{name}_key"), F.col("n").alias(f"{name}_n"), F.col("p").alias(f"{name}_p"), i.alias("i"), j.alias("j"))
+
+    own = F.col("own")
+    left = side("x", own, F.explode(F.sequence(own, F.col("blocks") - 1)))
+    right = side("y", F.explode(F.sequence(F.lit(0), own)), own)
+    met = left.join(right, ["band", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x_key") < F.col("y_key")))
+    likely = (F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n")) & (_estimate("x_p", "y_p", permutations) >= threshold - MARGIN)
+    return met.where(likely).select(F.least("x_key", "y_key").alias("a_key"), F.greatest("x_key", "y_key").alias("b_key")).distinct()
+
+
+def near_dup_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, k: int = 3, permutations: int = 128, rows: int = 4, sets: DataFrame | None = None) -> DataFrame:
+    """a_key < b_key, similarity ≥ ``threshold``: band candidates, confirmed on full sets. Give it exactly deduplicated rows.
+
+    ``sets``: the table's ``shingle_sets``, where they are there already.
+    """
+    sets = shingle_sets(df, key, text, k) if sets is None else sets
+    found = cut(candidate_pairs(sets, threshold, permutations, rows))
+    named = found.select(F.col("a_key").alias("key")).union(found.select(F.col("b_key").alias("key"))).distinct()
+    own = sets.join(named, "key", "left_semi")
+    a, b = (own.select(F.col("key").alias(f"{x}_key"), F.col("s").alias(f"{x}_s")) for x in "ab")
     both = F.size(F.array_intersect("a_s", "b_s"))
-    scored = sides.select("a_key", "b_key", (both / (F.size("a_s") + F.size("b_s") - both)).alias("similarity"))
+    scored = found.join(a, "a_key").join(b, "b_key").select("a_key", "b_key", (both / (F.size("a_s") + F.size("b_s") - both)).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold)
 
 
@@ -77,24 +171,30 @@ def greedy_survivors(pairs: DataFrame, first: str = "a_key", second: str = "b_ke
 
 
 def decontam_audit(candidates: DataFrame, heldout: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """key, max_similarity, flagged for each candidate (key, n, h rows are made by ``shingle_rows``); without overlap 0."""
+    """key, max_similarity, flagged for each candidate with shingles (both tables are ``shingle_sets``); without overlap 0."""
     best = overlaps(candidates, heldout).groupBy(F.col("a_key").alias("key")).agg(F.max("similarity").alias("best"))
-    found = candidates.select("key").distinct().join(best, "key", "left")
+    found = candidates.where("n > 0").select("key").join(best, "key", "left")
     similarity = F.coalesce("best", F.lit(0.0))
     return found.select("key", similarity.alias("max_similarity"), (similarity > threshold).alias("flagged"))
 
 
-def decontaminate(df: DataFrame, heldout: DataFrame, key: str, text: str, heldout_key: str, heldout_text: str, threshold: float = 0.35, k: int = 3) -> DataFrame:
-    """``df`` with max_similarity to any held-out text and kept; rows above ``threshold`` aren't kept."""
-    audit = decontam_audit(shingle_rows(df, key, text, k), shingle_rows(heldout, heldout_key, heldout_text, k), threshold)
-    joined = df.join(audit.withColumnRenamed("key", key), key, "left")
-    return joined.withColumn("max_similarity", F.coalesce("max_similarity", F.lit(0.0))).withColumn("kept", ~F.coalesce("flagged", F.lit(False))).drop("flagged")
+def decontaminate(df: DataFrame, heldout: DataFrame, key: str, text: str, heldout_key: str, heldout_text: str, threshold: float = 0.35, k: int = 3, sets: DataFrame | None = None) -> DataFrame:
+    """``df`` with max_similarity to any held-out text and kept; rows above ``threshold`` aren't kept.
+
+    Rows that share nothing with the held-out texts count 0; only pairs that overlap are joined back. ``sets``: ``df``'s
+    ``shingle_sets``, where they are there already.
+    """
+    sets = shingle_sets(df, key, text, k) if sets is None else sets
+    pairs = overlaps(sets, shingle_sets(heldout, heldout_key, heldout_text, k))
+    best = pairs.groupBy(F.col("a_key").alias(key)).agg(F.max("similarity").alias("max_similarity"))
+    joined = df.join(best, key, "left").withColumn("max_similarity", F.coalesce("max_similarity", F.lit(0.0)))
+    return joined.withColumn("kept", F.col("max_similarity") <= threshold)
 
 
 def reject_repeats(new: DataFrame, prior: DataFrame, key: str, text: str, prior_key: str, prior_text: str, threshold: float = 0.5, k: int = 3) -> DataFrame:
     """Rows of ``new`` whose similarity to every prior text is at most ``threshold``."""
-    pairs = overlaps(shingle_rows(new, key, text, k), shingle_rows(prior, prior_key, prior_text, k)).where(F.col("similarity") > threshold)
-    return new.join(pairs.select(F.col("a_key").alias(key)), key, "left_anti")
+    pairs = overlaps(shingle_sets(new, key, text, k), shingle_sets(prior, prior_key, prior_text, k)).where(F.col("similarity") > threshold)
+    return new.join(pairs.select(F.col("a_key").alias(key)).distinct(), key, "left_anti")
 
 
 def verbatim_dups(df: DataFrame, text: str, batch: str, key: str) -> DataFrame:
@@ -111,23 +211,24 @@ def overlap_summary(audit: DataFrame) -> DataFrame:
     return audit.agg(F.avg("max_similarity").alias("mean_max"), F.max("max_similarity").alias("max_max"))
 
 
-def longest_shared_phrase(a: DataFrame, b: DataFrame, a_key: str, a_text: str, b_key: str, b_text: str, max_n: int = 12) -> DataFrame:
-    """a_key, b_key, words: the longest phrase, up to ``max_n`` words, that two texts share; pairs without a word in common are absent.
+def longest_shared_phrase(a: DataFrame, b: DataFrame, a_key: str, a_text: str, b_key: str, b_text: str, least: int = 5) -> DataFrame:
+    """a_key, b_key, words: the length of the longest phrase that two texts share, of any length from ``least`` words on.
 
-    Phrases are joined by (length, hash), longest first would need rounds; all lengths go through one shuffle instead.
+    Texts meet on their runs of ``least`` words only, so frequent words make no pairs. Runs that follow each other in both
+    texts have one difference of places; the longest unbroken stretch of them is the phrase.
     """
 
-    def grams(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
-        words = df.select(F.col(key).alias(name), F.split(normalize_text(F.col(text)), " ").alias("w")).where("w[0] <> ''")
-        sized = words.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(max_n)))))
-        one = sized.select(name, "n", F.explode(F.expr("transform(sequence(1, size(w) - n + 1), i -> xxhash64(slice(w, i, n)))")).alias("h"))
-        return one.distinct()
+    def runs(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+        words = df.select(F.col(key).alias(f"{name}_key"), F.split(normalize_text(F.col(text)), " ").alias("w")).where(F.size("w") >= least)
+        hashed = F.transform(F.sequence(F.lit(0), F.size("w") - least), lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(least))))
+        return words.select(f"{name}_key", F.posexplode(hashed).alias(f"{name}_at", "h"))
 
-    shared = grams(a, a_key, a_text, "a_key").join(grams(b, b_key, b_text, "b_key"), ["n", "h"])
-    return shared.groupBy("a_key", "b_key").agg(F.max("n").alias("words"))
+    shared = runs(a, a_key, a_text, "a").join(runs(b, b_key, b_text, "b"), "h")
+    line = shared.select("a_key", "b_key", "a_at", (F.col("a_at") - F.col("b_at")).alias("shift"))
+    place = F.row_number().over(Window.partitionBy("a_key", "b_key", "shift").orderBy("a_at"))
+    stretches = line.withColumn("start", F.col("a_at") - place).groupBy("a_key", "b_key", "shift", "start").agg((F.count(F.lit(1)) + (least - 1)).alias("words"))
+    return stretches.groupBy("a_key", "b_key").agg(F.max("words").cast("int").alias("words"))
 
 
 def similarity_of(a: Column, b: Column) -> Column:
-    from ..functions.text import jaccard
-
     return jaccard(shingles(a), shingles(b))

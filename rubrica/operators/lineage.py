@@ -1,13 +1,37 @@
-"""Cutting lineage in loops."""
+"""Cutting lineage, the shared folder that this needs, and row numbers without a single task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+LOCAL_DIR = "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared ``spark.checkpoint.dir``. A folder of this machine stands in only for a local master; on a
+    cluster it would lose data silently, so its absence raises."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return LOCAL_DIR
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared ``spark.checkpoint.dir``; a default folder is set only where there is none."""
+    """``df`` checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """``df`` with its rows' places from 0 by ``order``: a range-partitioned sort, and offsets of a row a partition."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(sorted_.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__low"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    offsets = sizes.select("__part", (F.coalesce(before, F.lit(0)) - F.col("__low")).alias("__shift"))
+    return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__row") + F.col("__shift")).drop("__part", "__row", "__shift")

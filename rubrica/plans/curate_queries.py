@@ -181,7 +181,7 @@ def cu11(spark, sf_dir):
     return e.select("qid", F.array_join(curate.evidence_paths(F.col("e")), ",").alias("paths"))
 
 
-CUT = f"WITH {FILES}, {LINES}, {SPANS}, x AS (SELECT sp.qid, sp.span_id, string_agg(lpad(CAST(line_no AS VARCHAR), 4, '0') || ': ' || text, chr(10) ORDER BY line_no) AS t FROM sp LEFT JOIN l ON l.path = sp.path AND line_no BETWEEN start_line AND end_line GROUP BY 1, 2)"
+CUT = f"WITH {FILES}, {LINES}, {SPANS}, x AS (SELECT sp.qid, sp.span_id, string_agg(printf('%04d: ', line_no) || text, chr(10) ORDER BY line_no) AS t FROM sp LEFT JOIN l ON l.path = sp.path AND line_no BETWEEN start_line AND end_line GROUP BY 1, 2)"
 
 
 @query("cu12_excerpts", f"{CUT} SELECT qid, span_id, md5(t) AS excerpt_md5 FROM x")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
 from ..operators import dedup
-from .registry import query, table
+from .registry import dealt, query, table
 from .text_queries import NORM, SHINGLES
 
 HELD = (
@@ -33,8 +33,13 @@ def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def audited(spark, sf_dir):
+    sets = dedup.shingle_sets(dealt(docs(spark, sf_dir)), "doc_id", "text")
+    return dedup.decontam_audit(sets, dedup.shingle_sets(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+
+
 def firsts(spark, sf_dir):
-    return dedup.exact_dedup(docs(spark, sf_dir), "text", ["doc_id"])
+    return dedup.exact_dedup(dealt(docs(spark, sf_dir)), "text", ["doc_id"])
 
 
 @query("dd1_exact_dedup", f"SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY {NORM.format('text')}")
@@ -52,9 +57,19 @@ def dd3(spark, sf_dir):
     return dedup.near_dup_pairs(firsts(spark, sf_dir), "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("dd4_greedy_survivors")
+#: Survivors of ``{pairs}`` (a_key, b_key): rows are decided one by one in their order.
+GREEDY = (
+    "gn AS (SELECT key, row_number() OVER (ORDER BY key) AS i, coalesce(list(a) FILTER (a IS NOT NULL), []) AS before FROM "
+    "(SELECT b_key AS key, a_key AS a FROM {pairs} UNION ALL SELECT a_key AS key, NULL AS a FROM {pairs}) GROUP BY key), "
+    "gr AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT gn.i, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, key) END FROM gr JOIN gn ON gn.i = gr.i + 1), "
+    "gl AS (SELECT kept FROM gr ORDER BY i DESC LIMIT 1), "
+    "gs AS (SELECT key, list_contains(kept, key) AS kept, CASE WHEN NOT list_contains(kept, key) THEN list_min(list_intersect(before, kept)) END AS kept_by FROM gn, gl)"
+)
+
+
+@query("dd4_greedy_survivors", f"WITH RECURSIVE {PAIRS}, {GREEDY.format(pairs='p')} SELECT key, kept, coalesce(kept_by, -1) AS kept_by FROM gs")
 def dd4(spark, sf_dir):
-    return dedup.greedy_survivors(dedup.near_dup_pairs(firsts(spark, sf_dir), "doc_id", "text"))
+    return dedup.greedy_survivors(dedup.near_dup_pairs(firsts(spark, sf_dir), "doc_id", "text")).withColumn("kept_by", F.coalesce("kept_by", F.lit(-1)))
 
 
 @query(
@@ -72,7 +87,7 @@ def dd5(spark, sf_dir):
 
 @query("dd6_decontam_audit", f"WITH {AUDIT} SELECT doc_id, round(max_similarity, 6) AS max_similarity, max_similarity > 0.35 AS flagged FROM m")
 def dd6(spark, sf_dir):
-    audit = dedup.decontam_audit(dedup.shingle_rows(docs(spark, sf_dir), "doc_id", "text"), dedup.shingle_rows(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+    audit = audited(spark, sf_dir)
     return audit.select(F.col("key").alias("doc_id"), F.round("max_similarity", 6).alias("max_similarity"), "flagged")
 
 
@@ -98,22 +113,25 @@ def dd9(spark, sf_dir):
 
 @query("dd10_overlap_summary", f"WITH {AUDIT} SELECT round(avg(max_similarity), 6) AS mean_max, round(max(max_similarity), 6) AS max_max FROM m")
 def dd10(spark, sf_dir):
-    audit = dedup.decontam_audit(dedup.shingle_rows(docs(spark, sf_dir), "doc_id", "text"), dedup.shingle_rows(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+    audit = audited(spark, sf_dir)
     return dedup.overlap_summary(audit).select(F.round("mean_max", 6).alias("mean_max"), F.round("max_max", 6).alias("max_max"))
 
 
-def _grams(table_: str, key: str, name: str, n: int) -> str:
-    w = f"(SELECT {key}, string_split({NORM.format('text')}, ' ') AS w FROM {table_})"
+LEAST = 3
+
+
+def _runs(table_: str, key: str, name: str) -> str:
+    """All runs of ``LEAST`` words or more, up to the longest text of ``benchmark``."""
     return (
-        f"{name}w AS {w}, {name} AS (SELECT DISTINCT {key}, n, g FROM (SELECT {key}, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g "
-        f"FROM {name}w, (SELECT unnest(range(1, {n + 1})) AS n) WHERE w <> [''] AND len(w) >= n))"
+        f"{name}w AS (SELECT {key}, string_split({NORM.format('text')}, ' ') AS w FROM {table_}), {name} AS (SELECT DISTINCT {key}, n, array_to_string(w[i:i + n - 1], ' ') AS g "
+        f"FROM (SELECT {key}, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM {name}w, (SELECT unnest(range({LEAST}, (SELECT max(len(string_split({NORM.format('text')}, ' '))) + 1 FROM benchmark))) AS n) WHERE len(w) >= n))"
     )
 
 
 @query(
     "dd11_longest_shared_phrase",
-    f"WITH {_grams('benchmark', 'item_id', 'x', 6)}, {_grams('conversations', 'conv_id', 'y', 6)} SELECT item_id, conv_id, CAST(max(n) AS INTEGER) AS words FROM x JOIN y USING (n, g) GROUP BY 1, 2",
+    f"WITH {_runs('benchmark', 'item_id', 'x')}, {_runs('conversations', 'conv_id', 'y')} SELECT item_id, conv_id, CAST(max(n) AS INTEGER) AS words FROM x JOIN y USING (n, g) GROUP BY 1, 2",
 )
 def dd11(spark, sf_dir):
-    shared = dedup.longest_shared_phrase(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations"), "item_id", "text", "conv_id", "text", 6)
+    shared = dedup.longest_shared_phrase(table(spark, sf_dir, "benchmark"), dealt(table(spark, sf_dir, "conversations")), "item_id", "text", "conv_id", "text", LEAST)
     return shared.select(F.col("a_key").alias("item_id"), F.col("b_key").alias("conv_id"), "words")

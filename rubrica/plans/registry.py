@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import shared_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,7 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the session has cores, dealt out once, so that heavy text work uses them all; larger
+    tables have splits enough and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared ``spark.checkpoint.dir``; a default is used only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/rubrica-{uuid.uuid4().hex}"
+    """A new folder under the shared ``spark.checkpoint.dir``."""
+    return f"{shared_dir(spark)}/rubrica-{uuid.uuid4().hex}"

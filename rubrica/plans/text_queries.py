@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import text as ops
-from .registry import query, table
+from .registry import dealt, query, table
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 CLEAN = (
@@ -101,7 +101,7 @@ def tx8(spark, sf_dir):
 
 @query("tx9_shingles", f"WITH {SHINGLES} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_shingles, min(s) AS first_shingle FROM s GROUP BY doc_id")
 def tx9(spark, sf_dir):
-    sets = table(spark, sf_dir, "documents").select("doc_id", text.shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
+    sets = dealt(table(spark, sf_dir, "documents")).select("doc_id", text.shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
     return sets.select("doc_id", F.size("s").cast("bigint").alias("n_shingles"), F.array_min("s").alias("first_shingle"))
 
 
@@ -126,9 +126,11 @@ def tx11(spark, sf_dir):
     return f.select("conv_id", "turn", F.col("b.blocks").cast("bigint").alias("blocks"), F.char_length("b.longest").cast("bigint").alias("longest_chars"), F.md5("b.outside").alias("outside_md5"))
 
 
-@query("tx12_syntax_ok", "SELECT conv_id, turn, turn % 2 = 0 AS ok FROM conversations")
+@query("tx12_syntax_ok", "SELECT conv_id, turn, length(text) % 2 = 0 AS ok FROM conversations")
 def tx12(spark, sf_dir):
-    program = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x = "), F.col("turn").cast("string"))).otherwise(F.lit("x = ("))
+    """Programs with the turn's text as comments; a text of odd length leaves a bracket open."""
+    size = F.char_length("text")
+    program = F.concat(F.lit("# "), F.regexp_replace("text", r"[\r\n\x00]", "\n# "), F.lit("\nx = ("), size.cast("string"), F.when(size % 2 == 0, ")").otherwise(""))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.syntax_ok(program).alias("ok"))
 
 
@@ -161,7 +163,7 @@ def tx14(spark, sf_dir):
 
 @query(
     "tx15_number_lines",
-    "SELECT conv_id, turn, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: lpad(CAST(i AS VARCHAR), 4, '0') || ': ' || x), chr(10))) AS numbered_md5 FROM conversations",
+    "SELECT conv_id, turn, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: printf('%04d: ', i) || x), chr(10))) AS numbered_md5 FROM conversations",
 )
 def tx15(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.number_lines(F.col("text"))).alias("numbered_md5"))
