@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 MOST_HITS, MOST_PATHS, MOST_LINES, LINE_CHARS = 50, 200, 200, 500
 
 
@@ -77,11 +79,21 @@ def read_range(lines: DataFrame, requests: DataFrame, cap: int = MOST_LINES, cha
     return asked.join(text, "request_id", "left").select("request_id", F.coalesce(error, F.concat(header, F.coalesce("body", F.lit("")))).alias("answer"))
 
 
-def corpus_fingerprint(files: DataFrame, groups: int = 256) -> DataFrame:
-    """files, fingerprint: a hash over the sorted hashes of (path, text), in two levels so that no task holds all files."""
-    rows = files.select(F.sha2(F.concat_ws("\n", "path", F.sha2("text", 256)), 256).alias("h"))
-    first = rows.groupBy(F.substring("h", 1, 2).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("h"))
-    return first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "h"))), lambda x: x.h), ","), 256).alias("fingerprint"))
+def corpus_fingerprint(files: DataFrame, group_rows: int = 65_536) -> DataFrame:
+    """files, fingerprint: a hash over the sorted hashes of (path, text).
+
+    Hashes are folded by prefix, a hex digit a level, from groups of about ``group_rows`` files up to one, so the number of
+    groups grows with the corpus and no task holds more than one of them; up to ``group_rows`` files there is one level.
+    """
+    level = cut(files.select(F.sha2(F.concat_ws("\n", "path", F.sha2("text", 256)), 256).alias("h")))
+    many, depth = level.count(), 0
+    while many > group_rows * 16**depth:
+        depth += 1
+    level = level.select(F.substring("h", 1, depth).alias("g"), F.lit(1).cast("bigint").alias("n"), "h")
+    for digits in range(depth, -1, -1):
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "h"))), lambda x: x.h), ",")
+        level = level.groupBy(F.substring("g", 1, digits).alias("k")).agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("h")).select(F.col("k").alias("g"), "n", "h")
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("fingerprint"))
 
 
 def lookup(store: DataFrame, asked: DataFrame, cap: int = 5) -> DataFrame:
@@ -99,7 +111,7 @@ def lookup(store: DataFrame, asked: DataFrame, cap: int = 5) -> DataFrame:
 
 
 def corpus_surface(files: DataFrame, suffix: str = ".py") -> DataFrame:
-    """folder, modules: sorted module names of each folder."""
+    """folder, module: the distinct module names of each folder, a row each, sorted by range over the whole table."""
     own = files.where(F.endswith("path", F.lit(suffix)))
     split = own.select(F.regexp_extract("path", r"^(.*?)/?[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)\.[^.]*$", 1).alias("module"))
-    return split.groupBy("folder").agg(F.sort_array(F.collect_set("module")).alias("modules"))
+    return split.distinct().orderBy("folder", "module")

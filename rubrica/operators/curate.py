@@ -10,16 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fenced_blocks, numbered_line, syntax_ok
+from .grading import broken
 
 MAX_SPAN = 300
 
 
-def broken(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
-    """keys, rule for each rule whose condition is true."""
-    found = F.array_compact(F.array(*(F.when(F.coalesce(cond, F.lit(False)), F.lit(rule)) for rule, cond in rules.items())))
-    return df.select(*keys, F.explode(found).alias("rule"))
-
-
 def question_violations(df: DataFrame, key: str, question: str, least_chars: int = 400, least_paragraphs: int = 2) -> DataFrame:
     q = F.coalesce(F.col(question), F.lit(""))
     paragraphs = F.size(F.filter(F.split(q, r"\n\n"), lambda p: F.trim(p) != ""))
@@ -137,26 +132,39 @@ def excerpt_mismatch(spans: DataFrame, lines: DataFrame, keys: list[str]) -> Dat
 
 
 def accept_rounds(attempts: DataFrame, key: str, most: int = 3) -> DataFrame:
-    """key, passed_round, rounds, status from (key, round, scores, needs_regrade).
+    """key, passed_round, rounds, status, failures (of the last round), history of each bundle's attempts.
 
-    A round passes when all its scores are 1 and no regrade is asked for. Without a pass, a bundle is dropped after ``most``
-    rounds and open before that.
+    ``attempts``: key, round (from 0), claims (array of claim_id, score, rationale), needs_regrade and, if rules have been
+    checked before, failures (array). A round passes when it has no failure: no broken rule, no regrade, every score 1.
+    Without a pass, a bundle is dropped after ``most`` revisions and open before that. ``history`` lists round and failures
+    in order.
     """
-    ok = F.forall("scores", lambda s: F.coalesce(s.cast("string") == "1", F.lit(False))) & ~F.coalesce("needs_regrade", F.lit(False))
-    per = attempts.groupBy(key).agg(F.min(F.when(ok, F.col("round"))).alias("passed_round"), F.max("round").alias("rounds"))
+    low = F.filter("claims", lambda c: ~F.coalesce(c.score.cast("string").try_cast("double") >= 1, F.lit(False)))
+    told = F.transform(low, lambda c: F.concat_ws(" ", F.concat_ws(": ", c.claim_id, F.coalesce(c.score.cast("string"), F.lit("none"))), c.rationale))
+    before = F.coalesce("failures", F.array().cast("array<string>")) if "failures" in attempts.columns else F.array().cast("array<string>")
+    regrade = F.when(F.coalesce("needs_regrade", F.lit(False)), F.array(F.lit("regrade"))).otherwise(F.array().cast("array<string>"))
+    judged = attempts.select(key, "round", F.when(F.size(before) > 0, before).otherwise(F.concat(regrade, told)).alias("failures"))
+    per = judged.groupBy(key).agg(F.min(F.when(F.size("failures") == 0, F.col("round"))).alias("passed_round"), F.max("round").alias("rounds"), F.sort_array(F.collect_list(F.struct("round", "failures"))).alias("history"))
     status = F.when(F.col("passed_round").isNotNull(), "accepted").when(F.col("rounds") >= most, "dropped").otherwise("open")
-    return per.withColumn("status", status)
+    return per.select(key, "passed_round", "rounds", status.alias("status"), F.element_at("history", -1).failures.alias("failures"), "history")
 
 
-def final_report(df: DataFrame, topic: str, difficulty: str, question: str, status: str) -> DataFrame:
-    """Per topic: bundles, kept, revised, dropped, hard ones, median question length of kept ones."""
+def final_report(df: DataFrame, topic: str, difficulty: str, question: str, status: str, scope: str | None = None) -> DataFrame:
+    """Per topic: bundles, kept, revised, dropped, hard ones, median question length of kept ones and, with the column
+    ``scope`` (from ``tag_scope``), in_scope: the size of the derived set of kept bundles inside it."""
     kept = F.col(status) != "dropped"
+    more = [F.count_if(kept & F.coalesce(F.col(scope), F.lit(False))).alias("in_scope")] if scope else []
     return df.groupBy(topic).agg(
         F.count(F.lit(1)).alias("bundles"), F.count_if(kept).alias("kept"), F.count_if(F.col(status) == "revised").alias("revised"), F.count_if(~kept).alias("dropped"),
-        F.count_if(kept & (F.col(difficulty) == "hard")).alias("hard"), F.percentile(F.when(kept, F.char_length(question)), F.lit(0.5)).alias("median_chars"),
+        F.count_if(kept & (F.col(difficulty) == "hard")).alias("hard"), F.percentile(F.when(kept, F.char_length(question)), F.lit(0.5)).alias("median_chars"), *more,
     )
 
 
+def derived_scope(df: DataFrame, status: str, scope: str) -> DataFrame:
+    """The kept bundles whose evidence lies inside the scope."""
+    return df.where((F.col(status) != "dropped") & F.coalesce(F.col(scope), F.lit(False)))
+
+
 def stratified_split(df: DataFrame, key: str, topic: str, total: int, seed: int) -> DataFrame:
     """``df`` with split: dev or study. Each topic gives total // topics rows to dev, the first total % topics (sorted) one more.
 

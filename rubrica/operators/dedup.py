@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.text import jaccard, normalize_text, shingle_hashes, shingles
 from .lineage import cut
@@ -65,7 +66,7 @@ def _factors(permutations: int) -> tuple[np.ndarray, np.ndarray]:
 def _minima(permutations: int):
     factors, shifts = _factors(permutations)
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf(ArrayType(LongType()))
     def minima(sets: pa.Array) -> pa.Array:
         """Minima of each set, none of them empty: a pass over the flat hashes for each permutation."""
         bounds = sets.offsets.to_numpy().astype(np.int64)
@@ -78,7 +79,7 @@ def _minima(permutations: int):
     return minima
 
 
-@F.arrow_udf("array<bigint>")
+@F.arrow_udf(ArrayType(LongType()))
 def _planes(signatures: pa.Array) -> pa.Array:
     """The highest bit of all minima, then the next, 64 permutations a number."""
     minima = np.stack(signatures.to_numpy(zero_copy_only=False)) if len(signatures) else np.zeros((0, 64), np.int64)

@@ -115,20 +115,35 @@ def trim_to_ceiling(entries: DataFrame, note: str, cap: int = NOTE_CEILING, over
     return sized.withColumn("__sum", total).where(F.col("__sum") + overhead <= cap).drop("__size", "__sum")
 
 
-def render_note(entries: DataFrame, plan: DataFrame, note: str, title: str) -> DataFrame:
-    """note, rendered: a title, then sections in the plan's order with their entries in order."""
+def render_note(entries: DataFrame, plan: DataFrame, note: str, title: str, protocol: str = "", store: DataFrame | None = None, keys_title: str = "Keys") -> DataFrame:
+    """note, rendered: a title, the answer protocol if there is one, sections in the plan's order with their entries in order,
+    and, with ``store`` (note, position, store_key), an index of the keys that can be looked up. A note may be an index alone."""
     blocks = entries.withColumn("__b", entry_block()).groupBy(note, "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "__b"))), lambda x: x["__b"]), "\n\n").alias("body"))
     placed = blocks.join(plan.select(F.col("name").alias("section"), F.col("position").alias("p")), "section")
-    section = F.concat(F.lit("## "), "section", F.lit("\n\n"), "body")
-    notes = placed.groupBy(note).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", section.alias("s")))), lambda x: x.s), "\n\n").alias("body"))
-    return notes.select(note, F.concat(F.lit(f"# {title}\n\n"), "body", F.lit("\n")).alias("rendered"))
+    parts = placed.select(note, "p", F.concat(F.lit("## "), "section", F.lit("\n\n"), "body").alias("s"))
+    if store is not None:
+        line = F.transform(F.sort_array(F.collect_list(F.struct("position", "store_key"))), lambda x: F.concat(F.lit("- `"), x.store_key.cast("string"), F.lit("`")))
+        index = store.groupBy(note).agg(F.concat(F.lit(f"## {keys_title}\n"), F.array_join(line, "\n")).alias("s"))
+        parts = parts.unionByName(index.select(note, F.lit(2147483647).alias("p"), "s"))
+    notes = parts.groupBy(note).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "s"))), lambda x: x.s), "\n\n").alias("body"))
+    head = f"# {title}\n\n" + (f"## Answer protocol\n{protocol.strip()}\n\n" if protocol.strip() else "")
+    return notes.select(note, F.concat(F.lit(head), "body", F.lit("\n")).alias("rendered"))
 
 
-def object_entries(df: DataFrame, topic: str, order: str) -> DataFrame:
-    """``df`` with object_id t{topic}e{entry}: topics in sorted order and entries by ``order`` in them, from 0."""
-    topics = df.select(topic).distinct().withColumn("__t", F.row_number().over(Window.orderBy(topic)) - 1)  # a row a topic
-    placed = df.join(topics, topic).withColumn("__e", F.row_number().over(Window.partitionBy(topic).orderBy(order)) - 1)
-    return placed.withColumn("object_id", F.concat(F.lit("t"), F.col("__t").cast("string"), F.lit("e"), F.col("__e").cast("string"))).drop("__t", "__e")
+def object_entries(protocol: DataFrame, items: DataFrame, places: DataFrame, topic: str = "topic", order: str = "position") -> DataFrame:
+    """One list of entries with object_id and type: p{i} for the protocol's, t{topic}i{i} for items and t{topic}m{i} for places.
+
+    Topics count in sorted order over items and places, entries by ``order`` in their list, all from 0. Fields that a kind of
+    entry lacks are null. The protocol is one short list; topics are a row each.
+    """
+    topics = items.select(topic).union(places.select(topic)).distinct()
+    topics = topics.withColumn("__t", F.row_number().over(Window.orderBy(topic)) - 1)  # a row a topic
+    within = F.row_number().over(Window.partitionBy(topic).orderBy(order)) - 1
+    ident = lambda letter: F.concat(F.lit("t"), F.col("__t").cast("string"), F.lit(letter), within.cast("string"))
+    head = protocol.withColumns({"object_id": F.concat(F.lit("p"), (F.row_number().over(Window.orderBy(order)) - 1).cast("string")), "type": F.lit("protocol_item")})
+    body = items.join(F.broadcast(topics), topic).withColumns({"object_id": ident("i"), "type": F.lit("content_item")})
+    where = places.join(F.broadcast(topics), topic).withColumns({"object_id": ident("m"), "type": F.lit("map_entry")})
+    return head.unionByName(body, allowMissingColumns=True).unionByName(where, allowMissingColumns=True).drop("__t")
 
 
 def excerpt_votes(nominations: DataFrame, files: DataFrame, most_lines: int = MOST_EXCERPT_LINES, most: int = MOST_EXCERPTS, by: str | None = None) -> DataFrame:

@@ -57,7 +57,10 @@ NOTEBOOK = "sections array<struct<id:string,title:string,content:string>>, next_
 
 
 def fold_operations(sections: list[dict], next_id: int, operations: list[tuple]) -> tuple[list[dict], int, list[str]]:
-    """Applies (op, section_id, title, content) in order; what can't be applied is skipped with a reason."""
+    """Applies (op, section_id, title, content) in order; what can't be applied is skipped, with a reason code.
+
+    incomplete: an addition without title or content; unknown_section; no_content; unknown_op.
+    """
     held = {s["id"]: dict(s) for s in sections}  # insertion order is the notebook's
     skipped = []
     for op, ident, title, content in operations:
@@ -67,19 +70,19 @@ def fold_operations(sections: list[dict], next_id: int, operations: list[tuple])
                 held[f"s{next_id}"] = {"id": f"s{next_id}", "title": title, "content": content}
                 next_id += 1
             else:
-                skipped.append("add_section without title or content")
+                skipped.append("incomplete")
         elif ident not in held:
-            skipped.append(f"{op} on unknown section {ident}")
+            skipped.append(f"unknown_section:{ident}")
         elif op == "delete_section":
             del held[ident]
         elif not content:
-            skipped.append(f"{op} {ident} without content")
+            skipped.append(f"no_content:{ident}")
         elif op == "replace_section":
             held[ident] |= {"content": content} | ({"title": title} if title else {})
         elif op == "append_to_section":
             held[ident]["content"] = f"{held[ident]['content'].rstrip()}\n{content}".strip()
         else:
-            skipped.append(f"unknown operation {op}")
+            skipped.append(f"unknown_op:{op}")
     return list(held.values()), next_id, skipped
 
 

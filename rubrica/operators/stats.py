@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut, numbered
 from .metrics import expertise
 
 
@@ -14,11 +15,24 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+class PopulationError(ValueError):
+    """Two arms that don't have the same episodes."""
+
+
+def shared_population(a: DataFrame, b: DataFrame, keys: tuple = ("budget", "qid")) -> tuple[DataFrame, DataFrame]:
+    """Both arms without the keys that only one has: for callers who choose to compare what is common."""
+    return a.join(b.select(*keys).distinct(), list(keys), "left_semi"), b.join(a.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def paired_questions(a: DataFrame, b: DataFrame) -> DataFrame:
-    """budget, qid, a, b, delta of the questions that both arms (budget, qid, score) have."""
+    """budget, qid, a, b, delta of two arms (budget, qid, score). Arms with other questions than each other's raise."""
     left = a.groupBy("budget", "qid").agg(F.avg("score").alias("a"))
     right = b.groupBy("budget", "qid").agg(F.avg("score").alias("b"))
-    return left.join(right, ["budget", "qid"]).withColumn("delta", F.col("b") - F.col("a"))
+    both = cut(left.join(right, ["budget", "qid"], "full"))
+    gaps = both.where(F.col("a").isNull() | F.col("b").isNull()).limit(3).collect()
+    if gaps:
+        raise PopulationError(f"the arms' populations differ, such as at {[(g.budget, g.qid) for g in gaps]}")
+    return both.withColumn("delta", F.col("b") - F.col("a"))
 
 
 def paired_deltas(pairs: DataFrame) -> DataFrame:
@@ -67,8 +81,8 @@ def bootstrap_interval(deltas: DataFrame, reps: int, bounds: tuple[float, float]
 
 
 def number_questions(sums: DataFrame) -> DataFrame:
-    """qid, place from 0 in the order of qid: a row a question, of which a benchmark has few."""
-    return sums.select("qid").distinct().withColumn("place", F.row_number().over(Window.orderBy("qid")) - 1)
+    """qid, place from 0 in the order of qid."""
+    return numbered(sums.select("qid").distinct(), ["qid"], "place")
 
 
 def leave_one_out(sums: DataFrame, a: str, b: str, n: int | None = 4) -> DataFrame:
@@ -119,6 +133,15 @@ def budget_transitions(means: DataFrame, order: list[str]) -> DataFrame:
     return moved.groupBy("from_budget", F.col("budget").alias("to_budget")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"), F.count_if(F.col("d") == 0).alias("tied"))
 
 
+def largest_gainers(means: DataFrame, low: str, high: str, k: int = 5) -> DataFrame:
+    """run, rank, qid, low, high, gain: the ``k`` questions of each run (run, budget, qid, score) that gain most between two budgets."""
+    at = lambda budget: F.max(F.when(F.col("budget") == budget, F.col("score")))
+    wide = means.where(F.col("budget").isin(low, high)).groupBy("run", "qid").agg(at(low).alias("low"), at(high).alias("high"))
+    gains = wide.withColumn("gain", F.col("high") - F.col("low")).where("gain IS NOT NULL")
+    rank = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("gain"), "qid"))
+    return gains.withColumn("rank", rank).where(F.col("rank") <= k).select("run", "rank", "qid", "low", "high", "gain")
+
+
 def with_corrections(claims: DataFrame, fixes: DataFrame, keys: list[str]) -> DataFrame:
     """``claims`` with corrected scores where ``fixes`` (keys, score) has them."""
     return claims.join(fixes.select(*keys, F.col("score").alias("fixed")), keys, "left").withColumn("score", F.coalesce("fixed", "score")).drop("fixed")

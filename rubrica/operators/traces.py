@@ -36,11 +36,14 @@ def explode_turns(episodes: DataFrame, turns: str, keys: list[str]) -> DataFrame
 
 
 def turn_counts(turns: DataFrame, keys: list[str], tool: str = "tool") -> DataFrame:
-    """Per episode: turns, finish catches (the tool ``finish`` before the last turn), other tool calls."""
-    last = F.max("turn").over(Window.partitionBy(*keys))
-    marked = turns.withColumn("__last", last)
-    finish = F.col(tool) == "finish"
-    return marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("turns"), F.count_if(finish & (F.col("turn") < F.col("__last"))).alias("finish_catches"), F.count_if(~finish).alias("tool_calls"))
+    """Per episode: turns, finish catches (calls of the tool ``finish``), other tool calls."""
+    finish = F.coalesce(F.col(tool) == "finish", F.lit(False))
+    return turns.groupBy(*keys).agg(F.count(F.lit(1)).alias("turns"), F.count_if(finish).alias("finish_catches"), F.count_if(~finish).alias("tool_calls"))
+
+
+def forced_status(status: Column, budget: Column, turns: Column, most: Column) -> Column:
+    """An episode's status, which becomes ``forced_short`` where a forced budget ended well with fewer turns than it demands."""
+    return F.when((budget == "forced") & (status == "ok") & (turns != most), "forced_short").otherwise(status)
 
 
 def render_trajectory(turns: DataFrame, keys: list[str], order: str, fields: list[str], cap: int = 300, long_cap: int = 1200, touched: str | None = None) -> DataFrame:
@@ -70,6 +73,14 @@ def file_touches(df: DataFrame, text: str, session: str, pattern: str, k: int =
     return ranked.join(total, how="cross").select("file", "sessions", "rank", (F.col("sessions") / F.col("total")).alias("share"))
 
 
+def touch_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """shared, share_a, share_b: how many files two rankings (``file_touches``) have in common, as a count and as shares of each."""
+    sizes = lambda df, name: df.select("file").distinct().withColumn(name, F.lit(True))
+    both = sizes(a, "in_a").join(sizes(b, "in_b"), "file", "full")
+    shared = F.count_if(F.col("in_a") & F.col("in_b"))
+    return both.agg(shared.alias("shared"), F.try_divide(shared, F.count("in_a")).alias("share_a"), F.try_divide(shared, F.count("in_b")).alias("share_b"))
+
+
 def touched_turns(claims: DataFrame, turns: DataFrame, key: str, paths: str, text: str, claim: str = "claim_id", turn: str = "turn") -> DataFrame:
     """key, claim, touched: the turns whose text has one of the claim's paths; claims without any are left out."""
     wanted = claims.select(key, claim, F.explode(paths).alias("__path"))

@@ -198,22 +198,30 @@ def cu13(spark, sf_dir):
 
 @query(
     "cu14_accept_rounds",
-    f"WITH {R}, a AS (SELECT qid % 3000 AS b, qid // 3000 AS round, min(score) AS ok FROM r GROUP BY 1, 2), p AS (SELECT b, min(round) FILTER (ok = 1) AS passed, max(round) AS rounds FROM a GROUP BY b) SELECT b, coalesce(passed, -1) AS passed_round, rounds, CASE WHEN passed IS NOT NULL THEN 'accepted' WHEN rounds >= 3 THEN 'dropped' ELSE 'open' END AS status FROM p",
+    f"WITH {R}, a AS (SELECT qid % 3000 AS b, qid // 3000 AS round, count(*) FILTER (score = 0) AS low, bool_or(qid % 7 = 0) AS rules, bool_or(qid % 5 = 0) AS regrade FROM r GROUP BY 1, 2), f AS (SELECT b, round, CASE WHEN rules THEN 1 ELSE low + CAST(regrade AS INTEGER) END AS n FROM a), "
+    "p AS (SELECT b, min(round) FILTER (n = 0) AS passed, max(round) AS rounds, CAST(arg_max(n, round) AS INTEGER) AS failures, string_agg(round || ':' || n, ' ' ORDER BY round) AS history FROM f GROUP BY b) "
+    "SELECT b, coalesce(passed, -1) AS passed_round, rounds, CASE WHEN passed IS NOT NULL THEN 'accepted' WHEN rounds >= 3 THEN 'dropped' ELSE 'open' END AS status, failures, history FROM p",
 )
 def cu14(spark, sf_dir):
-    attempts = claims(spark, sf_dir).groupBy((F.col("qid") % 3000).alias("b"), F.floor(F.col("qid") / 3000).alias("round")).agg(F.collect_list("score").alias("scores"), F.lit(False).alias("needs_regrade"))
-    return curate.accept_rounds(attempts, "b").withColumn("passed_round", F.coalesce("passed_round", F.lit(-1)))
+    q = F.col("qid")
+    claim = F.struct("claim_id", F.col("score").cast("string").alias("score"), F.lit("why").alias("rationale"))
+    attempts = claims(spark, sf_dir).groupBy((q % 3000).alias("b"), F.floor(q / 3000).alias("round")).agg(
+        F.collect_list(claim).alias("claims"), F.bool_or(q % 5 == 0).alias("needs_regrade"), F.when(F.bool_or(q % 7 == 0), F.array(F.lit("rule"))).alias("failures")
+    )
+    out = curate.accept_rounds(attempts, "b")
+    history = F.array_join(F.transform("history", lambda h: F.concat_ws(":", h["round"].cast("string"), F.size(h.failures).cast("string"))), " ")
+    return out.select("b", F.coalesce("passed_round", F.lit(-1)).alias("passed_round"), "rounds", "status", F.size("failures").alias("failures"), history.alias("history"))
 
 
 @query(
     "cu15_final_report",
-    "WITH d AS (SELECT source, n_chars, CASE doc_id % 5 WHEN 0 THEN 'dropped' WHEN 1 THEN 'revised' ELSE 'accepted' END AS status, length(text) AS n FROM documents) SELECT source, CAST(count(*) AS BIGINT) AS bundles, CAST(count(*) FILTER (status <> 'dropped') AS BIGINT) AS kept, CAST(count(*) FILTER (status = 'revised') AS BIGINT) AS revised, CAST(count(*) FILTER (status = 'dropped') AS BIGINT) AS dropped, "
-    "CAST(count(*) FILTER (status <> 'dropped' AND n_chars > 1000) AS BIGINT) AS hard, median(n) FILTER (status <> 'dropped') AS median_chars FROM d GROUP BY source",
+    "WITH d AS (SELECT source, n_chars, doc_id % 3 = 0 AS scope, CASE doc_id % 5 WHEN 0 THEN 'dropped' WHEN 1 THEN 'revised' ELSE 'accepted' END AS status, length(text) AS n FROM documents) SELECT source, CAST(count(*) AS BIGINT) AS bundles, CAST(count(*) FILTER (status <> 'dropped') AS BIGINT) AS kept, CAST(count(*) FILTER (status = 'revised') AS BIGINT) AS revised, CAST(count(*) FILTER (status = 'dropped') AS BIGINT) AS dropped, "
+    "CAST(count(*) FILTER (status <> 'dropped' AND n_chars > 1000) AS BIGINT) AS hard, median(n) FILTER (status <> 'dropped') AS median_chars, CAST(count(*) FILTER (status <> 'dropped' AND scope) AS BIGINT) AS in_scope FROM d GROUP BY source",
 )
 def cu15(spark, sf_dir):
     i = F.col("doc_id") % 5
-    d = table(spark, sf_dir, "documents").withColumns({"status": F.when(i == 0, "dropped").when(i == 1, "revised").otherwise("accepted"), "difficulty": F.when(F.col("n_chars") > 1000, "hard").otherwise("easy")})
-    return curate.final_report(d, "source", "difficulty", "text", "status")
+    d = table(spark, sf_dir, "documents").withColumns({"status": F.when(i == 0, "dropped").when(i == 1, "revised").otherwise("accepted"), "difficulty": F.when(F.col("n_chars") > 1000, "hard").otherwise("easy"), "scope": F.col("doc_id") % 3 == 0})
+    return curate.final_report(d, "source", "difficulty", "text", "status", "scope")
 
 
 @query(
@@ -266,7 +274,7 @@ def cs3(spark, sf_dir):
 
 @query(
     "cs4_corpus_fingerprint",
-    f"WITH {FILES}, h AS (SELECT sha256(path || chr(10) || sha256(text)) AS h FROM f), g AS (SELECT substr(h, 1, 2) AS g, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(h, ',' ORDER BY g)) AS fingerprint FROM g",
+    f"WITH {FILES}, h AS (SELECT sha256(path || chr(10) || sha256(text)) AS h FROM f) SELECT CAST(count(*) AS BIGINT) AS files, sha256(string_agg(h, ',' ORDER BY h)) AS fingerprint FROM h",
 )
 def cs4(spark, sf_dir):
     return codesearch.corpus_fingerprint(corpus(spark, sf_dir))
@@ -282,9 +290,9 @@ def cs5(spark, sf_dir):
     return codesearch.lookup(corpus(spark, sf_dir).select(F.col("path").alias("key")), asked).withColumn("keys", F.array_join("keys", ","))
 
 
-@query("cs6_corpus_surface", "SELECT source AS folder, string_agg('d' || doc_id, ',' ORDER BY 'd' || doc_id) AS modules FROM documents GROUP BY source")
+@query("cs6_corpus_surface", "SELECT DISTINCT source AS folder, 'd' || doc_id AS module FROM documents")
 def cs6(spark, sf_dir):
-    return codesearch.corpus_surface(corpus(spark, sf_dir)).withColumn("modules", F.array_join("modules", ","))
+    return codesearch.corpus_surface(corpus(spark, sf_dir))
 
 
 # fold-back
@@ -398,16 +406,29 @@ def fb11(spark, sf_dir):
 
 @query(
     "fb12_render_note",
-    f"{TRIM}, s AS (SELECT topic, section, string_agg({BLOCK}, chr(10) || chr(10) ORDER BY position) AS body FROM y WHERE total <= 2000 GROUP BY 1, 2) SELECT topic, md5('# Notes' || chr(10) || chr(10) || string_agg('## ' || section || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY section) || chr(10)) AS note_md5 FROM s GROUP BY topic",
+    f"{TRIM}, s AS (SELECT topic, section, string_agg({BLOCK}, chr(10) || chr(10) ORDER BY position) AS body FROM y WHERE total <= 2000 GROUP BY 1, 2), "
+    "p AS (SELECT topic, string_agg('## ' || section || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY section) AS body FROM s GROUP BY topic), "
+    "i AS (SELECT topic, '## Keys' || chr(10) || string_agg('- `k' || id || '`', chr(10) ORDER BY position) AS keys FROM h WHERE id % 10 = 0 GROUP BY topic) "
+    "SELECT topic, md5('# Notes' || chr(10) || chr(10) || '## Answer protocol' || chr(10) || 'Look first.' || chr(10) || chr(10) || concat_ws(chr(10) || chr(10), body, keys) || chr(10)) AS note_md5 FROM p FULL JOIN i USING (topic)",
 )
 def fb12(spark, sf_dir):
-    kept = foldback.trim_to_ceiling(homed(spark, sf_dir), "topic", 2000)
-    return foldback.render_note(kept, plan(spark), "topic", "Notes").select("topic", F.md5("rendered").alias("note_md5"))
+    entries_ = homed(spark, sf_dir)
+    kept = foldback.trim_to_ceiling(entries_, "topic", 2000)
+    store = entries_.where("id % 10 = 0").select("topic", "position", F.concat(F.lit("k"), F.col("id").cast("string")).alias("store_key"))
+    return foldback.render_note(kept, plan(spark), "topic", "Notes", "Look first.", store).select("topic", F.md5("rendered").alias("note_md5"))
 
 
-@query("fb13_object_entries", f"WITH {ENTRIES}, t AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS t FROM (SELECT DISTINCT topic FROM en)) SELECT id, 't' || t || 'e' || (row_number() OVER (PARTITION BY topic ORDER BY position) - 1) AS object_id FROM en JOIN t USING (topic)")
+@query(
+    "fb13_object_entries",
+    f"WITH {ENTRIES}, pl AS (SELECT o_orderkey AS id, o_custkey % 60 AS topic FROM orders WHERE o_orderkey % 11 = 0), t AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS t FROM (SELECT topic FROM en UNION SELECT topic FROM pl)) "
+    "SELECT id, 't' || t || 'i' || (row_number() OVER (PARTITION BY topic ORDER BY position) - 1) AS object_id, 'content_item' AS type FROM en JOIN t USING (topic) "
+    "UNION ALL SELECT id, 't' || t || 'm' || (row_number() OVER (PARTITION BY topic ORDER BY id) - 1), 'map_entry' FROM pl JOIN t USING (topic) "
+    "UNION ALL SELECT n_nationkey, 'p' || (row_number() OVER (ORDER BY n_nationkey) - 1), 'protocol_item' FROM nation",
+)
 def fb13(spark, sf_dir):
-    return foldback.object_entries(entries(spark, sf_dir), "topic", "position").select("id", "object_id")
+    protocol = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_nationkey").cast("bigint").alias("position"), F.col("n_name").alias("text"))
+    places = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("position"), (F.col("o_custkey") % 60).alias("topic"), F.lit("f.py").alias("file"))
+    return foldback.object_entries(protocol, entries(spark, sf_dir), places).select("id", "object_id", "type")
 
 
 @query(
@@ -434,12 +455,12 @@ def fb16(spark, sf_dir):
     return foldback.variants(entries(spark, sf_dir), "Pit|URG|LOW")
 
 
-@query("fb17_findings", "SELECT day(ts) % 6 AS round, event_id AS qid, CASE event_type WHEN 'click' THEN '' ELSE event_type || ': said ' || event_type END AS mistakes, CASE WHEN event_type <> 'click' THEN 'gold ' || event_id ELSE '' END AS gold FROM events WHERE event_id % 2 = 0")
+@query("fb17_findings", "SELECT day(ts) % 6 AS round, event_id AS qid, CASE event_type WHEN 'click' THEN '' ELSE event_type || ': said ' || event_type END AS mistakes, CASE WHEN event_type <> 'click' THEN 'gold ' || event_id ELSE '' END AS gold FROM events")
 def fb17(spark, sf_dir):
     from .trace_queries import quizzes
 
     q = quizzes(spark, sf_dir)
-    gold = q.where("qid % 2 = 0").select("qid", F.concat(F.lit("gold "), F.col("qid").cast("string")).alias("gold_program"))
+    gold = q.select("qid", F.concat(F.lit("gold "), F.col("qid").cast("string")).alias("gold_program"))
     return foldback.findings(gold, q).select("round", "qid", F.array_join("mistakes", ",").alias("mistakes"), F.coalesce("gold", F.lit("")).alias("gold"))
 
 

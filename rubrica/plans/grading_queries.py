@@ -36,6 +36,28 @@ def gr2(spark, sf_dir):
     return grading.verdict_violations(given, c.where("claim_id <> 'c7'"), "qid")
 
 
+#: Rules in the order of the remainder of o_orderkey by 9 that breaks them; with the last remainder all hold.
+FAULTS = ["json", "fields", "claims", "claim_fields", "regrade", "total", "stop", "usage"]
+_ONE = '{"claim_id":"c1","score":1,"rationale":"r"'
+
+
+@query(
+    "gr2_response_violations",
+    "WITH o AS (SELECT o_orderkey, o_custkey, o_orderkey % 9 AS k FROM orders) "
+    + " UNION ALL ".join(f"SELECT o_orderkey, '{rule}' AS rule FROM o WHERE k = {i}" for i, rule in enumerate(FAULTS))
+    + " UNION ALL SELECT o_orderkey, 'budget' AS rule FROM o WHERE o_custkey >= 500",
+)
+def gr2_responses(spark, sf_dir):
+    k = F.col("o_orderkey") % 9
+    claims_ = F.when(k == 2, F.lit('{"c1":{"score":1,"rationale":"r"}}')).when(k == 3, F.lit(f'[{_ONE},"note":"n"}}]')).otherwise(F.lit(f"[{_ONE}}}]"))
+    regrade, total = F.when(k == 4, "true").otherwise("false"), F.when(k == 5, F.lit('"40"')).otherwise(F.col("o_custkey").cast("string"))
+    body = F.concat(F.lit('{"claims":'), claims_, F.lit(',"question_score":'), total, F.lit(',"needs_regrade":'), regrade, F.when(k == 1, F.lit(',"more":1}')).otherwise("}"))
+    n = F.col("o_custkey").cast("bigint")
+    usage = F.struct(n.alias("prompt_tokens"), n.alias("completion_tokens"), (2 * n + F.when(k == 7, 1).otherwise(0)).alias("total_tokens"))
+    raw = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k == 0, F.substr(body, F.lit(1), F.length(body) - 1)).otherwise(body).alias("content"), F.when(k == 6, "length").otherwise("stop").alias("finish"), usage.alias("usage"))
+    return grading.response_violations(raw, ["o_orderkey"], "content", "paper", "finish", "usage", 500)
+
+
 @query("gr3_lenient_score", f"WITH {R} SELECT qid, CAST(sum(weight * score) AS BIGINT) AS lenient FROM r GROUP BY qid")
 def gr3(spark, sf_dir):
     c = claims(spark, sf_dir)
@@ -53,7 +75,8 @@ def gr4(spark, sf_dir):
 def gr5(spark, sf_dir):
     c = claims(spark, sf_dir)
     answered = c.where("qid % 3 <> 0").select("qid", "claim_id", "score", F.lit("why").alias("rationale"))
-    return grading.zero_fill(c.select("qid").distinct(), c, answered, ["qid"], "qid")
+    status = F.when(F.col("qid") % 3 == 0, "no_answer").otherwise("ok")
+    return grading.zero_fill(c.select("qid", status.alias("status")).distinct(), c, answered, ["qid"], "qid")
 
 
 @query(
@@ -77,8 +100,9 @@ GRID = "x AS (SELECT run, budget, rollout, qid FROM (SELECT DISTINCT run FROM g)
 )
 def gr7(spark, sf_dir):
     g = grades(spark, sf_dir)
-    manifest = g.groupBy("run").agg(F.array(*map(F.lit, BUDGETS)).alias("budgets"), F.lit(3).alias("rollouts"), F.collect_set(F.when(F.col("qid") % 2 == 0, F.col("qid"))).alias("question_ids"))
-    return grading.population_gaps(grading.grid_of(manifest), g, ["run", "budget", "rollout", "qid"])
+    manifest = g.groupBy("run").agg(F.array(*map(F.lit, BUDGETS)).alias("budgets"), F.lit(3).alias("rollouts"))
+    asked = g.select("run").distinct().join(g.where("qid % 2 = 0").select("qid").distinct(), how="cross")  # two runs
+    return grading.population_gaps(grading.grid_of(manifest, asked), g, ["run", "budget", "rollout", "qid"])
 
 
 SEED_SQL = "('0x' || substr(sha256(run || '|' || budget || '|' || rollout || '|' || qid), 1, 8))::BIGINT & 2147483647"
@@ -86,16 +110,21 @@ SEED_SQL = "('0x' || substr(sha256(run || '|' || budget || '|' || rollout || '|'
 
 @query(
     "gr8_episode_violations",
-    f"WITH {G} SELECT event_id, 'status' AS rule FROM g WHERE event_id % 11 = 0 UNION ALL SELECT event_id, 'answer' AS rule FROM g WHERE event_id % 11 <> 0 AND event_id % 13 = 0 "
-    "UNION ALL SELECT event_id, 'tokens' AS rule FROM g WHERE tokens - 600 < 0 UNION ALL SELECT event_id, 'seed' AS rule FROM g WHERE event_id % 17 = 0",
+    f"WITH {G} SELECT event_id, 'status' AS rule FROM g WHERE event_id % 11 = 0 UNION ALL SELECT event_id, 'answer' AS rule FROM g WHERE status = 'ok' AND event_id % 11 <> 0 AND event_id % 13 = 0 "
+    "UNION ALL SELECT event_id, 'tokens' AS rule FROM g WHERE tokens - 600 < 0 UNION ALL SELECT event_id, 'seed' AS rule FROM g WHERE event_id % 17 = 0 "
+    "UNION ALL SELECT event_id, 'key' AS rule FROM g WHERE event_id % 19 = 0 OR event_id % 23 = 0 UNION ALL SELECT event_id, 'fingerprint' AS rule FROM g WHERE event_id % 29 = 0",
 )
 def gr8(spark, sf_dir):
+    i = F.col("event_id")
     seed = ids.stable_seed(F.col("run"), F.col("budget"), F.col("rollout"), F.col("qid"))
+    asked = F.concat(F.lit("note\n\nquestion "), F.col("qid").cast("string"))
     e = grades(spark, sf_dir).withColumns({
-        "status": F.when(F.col("event_id") % 11 == 0, "failed").otherwise("ok"), "answer": F.when(F.col("event_id") % 13 == 0, " ").otherwise("x = 1"),
-        "gen_tokens": F.col("tokens") - 600, "seed": F.when(F.col("event_id") % 17 == 0, seed + 1).otherwise(seed),
+        "status": F.when(i % 11 == 0, "failed").otherwise(F.col("status")), "answer": F.when((F.col("status") == "no_answer") | (i % 13 == 0), " ").otherwise("x = 1"),
+        "gen_tokens": F.col("tokens") - 600, "seed": F.when(i % 17 == 0, seed + 1).otherwise(seed), "path_budget": F.when(i % 19 == 0, "other").otherwise(F.col("budget")),
+        "path_qid": F.when(i % 23 != 0, F.col("qid")), "question_sha256": F.sha2(F.when(i % 29 == 0, "changed").otherwise(asked), 256),
     })
-    return grading.episode_violations(e, seed).select("event_id", "rule")
+    expected = {"budget": F.col("path_budget"), "qid": F.col("path_qid")}
+    return grading.episode_violations(e, seed, expected, (F.col("question_sha256"), F.sha2(asked, 256))).select("event_id", "rule")
 
 
 @query("gr9_stale_grades", f"WITH {G} SELECT event_id, 'tokens' AS field FROM g WHERE event_id % 19 = 0 OR event_id % 23 = 0 UNION ALL SELECT event_id, 'score' AS field FROM g WHERE event_id % 23 = 0")
@@ -105,14 +134,30 @@ def gr9(spark, sf_dir):
     return grading.stale_grades(g, changed, ["event_id"], ["tokens", "score"])
 
 
+@query("gr9_stale_scores", f"WITH {R}, q AS (SELECT qid, bool_or(claim_id = 'c3') AS lacks FROM r GROUP BY qid) SELECT qid, 'lenient' AS field FROM q WHERE qid % 6 = 0 OR (qid % 6 = 1 AND lacks)")
+def gr9_scores(spark, sf_dir):
+    """Grades whose total was changed, or whose claims lack one of the rubric's."""
+    c = claims(spark, sf_dir)
+    total = grading.lenient_score(c.select("qid", "claim_id", "score"), c, ["qid"], "qid")
+    stored = total.withColumn("lenient", F.col("lenient") + F.when(F.col("qid") % 6 == 0, 1).otherwise(0))
+    given = c.where("qid % 6 <> 1 OR claim_id <> 'c3'").select("qid", "claim_id", "score")
+    return grading.stale_grades(stored, total.select("qid"), ["qid"], [], given, c)
+
+
 @query(
     "gr10_compat_report",
-    f"WITH {G}, m AS (SELECT run, count(*) AS episodes, max(budget) AS last_budget, min(score) AS least_score FROM g GROUP BY run) "
-    "SELECT 'episodes' AS field, '{\"v\":' || a.episodes || '}' AS a, '{\"v\":' || b.episodes || '}' AS b FROM m a, m b WHERE a.run = 'a' AND b.run = 'b' AND a.episodes <> b.episodes",
+    f"WITH {G}, m AS (SELECT run, count(*) AS episodes, max(budget) AS last_budget, min(score) AS least_score FROM g GROUP BY run), "
+    "e AS (SELECT run, budget, rollout, qid, max(event_id) % 7 AS seed FROM g GROUP BY 1, 2, 3, 4), x AS (SELECT * FROM e WHERE run = 'a'), y AS (SELECT * FROM e WHERE run = 'b'), "
+    "f AS (SELECT x.seed AS s, y.seed AS t, x.run AS xr, y.run AS yr FROM x FULL JOIN y USING (budget, rollout, qid)) "
+    "SELECT 'episodes' AS field, '{\"v\":' || a.episodes || '}' AS a, '{\"v\":' || b.episodes || '}' AS b FROM m a, m b WHERE a.run = 'a' AND b.run = 'b' AND a.episodes <> b.episodes "
+    "UNION ALL SELECT 'grid', CAST(count(*) FILTER (yr IS NULL) AS VARCHAR), CAST(count(*) FILTER (xr IS NULL) AS VARCHAR) FROM f HAVING count(*) FILTER (yr IS NULL OR xr IS NULL) > 0 "
+    "UNION ALL SELECT 'seed', CAST(count(*) FILTER (s <> t) AS VARCHAR), CAST(count(*) FILTER (s <> t) AS VARCHAR) FROM f HAVING count(*) FILTER (s <> t) > 0",
 )
 def gr10(spark, sf_dir):
-    m = grades(spark, sf_dir).groupBy("run").agg(F.count(F.lit(1)).alias("episodes"), F.max("budget").alias("last_budget"), F.min("score").alias("least_score"))
-    return grading.compat_report(arm(m, "a"), arm(m, "b"), ["episodes", "last_budget", "least_score"])
+    g = grades(spark, sf_dir)
+    m = g.groupBy("run").agg(F.count(F.lit(1)).alias("episodes"), F.max("budget").alias("last_budget"), F.min("score").alias("least_score"))
+    e = g.groupBy("run", "budget", "rollout", "qid").agg((F.max("event_id") % 7).alias("seed"))
+    return grading.compat_report(arm(m, "a"), arm(m, "b"), ["episodes", "last_budget", "least_score"], arm(e, "a"), arm(e, "b"), ["budget", "rollout", "qid"])
 
 
 @query(
@@ -239,8 +284,9 @@ SUMS = "s AS (SELECT run, budget, qid, sum(score) AS s, sum(tokens) AS t, count(
 
 
 def pairs(spark, sf_dir):
+    """The arms' common questions: the given events don't have the same ones in both, which the operator would reject."""
     g = grades(spark, sf_dir)
-    return stats.paired_questions(arm(g, "a"), arm(g, "b"))
+    return stats.paired_questions(*stats.shared_population(arm(g, "a"), arm(g, "b")))
 
 
 def _area_of(points_sql: str, key: str) -> str:
@@ -323,6 +369,16 @@ def st7(spark, sf_dir):
     return stats.budget_transitions(metrics.question_means(grades(spark, sf_dir)), BUDGETS)
 
 
+@query(
+    "st7_largest_gainers",
+    f"WITH {G}, m AS (SELECT run, qid, avg(score) FILTER (budget = 'click') AS low, avg(score) FILTER (budget = 'view') AS high FROM g GROUP BY 1, 2), k AS (SELECT *, high - low AS gain, row_number() OVER (PARTITION BY run ORDER BY high - low DESC, qid) AS rank FROM m WHERE high - low IS NOT NULL) "
+    "SELECT run, CAST(rank AS INTEGER) AS rank, qid, round(low, 6) AS low, round(high, 6) AS high, round(gain, 6) AS gain FROM k WHERE rank <= 5",
+)
+def st7_gainers(spark, sf_dir):
+    out = stats.largest_gainers(metrics.question_means(grades(spark, sf_dir)), "click", "view")
+    return out.withColumns({c: F.round(c, 6) for c in ("low", "high", "gain")})
+
+
 @query("st8_with_corrections", f"WITH {R} SELECT qid, CAST(sum(weight * CASE WHEN claim_id = 'c2' THEN 1 ELSE score END) AS BIGINT) AS lenient FROM r GROUP BY qid")
 def st8(spark, sf_dir):
     c = claims(spark, sf_dir)

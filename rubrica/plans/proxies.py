@@ -8,10 +8,10 @@ from .registry import table
 
 BUDGETS = ["click", "purchase", "signup", "view"]
 
-#: run, budget, qid, rollout, score, tokens from events.
+#: run, budget, qid, rollout, score, tokens, status from events; errors are episodes without an answer, dealt over the budgets.
 G = (
-    "g AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS run, event_type AS budget, user_id AS qid, event_id % 3 AS rollout, "
-    "CAST(json_extract(props, '$.k') AS BIGINT) AS score, 500 + CAST(floor(value * 100) AS BIGINT) AS tokens FROM events WHERE event_type <> 'error')"
+    f"g AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS run, CASE WHEN event_type = 'error' THEN ({BUDGETS})[1 + event_id // 2 % 4] ELSE event_type END AS budget, user_id AS qid, event_id % 3 AS rollout, "
+    "CASE WHEN event_type = 'error' THEN 0 ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS score, 500 + CAST(floor(value * 100) AS BIGINT) AS tokens, CASE WHEN event_type = 'error' THEN 'no_answer' ELSE 'ok' END AS status FROM events)"
 )
 #: Rubric claims and their scores by two judges from lineitem.
 R = (
@@ -27,14 +27,20 @@ AREA = (
 )
 
 
-def grades(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type <> 'error'")
-    return e.select(
-        "event_id", F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("run"), F.col("event_type").alias("budget"), F.col("user_id").alias("qid"), (F.col("event_id") % 3).alias("rollout"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("score"), (F.floor(F.col("value") * 100) + 500).alias("tokens"),
+def graded(events):
+    """Graded episodes of a table or stream of events."""
+    error, i = F.col("event_type") == "error", F.col("event_id")
+    budget = F.when(error, F.get(F.array(*map(F.lit, BUDGETS)), (F.floor(i / 2) % 4).cast("int"))).otherwise(F.col("event_type"))
+    return events.select(
+        "event_id", F.when(i % 2 == 0, "a").otherwise("b").alias("run"), budget.alias("budget"), F.col("user_id").alias("qid"), (i % 3).alias("rollout"),
+        F.when(error, 0).otherwise(F.get_json_object("props", "$.k").cast("bigint")).alias("score"), (F.floor(F.col("value") * 100) + 500).alias("tokens"), F.when(error, "no_answer").otherwise("ok").alias("status"),
     )
 
 
+def grades(spark, sf_dir):
+    return graded(table(spark, sf_dir, "events"))
+
+
 def claims(spark, sf_dir):
     """qid, claim_id, weight, claim_type, score, score2."""
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("qid"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("claim_id")).agg(

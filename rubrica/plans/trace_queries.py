@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quiz, traces
 from ..sources import files
 from ..streaming import jobs
-from .proxies import G, grades
+from .proxies import G, graded, grades
 from .registry import query, scratch, table
 
 #: Commands made from conversations: some leave the corpus.
@@ -59,12 +59,15 @@ def tr3(spark, sf_dir):
 
 @query(
     "tr4_turns",
-    "WITH l AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id, CAST(count(*) AS BIGINT) AS turns, CAST(count(*) FILTER (role = 'assistant' AND turn < last) AS BIGINT) AS finish_catches, CAST(count(*) FILTER (role <> 'assistant') AS BIGINT) AS tool_calls FROM l GROUP BY conv_id",
+    "WITH c AS (SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant') AS f FROM conversations GROUP BY conv_id) "
+    "SELECT conv_id, CAST(turns AS BIGINT) AS turns, CAST(f AS BIGINT) AS finish_catches, CAST(turns - f AS BIGINT) AS tool_calls, CASE WHEN conv_id % 2 = 0 AND turns <> 6 THEN 'forced_short' ELSE 'ok' END AS status FROM c",
 )
 def tr4(spark, sf_dir):
     one = F.struct("turn", F.struct(F.when(F.col("role") == "assistant", "finish").otherwise(F.col("role")).alias("tool")).alias("t"))
     episodes = conversations(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x.t).alias("turns"))
-    return traces.turn_counts(traces.explode_turns(episodes, "turns", ["conv_id"]), ["conv_id"])
+    counts = traces.turn_counts(traces.explode_turns(episodes, "turns", ["conv_id"]), ["conv_id"])
+    budget = F.when(F.col("conv_id") % 2 == 0, "forced").otherwise("voluntary")
+    return counts.withColumn("status", traces.forced_status(F.lit("ok"), budget, F.col("turns"), F.lit(6)))
 
 
 @query(
@@ -94,6 +97,19 @@ def tr7(spark, sf_dir):
     return traces.file_touches(commands(spark, sf_dir), "command", "conv_id", r"[A-Za-z_./]+\.py", 5).withColumn("share", F.round("share", 6))
 
 
+@query(
+    "tr7_touch_overlap",
+    f"WITH t AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all({COMMAND_SQL}, '[A-Za-z_./]+\\.py')) AS file FROM conversations), c AS (SELECT conv_id % 2 AS side, file, count(*) AS sessions FROM t GROUP BY 1, 2), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY sessions DESC, file) AS rank FROM c), x AS (SELECT file FROM k WHERE side = 0 AND rank <= 4), y AS (SELECT file FROM k WHERE side = 1 AND rank <= 3) "
+    "SELECT CAST(count(*) AS BIGINT) AS shared, round(count(*) / (SELECT count(*) FROM x), 6) AS share_a, round(count(*) / (SELECT count(*) FROM y), 6) AS share_b FROM x JOIN y USING (file)",
+)
+def tr7_overlap(spark, sf_dir):
+    c = commands(spark, sf_dir)
+    top = lambda side, k: traces.file_touches(c.where(F.col("conv_id") % 2 == side), "command", "conv_id", r"[A-Za-z_./]+\.py", k)
+    out = traces.touch_overlap(top(0, 4), top(1, 3))
+    return out.select("shared", F.round("share_a", 6).alias("share_a"), F.round("share_b", 6).alias("share_b"))
+
+
 @query(
     "tr8_touched_turns",
     f"WITH c AS (SELECT conv_id, turn, {COMMAND_SQL} AS command FROM conversations), p AS (SELECT DISTINCT conv_id, 'c' || turn AS claim_id, [role || '.py', 'a.py'] AS paths FROM conversations) "
@@ -236,10 +252,10 @@ def io3(spark, sf_dir):
     return read.select(F.col("id").cast("bigint").alias("id"), F.size("rubric").cast("bigint").alias("claims"), F.aggregate("rubric", F.lit(0), lambda s, c: s + c.weight).cast("bigint").alias("weight"))
 
 
-@query("io4_episode_tree", "SELECT source AS budget, CAST(doc_id % 3 AS INTEGER) AS rollout, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS BIGINT) AS gen_tokens FROM documents WHERE n_chars < 400 GROUP BY 1, 2")
+@query("io4_episode_tree", "SELECT source AS budget, CAST(doc_id % 3 AS INTEGER) AS rollout, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS BIGINT) AS gen_tokens FROM documents GROUP BY 1, 2")
 def io4(spark, sf_dir):
     path = scratch(spark)
-    d = table(spark, sf_dir, "documents").where("n_chars < 400")
+    d = table(spark, sf_dir, "documents")
     files.write_episode_tree(d.select(F.col("source").alias("budget"), (F.col("doc_id") % 3).alias("rollout"), F.col("doc_id").alias("qid"), "n_chars"), path)
     tree = files.read_episode_tree(spark, path, "n_chars bigint")
     return tree.groupBy("budget", "rollout").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("gen_tokens"))
@@ -253,10 +269,10 @@ def io5(spark, sf_dir):
     return files.read_events(spark, path).agg(F.count(F.lit(1)).alias("events"), F.sum("usage.output_tokens").alias("tokens"))
 
 
-@query("io6_read_corpus", "SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents WHERE n_chars < 400 AND source <> 'src1'")
+@query("io6_read_corpus", "SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents WHERE source <> 'src1'")
 def io6(spark, sf_dir):
     path = scratch(spark)
-    d = table(spark, sf_dir, "documents").where("n_chars < 400").select("source", F.col("text").alias("value"))
+    d = table(spark, sf_dir, "documents").select("source", F.col("text").alias("value"))
     d.repartition("source").write.partitionBy("source").option("maxRecordsPerFile", 1).text(path)
     roots = [f"source=src{i}" for i in range(20) if i != 1]
     return files.read_corpus(spark, path, roots).agg(F.count(F.lit(1)).alias("files"), F.sum(F.char_length("text")).alias("chars"))
@@ -338,8 +354,7 @@ def ss4(spark, sf_dir):
 @query("ss5_append_unseen", f"WITH {G} SELECT DISTINCT run, budget, rollout, qid FROM g")
 def ss5(spark, sf_dir):
     path, keys = scratch(spark), ["run", "budget", "rollout", "qid"]
-    e = event_stream(spark, sf_dir).where("event_type <> 'error'")
-    g = e.select(F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("run"), F.col("event_type").alias("budget"), (F.col("event_id") % 3).alias("rollout"), F.col("user_id").alias("qid"))
+    g = graded(event_stream(spark, sf_dir)).select(*keys)
     for turn in range(2):  # the second run replays all rows and adds none
         g.writeStream.foreachBatch(jobs.append_unseen(f"{path}/rows", keys)).option("checkpointLocation", f"{path}/state{turn}").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/rows")
+    return spark.read.parquet(f"{path}/rows").select(*keys)

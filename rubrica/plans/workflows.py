@@ -69,4 +69,4 @@ def bootstrap_summary(spark, sf_dir, reps: int = 1000, seed: int = 20240501) ->
     g = grades(spark, sf_dir)
     sums = stats.question_sums(g)
     interval = stats.bootstrap_interval(stats.bootstrap_deltas(sums, stats.number_questions(sums), "a", "b", reps, seed), reps)
-    return stats.paired_deltas(stats.paired_questions(arm(g, "a"), arm(g, "b"))).join(interval, how="cross")
+    return stats.paired_deltas(stats.paired_questions(*stats.shared_population(arm(g, "a"), arm(g, "b")))).join(interval, how="cross")

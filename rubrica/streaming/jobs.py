@@ -61,16 +61,25 @@ def notebook_state(ops: DataFrame, key: str = "notebook") -> DataFrame:
     )
 
 
-def append_unseen(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink: appends rows whose keys the Parquet table at ``path`` doesn't have; replays add nothing."""
+def append_unseen(path: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink: appends rows whose keys the Parquet table at ``path`` doesn't have; replays add nothing.
+
+    The table is partitioned by ``bucket``, a hash of the keys, so that a micro-batch reads only the key columns of the
+    buckets that it has rows for (at most ``buckets`` numbers come to the driver).
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
+        fresh = batch.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-        seen = spark.read.parquet(path).select(*keys) if there else None
-        (fresh if seen is None else fresh.join(seen, keys, "left_anti")).write.mode("append").parquet(path)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
+            seen = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select("bucket", *keys)
+            new = fresh.join(seen, ["bucket", *keys], "left_anti")
+        else:
+            new = fresh
+        new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+        fresh.unpersist()
 
     return sink
 
