@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from .lineage import cut
+from .lineage import cut, numbered
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -97,29 +99,160 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int, block_rows: int = 1
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def density_cluster(near: DataFrame, points: DataFrame, key: str, eps: float, min_samples: int, min_size: int) -> DataFrame:
-    """key, cluster: density clusters from one neighbour table (``neighbours``), -1 for noise.
+PIVOTS = 256
 
-    A point's core distance is that of its ``min_samples``-th neighbour. Points whose mutual reachability (the largest of
-    both core distances and their distance) is at most ``eps`` are linked; components of ``min_size`` or more are clusters,
-    numbered by their smallest key.
+
+def _unit(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return l2_normalize(df.select(F.col(key).alias("key"), F.col(vector).alias("v")), "v").select("key", "v")
+
+
+def _near_blocks(rows: DataFrame, reach: float, block_rows: int) -> DataFrame:
+    """``rows`` (key, v, weight and others; v of unit length) dealt to pairs of blocks that can hold vectors within ``reach``.
+
+    Rows belong to the cell of their nearest pivot (at most ``PIVOTS`` rows, by hash order, which every task holds). By the
+    triangle inequality a row can only be near rows of a cell if the cell's pivot is no further from it than ``reach`` and
+    the cell's radius. Cells of many rows have several blocks. A row goes to each block that can hold a near one, as
+    ``role`` 1, and to its own as ``role`` 0: pairs are looked at from both of their rows.
+    """
+    import numpy as np
+
+    pivots = np.array([r.v for r in rows.orderBy(F.xxhash64("key"), "key").limit(PIVOTS).collect()], dtype=np.float64)
+    if not len(pivots):
+        return rows.select("*", F.lit(0).alias("role"), F.lit(0).alias("cell"), F.lit(0).alias("block")).limit(0)
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def distances(vs: pa.Array) -> pa.Array:
+        out = np.empty((len(vs), len(pivots)))
+        if len(vs):
+            v = np.stack(vs.to_numpy(zero_copy_only=False))
+            out = np.sqrt(np.maximum(0, (v * v).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * v @ pivots.T))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(pivots)), pa.int32()), pa.array(out.ravel()))
+
+    placed = rows.withColumn("d", distances("v"))
+    placed = cut(placed.withColumn("cell", (F.array_position("d", F.array_min("d")) - 1).cast("int")))
+    cells = placed.groupBy("cell").agg(F.max(F.array_min("d")).alias("radius"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    known = {r.cell: (r.radius, r.blocks) for r in cells.collect()}  # a row a pivot
+    limits = F.array(*(F.lit(float(known[c][0] + reach + 1e-9) if c in known else -1.0) for c in range(len(pivots))))
+    blocks = F.array(*(F.lit(known[c][1] if c in known else 1) for c in range(len(pivots))))
+    own = placed.select(*rows.columns, F.lit(0).alias("role"), "cell", F.pmod(F.xxhash64("key"), F.get(blocks, F.col("cell"))).cast("int").alias("block"))
+    near = F.filter(F.transform(F.col("d"), lambda x, i: F.when(x <= F.get(limits, i), i)), lambda i: i.isNotNull())
+    asked = placed.select(*rows.columns, F.lit(1).alias("role"), F.explode(near).alias("cell"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("cell")) - 1)))
+    return own.unionByName(asked.select(*own.columns))
+
+
+def _by_block(met: DataFrame, eps: float, schema: str, fn) -> DataFrame:
+    """``fn(asked keys, weights, own keys, weights, near)`` for each block and each slice of the rows that ask it.
+
+    ``near`` marks pairs within cosine distance ``eps``; a row is not near itself. A task holds one block and one slice.
     """
-    core = cut(near.where(F.col("rank") == min_samples).select("key", F.col("distance").alias("core")).where(F.col("core") <= eps))
-    links = near.where(F.col("distance") <= eps).join(core.select("key"), "key", "left_semi").join(core.select(F.col("key").alias("other")), "other", "left_semi").select("key", "other")
-    links = cut(links.union(links.select("other", "key")).distinct())
-    labels = cut(core.select("key", F.col("key").alias("label")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        group, own, ask, block, kind = None, ([], [], []), ([], [], []), None, None
+
+        def out():
+            near = 1 - np.array(ask[2]) @ block.T <= eps
+            near &= np.array(ask[0], object)[:, None] != np.array(own[0], object)[None]
+            rows = fn(ask[0], np.array(ask[1]), own[0], np.array(own[1]), near)
+            return pa.RecordBatch.from_arrays([pa.array(c, kind if i < len(keys) else None) for i, c in enumerate(rows)], names)
+
+        for batch in batches:
+            kind = batch.schema.field("key").type
+            for cell, part, role, key, weight, v in zip(*(batch.column(c).to_pylist() for c in ("cell", "block", "role", "key", "weight", "v")), strict=True):
+                if (cell, part) != group:
+                    if ask[0] and own[0]:
+                        yield out()
+                    group, own, ask, block = (cell, part), ([], [], []), ([], [], []), None
+                side = ask if role else own
+                if role and block is None:
+                    block = np.array(own[2])
+                for held, x in zip(side, (key, weight, v), strict=True):
+                    held.append(x)
+                if len(ask[0]) == 2048:
+                    if own[0]:
+                        yield out()
+                    ask = ([], [], [])
+        if ask[0] and own[0]:
+            yield out()
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    keys = [n for n in names if n in ("key", "a", "b")]
+    dealt = met.repartition("cell", "block").sortWithinPartitions("cell", "block", "role").select("cell", "block", "role", "key", "weight", "v")
+    return dealt.mapInArrow(run, schema)
+
+
+def density_cluster(points: DataFrame, key: str, vector: str, eps: float, min_samples: int, min_size: int, block_rows: int = 1024) -> DataFrame:
+    """key, cluster: density clusters by cosine distance, -1 for noise.
+
+    A point is a core point if at least ``min_samples`` others lie within ``eps``, which is to say that its core distance is
+    at most ``eps``. Core points within ``eps`` of each other are linked; components of ``min_size`` points or more are
+    clusters, numbered by their smallest key. All pairs within ``eps`` count, whatever their number.
+
+    Equal vectors are contracted to one row with a weight first. Only blocks that can hold near vectors meet
+    (``_near_blocks``); a block gives a count for each row, then, for core points, links that join what is connected in it,
+    no more than it has rows. So what is shuffled grows with rows × near blocks, not with pairs. A row without a vector,
+    or of zeros, is noise.
+    """
+    import numpy as np
+
+    unit = _unit(points.where(F.col(vector).isNotNull()), key, vector)
+    unit = cut(unit.where(F.size("v") > 0).withColumn("class", F.md5(F.array_join(F.transform("v", lambda x: F.hex(F.round(x, 12).cast("string"))), ","))))
+    rows = cut(unit.where(norm(F.col("v")) > 0).groupBy("class").agg(F.min("key").alias("key"), F.min_by("v", "key").alias("v"), F.count(F.lit(1)).alias("weight")))
+    reach = math.sqrt(max(0.0, 2 * eps))
+    kind = rows.schema["key"].dataType.simpleString()
+    met = _near_blocks(rows.select("key", "v", "weight"), reach, block_rows)
+    counts = _by_block(met, eps, f"key {kind}, n long", lambda ak, aw, bk, bw, near: (ak, near @ bw))
+    degree = counts.groupBy("key").agg(F.sum("n").alias("n"))
+    core = cut(rows.join(degree, "key").where(F.col("n") + F.col("weight") - 1 >= min_samples).select("key", "v", "weight"))
+
+    def joined(ak, aw, bk, bw, near):
+        """Links of a slice and a block that connect what is near in them: each row's first near one, then others' owners."""
+        a, b, parent = [], [], list(range(len(bk)))
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for i, row in enumerate(near):
+            at = np.flatnonzero(row)
+            if not len(at):
+                continue
+            first = root(int(at[0]))
+            a.append(min(ak[i], bk[at[0]]))
+            b.append(max(ak[i], bk[at[0]]))
+            for j in np.unique(at[1:]):
+                other = root(int(j))
+                if other != first:
+                    parent[other] = first
+                    a.append(min(ak[i], bk[j]))
+                    b.append(max(ak[i], bk[j]))
+        return a, b
+
+    links = _by_block(_near_blocks(core, reach, block_rows), eps, f"a {kind}, b {kind}", joined).distinct()
+    labels = components(core.select("key"), links)
+    sizes = labels.join(core.select("key", "weight"), "key").groupBy("label").agg(F.sum("weight").alias("size")).where(F.col("size") >= min_size)
+    clusters = numbered(sizes.select("label"), ["label"], "cluster")
+    named = unit.select(F.col("key").alias("own"), "class").join(rows.select("class", "key"), "class").join(labels, "key").join(clusters, "label")
+    return points.select(key).join(named.select(F.col("own").alias(key), F.col("cluster").cast("int").alias("cluster")), key, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """key, label: the smallest key of each node's component, by rounds of joins in which labels spread and jump."""
+    links = cut(links.select("a", "b").union(links.select("b", "a")).toDF("key", "other").distinct())
+    labels = cut(nodes.select("key", F.col("key").alias("label")))
     while True:
         around = links.join(labels.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("label").alias("least"))
         moved = labels.join(around, "key", "left").select("key", F.least("label", F.coalesce("least", "label")).alias("new"), "label")
         jump = moved.select(F.col("key").alias("new"), F.col("new").alias("further"))
         after = cut(moved.join(jump, "new", "left").select("key", "label", F.coalesce("further", "new").alias("new")))
-        changed = after.where("label <> new").isEmpty()
+        done = after.where("label <> new").isEmpty()
         labels = after.select("key", F.col("new").alias("label"))
-        if changed:
-            break
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
-    numbered = sizes.withColumn("cluster", F.row_number().over(Window.orderBy("label")) - 1)  # one row a cluster
-    return points.select(F.col(key).alias("key")).join(labels.join(numbered, "label").select("key", "cluster"), "key", "left").select(F.col("key").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+        if done:
+            return labels
 
 
 def cluster_summary(df: DataFrame, label: str = "cluster") -> DataFrame:
@@ -133,14 +266,14 @@ def cluster_summary(df: DataFrame, label: str = "cluster") -> DataFrame:
     )
 
 
-def sweep(near: DataFrame, points: DataFrame, key: str, vector: str, grid: list[tuple[float, int, int]]) -> DataFrame:
+def sweep(points: DataFrame, key: str, vector: str, grid: list[tuple[float, int, int]]) -> DataFrame:
     """A row for each (eps, min_samples, min_size): the summary of its clusters and their mean silhouette."""
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
     out = None
     for eps, samples, size in grid:
-        clusters = cut(density_cluster(near, points, key, eps, samples, size))
+        clusters = cut(density_cluster(points, key, vector, eps, samples, size))
         inside = clusters.where("cluster >= 0").join(points, key).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col("cluster").cast("double").alias("prediction"))
         score = ClusteringEvaluator().evaluate(inside) if inside.select("prediction").distinct().count() > 1 else None
         row = cluster_summary(clusters).select(F.lit(eps).alias("eps"), F.lit(samples).alias("min_samples"), F.lit(size).alias("min_size"), "*", F.lit(score).cast("double").alias("score"))
@@ -233,18 +366,19 @@ def _nearest_by_blocks(unit: DataFrame, base: DataFrame, many: int, block_rows:
     return rows.select("row", "key").join(best, "row", "left").select("key", "nearest")
 
 
-def nearest_cosine(a: DataFrame, b: DataFrame, key: str, vector: str, broadcast_rows: int = 100_000, flag: float = 0.95) -> DataFrame:
+def nearest_cosine(a: DataFrame, b: DataFrame, key: str, vector: str, broadcast_bytes: int = 32 << 20, flag: float = 0.95) -> DataFrame:
     """key, nearest (highest cosine of a row of ``a`` to any row of ``b``), flagged.
 
-    Up to ``broadcast_rows`` rows of ``b``, as counted, are gathered to one block that every task multiplies with; beyond
-    that both sides are dealt to blocks, whose pairs are multiplied in tasks.
+    Where ``b``'s vectors take at most ``broadcast_bytes``, as counted, they are gathered to one block that every task
+    multiplies with; beyond that both sides are dealt to blocks, whose pairs are multiplied in tasks.
     """
     import numpy as np
 
     base = l2_normalize(b.select(F.col(vector).alias("v")), "v").select("v")
     unit = l2_normalize(a.select(F.col(key), F.col(vector).alias("v")), "v")
-    if (many := base.count()) > broadcast_rows:
-        scored = _nearest_by_blocks(unit.select(F.col(key).alias("key"), "v"), base, many)
+    size = b.agg(F.count(F.lit(1)).alias("many"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("wide")).first()
+    if size.many * size.wide * 8 > broadcast_bytes:
+        scored = _nearest_by_blocks(unit.select(F.col(key).alias("key"), "v"), base, size.many)
         return scored.select(F.col("key").alias(key), "nearest", (F.col("nearest") >= flag).alias("flagged"))
     block = a.sparkSession.sparkContext.broadcast(np.array(base.toPandas()["v"].tolist(), dtype=np.float64))
 

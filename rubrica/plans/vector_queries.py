@@ -45,10 +45,19 @@ def em3(spark, sf_dir):
     return vectors.project(emb(spark, sf_dir)).select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"))
 
 
-@query("em4_density_cluster")
+EPS, SAMPLES, LEAST = 0.75, 5, 5
+
+
+@query(
+    "em4_density_cluster",
+    f"WITH RECURSIVE {UNIT}, p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE 1 - list_dot_product(a.v, b.v) <= {EPS}), "
+    f"core AS (SELECT a AS k FROM p GROUP BY a HAVING count(*) >= {SAMPLES}), l AS (SELECT a, b FROM p WHERE a IN (FROM core) AND b IN (FROM core)), "
+    "reach AS (SELECT k, k AS m FROM core UNION SELECT l.b AS k, m FROM reach JOIN l ON l.a = reach.k AND m < l.b), c AS (SELECT k, min(m) AS least FROM reach GROUP BY k), "
+    f"s AS (SELECT least, row_number() OVER (ORDER BY least) - 1 AS cluster FROM c GROUP BY least HAVING count(*) >= {LEAST}) "
+    "SELECT vec_id, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster FROM embeddings LEFT JOIN c ON k = vec_id LEFT JOIN s USING (least)",
+)
 def em4(spark, sf_dir):
-    near = vectors.neighbours(emb(spark, sf_dir), "vec_id", "embedding", 8)
-    return vectors.density_cluster(near, emb(spark, sf_dir), "vec_id", 0.75, 5, 5)
+    return vectors.density_cluster(emb(spark, sf_dir), "vec_id", "embedding", EPS, SAMPLES, LEAST)
 
 
 @query("em4_neighbours", f"WITH {UNIT}, p AS (SELECT a.vec_id AS key, b.vec_id AS other, round(1 - list_dot_product(a.v, b.v), 6) AS distance FROM u a JOIN u b ON a.vec_id <> b.vec_id) "
@@ -69,10 +78,7 @@ def em5(spark, sf_dir):
 
 @query("em6_sweep")
 def em6(spark, sf_dir):
-    from ..operators.lineage import cut
-
-    near = cut(vectors.neighbours(emb(spark, sf_dir), "vec_id", "embedding", 8))
-    rows = vectors.sweep(near, emb(spark, sf_dir), "vec_id", "embedding", [(0.7, 4, 5), (0.8, 4, 5)])
+    rows = vectors.sweep(emb(spark, sf_dir), "vec_id", "embedding", [(0.7, 4, 5), (0.8, 4, 5)])
     best = vectors.recommend(rows, 1, 1.0, 1).select("eps", F.lit(True).alias("recommended"))
     return rows.join(best, "eps", "left").select("eps", "min_samples", "min_size", "clusters", "noise_fraction", "score", F.coalesce("recommended", F.lit(False)).alias("recommended"))
 
