@@ -512,6 +512,47 @@ def test_license_places(edge, none):
     assert len({r[2:] for rules in licenses.RULES.values() for r in rules}) > 200
 
 
+def test_license_suppression_equals_plain_rule():
+    """The sweep against the rule as stated: a hit goes if a stronger one, by priority, length and order, contains it."""
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(0, 25))
+        found = sorted({(int(p), int(o), int(a), int(a + w), str(o)) for p, o, a, w in zip(rng.integers(1, 4, n), rng.integers(0, 6, n), rng.integers(0, 20, n), rng.integers(1, 9, n), strict=True)})
+        rank = lambda f: (-f[0], f[2] - f[3], f[1], f[2])
+        want = sorted((f[2], f[3], f[0], f[4]) for f in found if not any(rank(g) < rank(f) and g[2] <= f[2] and f[3] <= g[3] for g in found))
+        assert licenses.unsuppressed(found) == want
+
+
+def brute_base(text):
+    """Places of the fixed phrases, word by word."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    hits = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    places = [i for i, _ in hits]
+    return len(words), len(hits), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in hits}))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["MIT", "mit", "License", "license", "gnu", "General", "public", "apache", "cc", "BY", "by", "\u00e9", "x\u0130", "1", "\n", "-", "\x7f"]), max_size=60), st.lists(st.sampled_from([" ", "-", ", ", "\n", ""]), min_size=60, max_size=60))
+def test_license_base_equals_brute_force(words, gaps):
+    text = "".join(w + g for w, g in zip(words, gaps, strict=False))
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    assert licenses.scan(lower)[:5] == brute_base(text)
+
+
+def test_license_long_text_with_many_hits():
+    import time
+
+    began = time.time()
+    got = licenses.scan("mit license " * 100_000)
+    assert got[:6] == (200_000, 100_000, 0, 199_998, "mit", "mit") and time.time() - began < 20
+
+
+def test_license_guards():
+    assert licenses.scan("his driver s license and a license plate")[5] == ""
+    assert licenses.scan("this is not licensed under the apache license")[4:6] == ("apache", "apache")  # a base label stays
+    assert "gpl-2.0" not in licenses.scan("it is not available under the terms of the gpl")[5]
+
+
 # WARC
 
 
