@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import shared_dir
+
 #: Text that a vectorised helper holds at once, which bounds its memory whatever Arrow batch Spark sends.
 SLICE_BYTES = 2 << 20
 
@@ -18,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch folders that this process has made, in order.
+_MADE: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared ``spark.checkpoint.dir``; a default is set only where none is."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/rubrica-{uuid.uuid4().hex}"
+    """A new folder under the cluster's shared ``spark.checkpoint.dir``."""
+    _MADE.append(f"{shared_dir(spark)}/rubrica-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -32,13 +38,24 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` made and nothing reads any more."""
+def mark() -> int:
+    """A point to which ``clear`` goes back."""
+    return len(_MADE)
+
+
+def clear(spark: SparkSession, since: int, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the scratch folders made since ``mark`` gave that number, but for those that the tables in ``keep`` read.
+
+    Only for tables whose results are written or read already: a lazy table that reads a deleted one fails.
+    """
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/rubrica-" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    held = {name for df in keep for f in df.inputFiles() for name in [part for part in f.split("/") if part.startswith("rubrica-")]}
+    for folder in _MADE[since:]:
+        if folder.rsplit("/", 1)[1] not in held:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+            _MADE.remove(folder)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -2,9 +2,10 @@
 
 1. Each text becomes its set of word shingles (64-bit hashes), a few dozen band keys of some minima each, and the lowest
    ``BITS`` bits of all minima, packed to bit planes. Texts with equal sets form a class, which one row stands for.
-2. Members of a band bucket are candidates. Buckets are never paired out: a first round links members with the bucket's
-   smallest one; later rounds look only at buckets that still hold several components, in blocks of bounded size whose
-   pairs are compared by bit counts: first each member's best partner, then all partners left. A pair goes on if its
+2. Members of a band bucket are candidates. Buckets are never paired out: a first round links members with the smallest of
+   their buckets' smallest members, then with the others; later rounds look only at buckets that still hold several
+   components. There, members outside the largest component meet the others in blocks of bounded size, compared by bit
+   counts: first each one's best partner, then all partners left. A pair goes on if its
    collision-corrected similarity is no more than ``MARGIN`` below the threshold; few pairs at the threshold lie lower.
    In the later rounds it must also pass a bound that no linked pair fails: a bit that only one set's bitmap has stands
    for at least one shingle that the other set lacks.
@@ -14,7 +15,8 @@
 
 A pair at the threshold shares no bucket with a chance of at most ``MISS``. Null and empty texts have no shingles and are linked
 with nothing. Rows with a null id are linked with nothing, have a null component and are kept. Rows that share an id count
-as one document. An empty table gives an empty result.
+as one document. An empty table gives an empty result. Other columns of the table, whatever their names, are not read by
+``near_duplicates`` and are carried along as they are by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, dropped, small_batches, slices, table, written
+from .common import arrow_map, clear, mark, small_batches, slices, table, written
 
 BITS = 2
 PERMUTATIONS = 256
@@ -241,16 +243,31 @@ def contracted(links: DataFrame, hops: int = 2) -> DataFrame:
     return result
 
 
+def block_cells(open_: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``open_`` (bucket, node, component) dealt to cells (bucket, i, j) of bounded size, with ``asks`` and ``large``.
+
+    Only pairs across components matter. So a bucket's members beside its largest component ask, in blocks i, and all its
+    members answer, in blocks j; a large component never meets itself. Rows made are members × blocks that ask and the
+    reverse: linear in the bucket where few members stand outside the largest component.
+    """
+    per = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    whole = per.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    sizes = written(whole.select("bucket", "largest", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("is_"), F.ceil(F.col("all") / block).cast("int").alias("js")))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = open_.join(sizes, "bucket").withColumn("large", F.col("component") == F.col("largest"))
+    asks = dealt.where("NOT large").select("bucket", own("is_").alias("i"), each("js").alias("j"), F.lit(True).alias("asks"), "large", "node", "component")
+    answers = dealt.select("bucket", each("is_").alias("i"), own("js").alias("j"), F.lit(False).alias("asks"), "large", "node", "component")
+    return asks.unionByName(answers)
+
+
 def block_pairs(open_: DataFrame, reps: DataFrame, least: float, percent: int, best_only: bool) -> DataFrame:
     """Candidate pairs (a, b) of different components that share a bucket of ``open_`` (bucket, node, component).
 
-    A bucket's members are dealt to blocks of about ``BLOCK``; a task compares two blocks at a time by bit counts.
+    A task compares the askers of a cell (``block_cells``) with its answers by bit counts; with ``best_only``, each asker
+    gives its best partner in the cell alone.
     """
-    sizes = written(open_.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = open_.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-    rows = rows.join(reps.select("node", "n_shingles", "planes", "bits"), "node")
+    rows = block_cells(open_).join(reps.select("node", "n_shingles", "planes", "bits"), "node")
     small_batches(open_.sparkSession)
     half = PLANES // BITS
 
@@ -259,15 +276,14 @@ def block_pairs(open_: DataFrame, reps: DataFrame, least: float, percent: int, b
         component = np.unique([str(r[1]) for r in rows], return_inverse=True)[1]
         n = np.array([r[2] for r in rows], np.int64)
         bits = np.array([r[3] for r in rows], np.int64)
-        maps = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
-        block = np.array([r[4] for r in rows])
+        asks, large = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+        maps = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), -1)
         found = []
-        first = np.flatnonzero(block == block.min())
-        second = np.flatnonzero(block == block.max())
-        for x in first:
-            y = second[component[second] != component[x]]
-            if block.min() == block.max():
-                y = y[y > x]
+        answers = np.flatnonzero(~asks)
+        for x in np.flatnonzero(asks):
+            y = answers[component[answers] != component[x]]
+            if not best_only:  # two askers meet in two cells, from either side
+                y = y[[large[z] or nodes[z] > nodes[x] for z in y]]
             y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
             if not len(y):
                 continue
@@ -294,7 +310,7 @@ def block_pairs(open_: DataFrame, reps: DataFrame, least: float, percent: int, b
 
         for batch in batches:
             kind = batch.schema.field("node").type
-            columns = (batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "component", "n_shingles", "planes", "own", "bits"))
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "component", "n_shingles", "planes", "asks", "large", "bits"))
             for bucket, i, j, *row in zip(*columns, strict=True):
                 if (bucket, i, j) != group:
                     if len(held) > 1 and (found := pairs_of(held)):
@@ -306,7 +322,7 @@ def block_pairs(open_: DataFrame, reps: DataFrame, least: float, percent: int, b
 
     id_kind = reps.schema["node"].dataType.simpleString()
     grouped = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return grouped.select("bucket", "i", "j", "node", "component", "n_shingles", "planes", "own", "bits").mapInArrow(run, f"a {id_kind}, b {id_kind}")
+    return grouped.select("bucket", "i", "j", "node", "component", "n_shingles", "planes", "asks", "large", "bits").mapInArrow(run, f"a {id_kind}, b {id_kind}")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
@@ -315,6 +331,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     Texts are linked whose sets of ``k``-word shingles share at least ``percent`` of a hundred of their union; a component's
     id is its smallest document id.
     """
+    start = mark()
     least = percent / 100 - MARGIN
     docs = written(described(df, text, id_column, k, rows_a_band(percent / 100)))
     known = docs.where("cls IS NOT NULL AND id IS NOT NULL")
@@ -335,9 +352,20 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     for side in sides:
         star = star.join(side, side.columns[0])
     close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("pa", "pb") >= least)
-    tried = written(star.where(close).select("a", "b"))
+    star = written(star.where(close).select("a", "b"))
+    # each text goes to one leader first; other leaders of it count only where that leaves components apart
+    tried = written(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = written(confirmed(tried, texts, k, percent))
     components = contracted(links)
+    ends = (components.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    apart = star.join(tried, ["a", "b"], "left_anti")
+    for end in ends:
+        apart = apart.join(end, end.columns[0], "left")
+    apart = written(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    if not apart.isEmpty():
+        tried = tried.unionByName(apart)
+        links = links.unionByName(written(confirmed(apart, texts, k, percent)))
+        components = contracted(links)
     for best_only in (True, False):
         placed = buckets.join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         placed = written(placed)
@@ -353,9 +381,9 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
         more = written(confirmed(candidates, texts, k, percent))
         links = links.unionByName(more)
         components = contracted(links)
-    dropped(df.sparkSession, texts)
     by_class = reps.select("cls", "node").join(components, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
     by_class = written(by_class)
+    clear(df.sparkSession, start, (docs, by_class))
     return (
         docs.select("id", "n_shingles", "cls").join(by_class, "cls", "left")
         .select(

@@ -130,6 +130,18 @@ def test_near_dedup_links_beside_tried_partners(spark):
     assert {r.component_id for r in got if r.doc_id % 100 == 2} == {601, 2901, 6001}
 
 
+def test_near_dedup_bucket_with_outsiders(spark):
+    """A bucket of one large component and a few outsiders is dealt to rows linear in its size; every pair across meets once or twice."""
+    n = 20_000
+    open_ = spark.range(n).select(F.lit(7).cast("long").alias("bucket"), F.col("id").alias("node"), F.when(F.col("id") < n - 3, F.lit(0)).otherwise(F.col("id")).cast("long").alias("component"))
+    cells = near_dedup.block_cells(open_)
+    assert cells.count() <= n + 3 * (n // near_dedup.BLOCK + 2)
+    few = near_dedup.block_cells(open_.where(f"node >= {n - 60} OR node < 40"), 8).collect()
+    met = {(x.node, y.node) for x in few if x.asks for y in few if not y.asks and (x.i, x.j) == (y.i, y.j)}
+    nodes = {r.node: r.component for r in few}
+    assert {(a, b) for a in nodes for b in nodes if nodes[a] != nodes[b] and nodes[a] != 0} <= met
+
+
 def test_near_dedup_edges(edge, none):
     got = near_dedup.near_duplicates(edge).collect()
     assert len(got) == edge.count()
