@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
+#: Repeated light digests (about 150 bytes each) up to which their winners are broadcast.
+BROADCAST_ROWS = 200_000
 #: What ``[\x20\x09-\x0D]`` stands for.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -66,40 +68,58 @@ def digests(df: DataFrame, text: str, id_column: str) -> DataFrame:
     ).withColumn("h", F.xxhash64("digest"))
 
 
-def mark_copies(df: DataFrame, text: str = "text", id_column: str = "doc_id", **heavy) -> DataFrame:
+def light_winners(slim: DataFrame, winners: DataFrame) -> DataFrame:
+    """digest, best, size of the repeated digests beside the heavy ``winners``: rows of those go map-side, the rest takes an
+    ordinary shuffle with map-side minima and counts. No digest's rows meet in one task, however many they are."""
+    rest = slim.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    return rest.groupBy("digest").agg(F.min("o").alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
+
+
+def settled(slim: DataFrame, broadcast_rows: int, **heavy) -> tuple[DataFrame, DataFrame]:
+    """Winners (digest, best, size) of the heavy digests, at most ``max_heavy`` and so broadcast, and of the light ones that
+    repeat, broadcast up to ``broadcast_rows`` of them, as counted."""
+    winners = written(heavy_winners(slim, **heavy))
+    light = written(light_winners(slim, winners))
+    return F.broadcast(winners), F.broadcast(light) if light.count() <= broadcast_rows else light
+
+
+def mark_copies(df: DataFrame, text: str = "text", id_column: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, **heavy) -> DataFrame:
     """A row for each row of ``df``: the id, keep_id, group_size, kept, text_sha256."""
     slim = digests(df, text, id_column)
     slim = written(slim.withColumn("o", F.col("o").withField("r", F.monotonically_increasing_id())))  # repeated rows differ by r
-    winners = heavy_winners(slim, **heavy)
-    split = slim.drop("h").join(F.broadcast(winners), "digest", "left")
-    beaten = F.col("best").isNotNull() & (F.col("o") != F.col("best"))
-    lost = split.where(beaten).select("o", F.col("best.i").alias("keep_id"), F.col("size").alias("group_size"), F.lit(False).alias("kept"), "digest")
-    group = Window.partitionBy("digest")
-    rest = split.where(~beaten | F.col("best").isNull()).select(
-        "o",
-        F.first("o.i").over(group.orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("keep_id"),
-        F.coalesce("size", F.count(F.lit(1)).over(group)).alias("group_size"),
-        (F.row_number().over(group.orderBy("o")) == 1).alias("kept"),
-        "digest",
-    )
-    return rest.unionByName(lost).select(
-        F.col("o.i").alias(id_column), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
-    )
+    marked = slim.select("digest", "o")
+    for name, side in zip(("h", "l"), settled(slim, broadcast_rows, **heavy), strict=True):
+        marked = marked.join(side.select("digest", F.struct("best", "size").alias(name)), "digest", "left")
+    best = F.coalesce("h.best", "l.best", "o")
+    return marked.select(
+        F.col("o.i").alias(id_column), best.getField("i").alias("keep_id"), F.coalesce("h.size", "l.size", F.lit(1).cast("long")).alias("group_size"),
+        (F.col("o") == best).alias("kept"), F.col("digest").alias("text_sha256"),
+    )
 
 
-def drop_copies(df: DataFrame, text: str = "text", id_column: str = "doc_id", **heavy) -> DataFrame:
+def drop_copies(df: DataFrame, text: str = "text", id_column: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, **heavy) -> DataFrame:
     """``df`` with one row of each group of equal texts, all columns as they were.
 
-    Beaten rows of heavy groups go map-side; what is left is shuffled once by digest.
+    What stays is settled on digests; whole rows are only shuffled where the repeated digests are too many to broadcast, and
+    where the best rows of a group tie in length and id.
     """
     slim = written(digests(df, text, id_column))
-    winners = heavy_winners(slim, **heavy)
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")  # so that no column of df can clash with ours
+    heavy_, light = settled(slim, broadcast_rows, **heavy)
     order = order_of(F.col(id_column), F.char_length(F.coalesce(F.col(text), F.lit(""))))
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")  # so that no column of df can clash with ours
     keyed = df.select(F.sha2(normal_text(F.col(text)), 256).alias("digest"), order.alias("o"), row)
-    left = keyed.join(F.broadcast(winners.select("digest", "best")), "digest", "left").where(F.col("best").isNull() | (F.col("o") == F.col("best")))
-    ranked = left.withColumn("place", F.row_number().over(Window.partitionBy("digest").orderBy("o")))
-    return ranked.where("place = 1").select("row.*")
+
+    def best_rows(rows: DataFrame) -> DataFrame:
+        for name, side in (("h", heavy_), ("l", light)):
+            rows = rows.join(side.select("digest", F.col("best").alias(name)), "digest", "left")
+        return rows.where(F.col("o") == F.coalesce("h", "l", "o"))
+
+    tied = written(best_rows(slim.select("digest", "o")).where(F.coalesce("h", "l").isNotNull()).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    left = best_rows(keyed)
+    if not tied.isEmpty():
+        of_tied = left.join(tied, "digest", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("digest").orderBy("o")))
+        left = left.join(tied, "digest", "left_anti").unionByName(of_tied.where("place = 1").drop("place"))
+    return left.select("row.*")
 
 
 def op1_exact_dedup(spark, sf_dir) -> DataFrame:

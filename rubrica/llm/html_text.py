@@ -10,8 +10,10 @@ Layout: white space collapses outside ``pre``; blocks begin on new lines, and pa
 between blank lines; list items have bullets or numbers and are indented by depth; table cells are padded to their
 column's width, up to ``WIDEST``, with spans counted. Tables nested deeper than ``DEEPEST`` are laid out as blocks.
 
-Null and empty pages give an empty text. Rows are independent; long pages are rendered whole, without recursion but for
-nested tables.
+Null and empty pages give an empty text. Rows are independent, so repeated rows give equal results, and an empty table gives
+an empty one; other columns, whatever their names, are neither read nor returned. Long pages are rendered whole, without
+recursion but for nested tables. ``WIDEST``, ``DEEPEST`` and at most 100 columns a cell bound the blanks and the depth of a
+layout, not its words: whatever is beyond them is still shown.
 """
 
 from __future__ import annotations
@@ -451,7 +453,7 @@ def table_lines(node: Node, rules: dict, depth: int, seen: bool, keep: bool) ->
                 column += 1
             lines = render(cell, rules, depth, cell_seen, keep) if cell.tag in ("td", "th") else render(_only(cell), rules, depth, cell_seen, keep)
             span = min(max(number(cell.attrs.get("colspan"), 1), 1), 100)
-            down = min(max(number(cell.attrs.get("rowspan"), 1), 1), 1000)
+            down = min(max(number(cell.attrs.get("rowspan"), 1), 1), 65534)  # as the grammar allows
             row.append((column, lines))
             if span == 1:
                 widths[column] = max(widths.get(column, 0), min(max(map(len, lines), default=0), WIDEST))

@@ -6,7 +6,8 @@ for each laced frame with track, timestamp in nanoseconds, key flag and byte ran
 8-bit samples in frames of ``FRAME`` bytes. ``packet_table`` applies ``demux`` to a binary column; ``store_texts`` and
 ``text_media`` keep texts as audio and read them back.
 
-Null media give no packets; null texts count as empty, whose padded payload is one frame. Bytes that aren't Matroska, or
+Null media give no packets; null texts count as empty, whose padded payload is one frame. Rows are independent, so repeated
+rows repeat, an empty table gives an empty result, and other columns, whatever their names, are neither read nor returned. Bytes that aren't Matroska, or
 end early, raise ``MatroskaError``; ``packet_table(errors="row")`` turns that into one row with a message instead.
 """
 

@@ -7,7 +7,8 @@ nowhere is cut to fill the cheapest open sequence. What the block's sequences ca
 last tokens of a task go to sequences of power-of-two lengths, which need no padding.
 
 Each task packs its own rows, block by block: no shuffle, bounded memory, and a lost task is packed again to the same
-sequences. Null texts are empty documents, of which only the end token is left. Ids may repeat or be null.
+sequences. Null texts are empty documents, of which only the end token is left. Ids may repeat or be
+null, an empty table gives no pieces, and other columns, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ Runs that fail a screen, or that no alphabet holds, are no candidates and don't
 runs of one text go through Benjamini-Hochberg at ``FDR``; being per text, equal texts give equal results whatever else
 the table holds.
 
-Nulls count as empty texts, which have no spans. Rows are independent; repeated rows repeat. Whole texts are scanned.
+Nulls count as empty texts, which have no spans. Rows are independent; repeated rows repeat, and an empty
+table gives an empty result. ``scan_secrets`` reads no other columns, whatever their names; ``redact_secrets`` carries them
+along. Whole texts are scanned.
 """
 
 from __future__ import annotations

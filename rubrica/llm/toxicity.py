@@ -9,8 +9,10 @@ Training takes at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled rows of up to
 of their ids among rows with crc32(id as text) mod 3 other than 1; the bound keeps it on the driver. Scoring is narrow:
 weights of a few MB are broadcast, and slices of bounded size are scored task by task.
 
+Every step takes whole texts, however long, and their number is the same for every sample.
+
 Nulls and texts without a word score 0. Without labelled rows of both classes there is nothing to learn: all score 0.
-Rows that repeat score alike.
+Rows that repeat score alike, an empty table gives an empty result, and other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ GRAM_ROWS = 1 << 15
 #: Words that occur less often in the training texts have no vector of their own, only their grams.
 LEAST_SEEN = 3
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 4000, 8000
-EPOCHS, BATCH_WINDOWS, RATE, SHARPNESS = 6, 800, 0.02, 3.0
+STEPS, BATCH_WINDOWS, RATE, SHARPNESS = 240, 400, 0.02, 3.0
 THRESHOLD = 0.7
 
 
@@ -219,7 +221,8 @@ class Network:
         index = words[starts[:, None] + np.minimum(step, sizes[:, None] - 1)]
         return index, (step < sizes[:, None]).astype(np.float32)
 
-    def fit(self, texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
+    def fit(self, texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 11) -> Network:
+        """Trained by ``steps`` steps, whatever the number of texts, each on all windows of some texts in shuffled order."""
         rng = np.random.default_rng(seed)
         words, bounds, feats = inputs(texts)
         starts, sizes, owner = windows(bounds)
@@ -228,45 +231,42 @@ class Network:
         self.__init__(known=np.sort(hashes[np.bincount(words, minlength=len(hashes)) >= LEAST_SEEN]))
         scale = {k: np.full_like(v, 1e-8) if k not in ("W", "G") else np.full(len(v), 1e-8, np.float32) for k, v in self.w.items()}
         count = np.diff(np.append(at, len(grams)))
-        for epoch in range(epochs):
-            rate = RATE * (1 - 0.8 * epoch / max(1, epochs - 1))
-            order = rng.permutation(len(texts))
+        many = np.diff(first)
+        order: list[int] = []
+        for step in range(steps if many.any() else 0):
+            rate = RATE * (1 - 0.8 * step / max(1, steps - 1))
             batch: list[int] = []
             held = 0
-            for j, i in enumerate(order):
-                batch.append(i)
-                held += min(first[i + 1] - first[i], 40)
-                if held < BATCH_WINDOWS and j + 1 < len(order):
-                    continue
-                chosen = [np.arange(first[i], first[i + 1]) for i in batch]
-                chosen = [c if labels[i] or len(c) <= 8 else rng.choice(c, 8, replace=False) for i, c in zip(batch, chosen, strict=True)]
-                doc = np.repeat(np.arange(len(batch)), [len(c) for c in chosen])
-                pick = np.concatenate(chosen).astype(np.int64)
-                y = labels[batch].astype(np.float32)
-                batch, held = [], 0
-                if not len(pick):
-                    continue
-                index, mask = self.grid(starts[pick], sizes[pick], words)
-                used, index = np.unique(index, return_inverse=True)
-                index = index.reshape(len(pick), -1)
-                sub = (hashes[used], np.concatenate([grams[a : a + c] for a, c in zip(at[used], count[used], strict=True)]), np.cumsum(count[used]) - count[used])
-                x = self.vectors(sub)
-                logits, kept = self.forward(x, index, mask, True)
-                top = np.full(len(y), -np.inf, np.float32)
-                np.maximum.at(top, doc, logits)
-                soft = np.exp(SHARPNESS * (logits - top[doc]))
-                soft /= np.bincount(doc, soft, len(y))[doc]
-                z = np.bincount(doc, soft * logits, len(y))
-                dz = (sigmoid(z) - y) / max(1, len(np.unique(doc)))
-                dlogit = (soft * dz[doc]).astype(np.float32)
-                g, dx = self.backward(x, index, mask, kept, dlogit)
-                for k, v in g.items():
-                    scale[k] = 0.95 * scale[k] + 0.05 * v * v
-                    self.w[k] -= rate * 0.3 * v / (np.sqrt(scale[k]) + 1e-6)
-                own = self.rows(sub[0])
-                self._rows("W", own[own > 0], dx[own > 0], scale["W"], rate)
-                spread = np.repeat(dx / count[used][:, None], count[used], 0).astype(np.float32)
-                self._rows("G", sub[1], spread, scale["G"], rate)
+            while held < BATCH_WINDOWS and len(batch) < len(texts):
+                order = order or rng.permutation(len(texts)).tolist()
+                batch.append(order.pop())
+                held += many[batch[-1]]
+            doc = np.repeat(np.arange(len(batch)), many[batch])
+            pick = np.concatenate([np.arange(first[i], first[i + 1]) for i in batch]).astype(np.int64)
+            y = labels[batch].astype(np.float32)
+            if not len(pick):
+                continue
+            index, mask = self.grid(starts[pick], sizes[pick], words)
+            used, index = np.unique(index, return_inverse=True)
+            index = index.reshape(len(pick), -1)
+            sub = (hashes[used], np.concatenate([grams[a : a + c] for a, c in zip(at[used], count[used], strict=True)]), np.cumsum(count[used]) - count[used])
+            x = self.vectors(sub)
+            logits, kept = self.forward(x, index, mask, True)
+            top = np.full(len(y), -np.inf, np.float32)
+            np.maximum.at(top, doc, logits)
+            soft = np.exp(SHARPNESS * (logits - top[doc]))
+            soft /= np.bincount(doc, soft, len(y))[doc]
+            z = np.bincount(doc, soft * logits, len(y))
+            dz = (sigmoid(z) - y) / max(1, len(np.unique(doc)))
+            dlogit = (soft * dz[doc]).astype(np.float32)
+            g, dx = self.backward(x, index, mask, kept, dlogit)
+            for k, v in g.items():
+                scale[k] = 0.95 * scale[k] + 0.05 * v * v
+                self.w[k] -= rate * 0.3 * v / (np.sqrt(scale[k]) + 1e-6)
+            own = self.rows(sub[0])
+            self._rows("W", own[own > 0], dx[own > 0], scale["W"], rate)
+            spread = np.repeat(dx / count[used][:, None], count[used], 0).astype(np.float32)
+            self._rows("G", sub[1], spread, scale["G"], rate)
         return self
 
     def _rows(self, name: str, rows: np.ndarray, grad: np.ndarray, scale: np.ndarray, rate: float) -> None:
@@ -316,8 +316,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     del rows
     if not len(y) or y.min() == y.max():
         return None
-    few = max(1, round(2000 / len(y)))  # small samples need more rounds for as many steps
-    return Network().fit(texts, y, EPOCHS * min(few, 8))
+    return Network().fit(texts, y)
 
 
 def score_texts(df: DataFrame, network: Network | None, text: str = "text", id_column: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

@@ -8,8 +8,9 @@ Reading (``format("warc")``): the driver lists files and sizes and packs them in
 header columns are pushed down (``spark.sql.python.filterPushdown.enabled``); a task parses a record's headers first and
 seeks over the block of any record that no filter wants, so unwanted payloads are neither read nor decoded.
 
-Nulls: a null html is an empty payload, a null id or url writes no such header and reads as null. Rows that repeat the
-largest id of a group are all responses. An empty table makes an archive without records, which reads as no rows.
+Nulls: a null html is an empty payload, a null id or url writes no such header and reads as null; a null id is smaller than
+any other, and rows of a group without any id are all responses. Rows that repeat the largest id of a group are all
+responses. Other columns, whatever their names, aren't written. An empty table makes an archive without records, which reads as no rows.
 """
 
 from __future__ import annotations
@@ -45,13 +46,23 @@ class Files(InputPartition):
         self.files = files
 
 
+#: Names that Hadoop has for stores which the reader's file systems know by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs"}
+
+
 def file_system(path: str):
-    """(file system, path in it) for a path or URI."""
+    """(file system, path in it) for a path or URI, in Hadoop's spelling of schemes too."""
     from pyarrow import fs
 
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    scheme, mark, rest = path.partition("://")
+    if not mark:
+        return fs.LocalFileSystem(), path
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    except (NotImplementedError, pa.ArrowInvalid) as error:
+        raise ValueError(f"archives under {scheme}:// can't be opened by tasks; name a folder on one of {sorted(SCHEMES)} or a mounted one") from error
 
 
 class WarcSource(DataSource):
@@ -226,7 +237,7 @@ def with_originals(pages: DataFrame, least: int = 1000, broadcast_rows: int = 50
     if repeated.count() <= broadcast_rows:
         repeated = F.broadcast(repeated)
     joined = keyed.join(repeated, "digest", "left")
-    other = (F.col("size") >= least) & (F.coalesce("page_id", F.lit(-1)) != F.col("original"))
+    other = (F.col("size") >= least) & F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return joined.withColumn("refers_to", F.when(other, F.col("original"))).drop("original")
 
 
@@ -267,7 +278,9 @@ def read_warc(spark: SparkSession, path: str, payload: str = "bytes") -> DataFra
 def op10_warc(spark, sf_dir) -> DataFrame:
     path = scratch_dir(spark)
     write_warc(table(spark, sf_dir, "pages"), path)
-    return read_warc(spark, path, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # a revisit's headers tell all, so only responses' blocks are read
+    kinds = (read_warc(spark, path, "digest").where("record_type = 'response'"), read_warc(spark, path, "none").where("record_type = 'revisit'"))
+    return kinds[0].unionByName(kinds[1]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP10_SQL = """
@@ -275,7 +288,7 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest FROM p),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM d)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM original AND original IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM original AND original IS NOT NULL THEN original END AS refers_to
 FROM m
 """

@@ -71,3 +71,15 @@ def test_tables(spark):
     got = html_text.extract_text(df).collect()
     assert sorted((r.page_id or 0, r.text, r.n_lines) for r in got) == [(0, "x", 1), (1, "", 0), (1, "x", 1), (2, "", 0)]
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_repeats_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "<b>x</b>", "a", 1)] * 3, "page_id long, html string, text string, n_chars int")
+    assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df).collect()] == [(1, "x", 1)] * 3
+
+
+def test_long_spans():
+    """A cell may span as many rows as the grammar allows; those below stand beside it."""
+    rows = "".join(f"<tr><td>v{i}</td></tr>" for i in range(1500))
+    lines = visible_text(f"<table><tr><td rowspan=2000>side</td><td>v</td></tr>{rows}</table>").splitlines()
+    assert lines[0] == "side  v" and {len(x) - len(x.lstrip()) for x in lines[1:]} == {6}

@@ -70,6 +70,19 @@ def test_exact_dedup_heavy(spark):
         assert len(got) == 6000 and all((r.keep_id, r.group_size, r.kept) == (*want[r.text_sha256], r.doc_id == r.keep_id) for r in got)
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_exact_dedup_light_groups(spark, broadcast_rows):
+    """Repeated light digests, settled by broadcast and by a shuffled join; best rows that tie in length and id."""
+    rows = [(i % 50, f"text {i % 40}" + " " * (i % 3)) for i in range(600)] + [(7, "twice"), (7, "twice"), (None, "none"), (None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_exact(rows)
+    by_sha = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in want.items()}
+    got = exact_dedup.mark_copies(df, broadcast_rows=broadcast_rows, share=0.9).collect()
+    assert len(got) == len(rows) and all((r.keep_id, r.group_size) == by_sha[r.text_sha256] for r in got) and sum(r.kept for r in got) == len(want)
+    left = exact_dedup.drop_copies(df, broadcast_rows=broadcast_rows, share=0.9).collect()
+    assert sorted(re.sub(r"\s", "", r.text) for r in left) == sorted(want)
+
+
 def test_exact_dedup_empty(none):
     assert exact_dedup.mark_copies(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
 
@@ -224,6 +237,60 @@ def test_secret_null_tail():
             assert 0.6 < secrets.text_tail(name, n, float(np.quantile(ratios, share))) / share < 1.6
 
 
+def plain_base(text):
+    """The fixed patterns by hand, without expressions of their shape."""
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    out, i = [], 0
+    while i < len(text):
+        names = [k for k in ("password", "passwd", "secret", "token", "api_key", "apikey") if lower.startswith(k, i)]
+        found = None
+        for name in names:
+            j = i + len(name)
+            j += text[j : j + 1] in ('"', "'") and text[j : j + 1] != ""
+            while text[j : j + 1] == " ":
+                j += 1
+            if text[j : j + 1] not in (":", "=") or not text[j : j + 1]:
+                continue
+            # the sign, blanks and quote may be taken, but "=" may also belong to the value: the first reading wins
+            k = j + 1
+            while text[k : k + 1] == " ":
+                k += 1
+            k += text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+            end = k
+            while end < len(text) and text[end] in value:
+                end += 1
+            if end > k:
+                found = (k, end)
+                break
+        if found:
+            if found[1] - found[0] >= 8:
+                out.append((i, "assign", found[1]))
+            i = found[1]
+        else:
+            i += 1
+    for kind, head, members, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), ("hex", "", "0123456789abcdef", 32)):
+        i = 0
+        while i < len(text):
+            end = i + len(head)
+            while end < len(text) and text[end] in members:
+                end += 1
+            if text.startswith(head, i) and end > i + len(head):
+                if end - i >= least:
+                    out.append((i, kind, end))
+                i = end
+            else:
+                i += 1
+    return sorted(out, key=lambda x: (x[0], secrets.KINDS.index(x[1])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", "apikey", '"', "'", " ", "  ", ":", "=", "==", "abcd", "efgh1234", "AKIA", "AKIAABCDEFGH12345", "0123456789abcdef", "deadbeef" * 4, "\u017f", "\u212a", "\n", "\t", "x", ".", "-"]), max_size=25))
+def test_secret_base_equals_plain_loop(parts):
+    text = "".join(parts)
+    assert [(a, kind, b) for a, kind, b in secrets.in_order(secrets.base_spans(text))] == plain_base(text)
+
+
 def test_secret_tables(edge, none):
     got = secrets.scan_secrets(edge)
     assert got.count() == edge.count() and secrets.scan_secrets(none).count() == 0
@@ -274,13 +341,20 @@ def test_bpe_special_texts(models, text):
 @settings(max_examples=50, deadline=None)
 @given(st.sets(st.binary(min_size=1, max_size=6), min_size=1, max_size=60), st.lists(st.binary(min_size=1, max_size=6), max_size=20))
 def test_transducer(words, others):
+    import os
+    import tempfile
+
     words = sorted(words)
-    machine = bpe.Transducer(words)
+    machine, filed = bpe.Transducer(words), bpe.Transducer(words)
+    handle, name = tempfile.mkstemp()
+    with os.fdopen(handle, "wb") as f:
+        f.write(filed.stored())
+    assert filed.final is None and filed.arcs.keys is None  # nothing of the lexicon is left to be pickled
     asked = words + others
     data = np.frombuffer(b"".join(asked), np.uint8)
     ends = np.cumsum([len(w) for w in asked])
     place = {w: i for i, w in enumerate(words)}
-    for m in (machine, machine.mapped()):
+    for m in (machine, filed.mapped(name)):
         assert m.find(data, ends - [len(w) for w in asked], ends).tolist() == [place.get(w, -1) for w in asked]
 
 
@@ -294,6 +368,17 @@ def test_bpe_tables(spark, edge, none, models):
     assert bpe.round_trip(none, path).count() == 0
 
 
+def test_bpe_workers_share_one_file(spark, edge):
+    """The lexicon comes to the workers as one file, not in the broadcast, and frequent words are drawn over the whole table."""
+    model = bpe.Model(P.path("byte_bpe_50k.json")).compile([b"frequent"])
+    shared = bpe.Shared(spark, model)
+    assert model.lexicon.final is None and model.lexicon.layout
+    names = spark.sparkContext.parallelize(range(8), 4).map(lambda _: str(shared.get().lexicon.final.filename)).distinct().collect()
+    assert len(names) == 1 and names[0].endswith(shared.file)
+    late = spark.range(4000).select(F.when(F.col("id") < 2000, "early").otherwise("late").alias("text"))
+    assert set(bpe.frequent_words(model, late, "text", 200, 50)) >= {b"early", b"late"}
+
+
 # packing
 
 
@@ -385,6 +470,57 @@ def test_windows_cover():
         assert seen == set(range(bounds[t], bounds[t + 1]))
 
 
+def plain_score(network, words):
+    """The worst window's score by loops over windows, steps and places, for words as (row of W, grams)."""
+    w, h = network.w, toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    vectors = [w["W"][row] + np.mean([w["G"][g] for g in grams], 0) for row, grams in words]
+    last = max(0, len(words) - toxicity.WINDOW)
+    starts = sorted({min(a, last) for a in range(0, last + toxicity.STRIDE, toxicity.STRIDE)})
+    best = -np.inf
+    for a in starts:
+        window = vectors[a : a + toxicity.WINDOW]
+        states = {}
+        for d, order in (("f", range(len(window))), ("r", reversed(range(len(window))))):
+            state, states[d] = np.zeros(h), {}
+            for i in order:
+                gates, fed = window[i] @ w[f"A{d}"] + w[f"B{d}"], state @ w[f"U{d}"]
+                z, r = sig(gates[:h] + fed[:h]), sig(gates[h : 2 * h] + fed[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(gates[2 * h :] + r * fed[2 * h :])
+                states[d][i] = state
+        both = np.array([np.concatenate([states["f"][i], states["r"][i]]) for i in range(len(window))])
+        weight = np.exp(np.tanh(both @ w["P"]) @ w["q"])
+        best = max(best, float((weight / weight.sum()) @ both @ w["o"] + w["b"][0]))
+    return sig(best)
+
+
+def test_score_equals_plain_loops():
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("abcdeé"), int(rng.integers(1, 9)))) for _ in range(n)) for n in (1, 5, 48, 49, 80, 81, 170)]
+    codes, bounds, (hashes, grams, at) = toxicity.inputs(texts)
+    network = toxicity.Network(known=np.sort(hashes[::2]))
+    network.w["W"] = rng.standard_normal(network.w["W"].shape).astype(np.float32)
+    stops = np.append(at[1:], len(grams))
+    feats = [(row, grams[a:b]) for row, a, b in zip(network.rows(hashes), at, stops, strict=True)]
+    want = [plain_score(network, [feats[c] for c in codes[a:b]]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert np.abs(network.score(texts) - want).max() < 1e-4
+
+
+def test_fit_takes_all_windows_in_equal_steps(monkeypatch):
+    """Long texts give all their windows, and the number of steps doesn't hang on that of texts."""
+    seen, forward = [], toxicity.Network.forward
+
+    def spy(self, x, index, mask, keep=False):
+        seen.append(len(index))
+        return forward(self, x, index, mask, keep)
+
+    monkeypatch.setattr(toxicity.Network, "forward", spy)
+    for many in (3, 60):
+        seen.clear()
+        toxicity.Network().fit(["word " * 1500, *["short text"] * (many - 1)], np.arange(many) % 2, steps=7)
+        assert len(seen) == 7 and max(seen) >= len(toxicity.windows(np.array([0, 1500]))[0])
+
+
 def test_toxicity_learns_and_scores(spark, edge, none):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 4))
@@ -588,6 +724,31 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_warc_ties_and_columns(spark, tmp_path):
+    """Repeated rows, rows that repeat the largest id, groups without an id, and columns with names of the writer's own."""
+    big, other = "b" * 1500, "c" * 1500
+    rows = [(9, "u", big, "d", 1), (9, "u", big, "d", 1), (4, "u", big, "d", 1), (None, "u", big, "d", 1), (None, "u", other, "d", 1), (None, "u", other, "d", 1), (2, "u", "s", "d", 1), (2, "u", "s", "d", 1), (-1, "u", "d" * 1000, "d", 1), (None, "u", "d" * 1000, "d", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, size long")
+    warc.write_warc(df, str(tmp_path / "w"))
+    got = sorted((r.page_id is None, r.page_id or 0, r.record_type, r.refers_to or 0) for r in warc.read_warc(spark, str(tmp_path / "w"), "digest").collect())
+    assert got == sorted([(False, 9, "response", 0)] * 2 + [(False, 4, "revisit", 9), (True, 0, "revisit", 9)] + [(True, 0, "response", 0)] * 2 + [(False, 2, "response", 0)] * 2 + [(False, -1, "response", 0), (True, 0, "revisit", -1)])
+
+
+def test_warc_query_reads_no_block_of_revisits(spark, monkeypatch):
+    """The query's two reads push the record type down."""
+    plan = warc.op10_warc(spark, __import__("tests.conftest", fromlist=["SMALL"]).SMALL)._jdf.queryExecution().toString()
+    assert plan.count("record_type") >= 2 and "Union" in plan
+
+
+def test_warc_file_systems():
+    from pyarrow import fs
+
+    assert warc.file_system("file:///a/b")[1] == warc.file_system("/a/b")[1] == "/a/b"
+    with pytest.raises(ValueError, match="odd://"):
+        warc.file_system("odd://bucket/x")
+    assert isinstance(warc.file_system("s3a://bucket/x?region=eu-west-1")[0], fs.S3FileSystem)
+
+
 def test_warc_filters_skip_blocks(tmp_path):
     body = b"HTTP/1.1 200 OK\r\n\r\nbody"
     record = lambda kind, i, block: f"WARC/1.0\r\nWARC-Type: {kind}\r\nX-Page-Id: {i}\r\nX-Folded: a\r\n b\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"

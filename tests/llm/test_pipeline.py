@@ -39,3 +39,15 @@ def test_stages_keep_columns_and_edges(spark):
     assert [r.n_chars for r in corpus_pipeline.secret_scan_stage(spark, docs, SMALL).where("doc_id = 3").collect()] == [len("[SECRET] end")]
     assert corpus_pipeline.exact_dedup_stage(spark, docs, SMALL).count() == 3
     assert near_dedup.rows_a_band(0.8) == 6
+
+
+def test_outer_stages_edges(spark):
+    """The first and last stage on nulls, empty texts, repeats, an empty table and columns with clashing names."""
+    rows = [(1, None, "en", "s", None, "x"), (2, "", "en", "s", 0, "x"), (2, "", "en", "s", 0, "x"), (None, "a b c", None, None, 5, "x"), (4, "word " * 9000, "en", "s", 45000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    out = corpus_pipeline.toxicity_stage(spark, docs, SMALL)
+    assert out.columns == docs.columns and out.where("doc_id IN (1, 2)").count() == 3
+    assert corpus_pipeline.toxicity_stage(spark, docs.limit(0), SMALL).count() == 0
+    pieces = corpus_pipeline.packing_stage(spark, docs.withColumnRenamed("score", "sequence_id"), SMALL).collect()
+    assert {p.doc_id for p in pieces} == {1, 2, 4, None} and all(p.offset + p.length <= 2048 for p in pieces)
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), SMALL).count() == 0
