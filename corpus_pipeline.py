@@ -14,7 +14,7 @@ Nulls, empty tables and clashing column names are handled as the operators' docs
 from __future__ import annotations
 
 from rubrica.llm import exact_dedup, near_dedup, packing, secrets, toxicity
-from rubrica.llm.common import table, written
+from rubrica.llm.common import clear, mark, table, written
 
 
 def toxicity_stage(spark, docs, sf_dir):
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    start = mark()
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        clear(spark, start, (docs,))  # what the stage read and made is needed no more
     return STAGES[-1][1](spark, docs, sf_dir)
