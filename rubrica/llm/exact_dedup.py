@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 #: Repeated light digests (about 150 bytes each) up to which their winners are broadcast.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 #: What ``[\x20\x09-\x0D]`` stands for.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
