@@ -55,7 +55,7 @@ def response_violations(df: DataFrame, keys: list[str], verdict: str, contract:
         "fields": is_object & (names(text) != F.array(*map(F.lit, fields))),
         "claims": is_object & ~one_form,
         "claim_fields": is_object & one_form & ~F.coalesce(whole, F.lit(False)),
-        "regrade": is_object & ~F.coalesce(F.try_variant_get(v, "$.needs_regrade", "boolean") == F.lit(False), F.lit(False)),
+        "regrade": is_object & ~((kind("$.needs_regrade") == "BOOLEAN") & F.coalesce(~F.try_variant_get(v, "$.needs_regrade", "boolean"), F.lit(False))),
     }
     if contract == "paper":
         rules["total"] = is_object & ~kind("$.question_score").rlike(r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)")

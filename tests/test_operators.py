@@ -185,24 +185,30 @@ def test_nearest_cosine_beyond_its_bound(spark):
     frame = lambda x: spark.createDataFrame([(i // 2, list(map(float, v))) for i, v in enumerate(x)], "id long, v array<double>")
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     best = (unit(a) @ unit(b).T).max(1)
-    got = vectors.nearest_cosine(frame(a), frame(b), "id", "v", broadcast_rows=100).collect()
+    got = vectors.nearest_cosine(frame(a), frame(b), "id", "v", broadcast_bytes=100).collect()
     assert sorted((r.id, round(r.nearest, 9), r.flagged) for r in got) == sorted((i // 2, round(float(x), 9), bool(x >= 0.95)) for i, x in enumerate(best))
 
 
 def test_episode_tree(spark, monkeypatch):
-    """The tree of io4 is written and read in the operator's layout; so is one of all documents, of any length."""
+    """The tree of io4 is written and read in the operator's layout, for all documents of any length."""
     from rubrica.plans import trace_queries
 
     from .conftest import SMALL
 
     calls, read = [], files.read_episode_tree
     monkeypatch.setattr(files, "read_episode_tree", lambda *a: calls.append(a) or read(*a))
-    assert trace_queries.io4(spark, SMALL).count() and len(calls) == 1
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("source").alias("budget"), (F.col("doc_id") % 3).cast("int").alias("rollout"), F.col("doc_id").cast("string").alias("qid"), "n_chars")
-    root = trace_queries.scratch(spark)
-    files.write_episode_tree(docs, root)
-    got = read(spark, root, "n_chars bigint").select("budget", "rollout", "qid", "n_chars")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+    got = trace_queries.io4(spark, SMALL).agg(F.sum("n").alias("n"), F.sum("gen_tokens").alias("chars")).first()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert (got.n, got.chars) == (docs.count(), docs.agg(F.sum("n_chars")).first()[0]) and len(calls) == 1
+
+
+def test_bundle_lines(spark, tmp_path):
+    """Blank lines don't count; malformed ones raise."""
+    (tmp_path / "b.jsonl").write_text('{"id":"q1","rubric":[],"evidence":[]}\n\n{"id":"q2"}\n')
+    assert sorted(r.id for r in files.read_bundles(spark, str(tmp_path / "b.jsonl")).collect()) == ["q1", "q2"]
+    (tmp_path / "c.jsonl").write_text('{"id":"q1"}\n{"id":\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_bundles(spark, str(tmp_path / "c.jsonl")).collect()
 
 
 def test_readers(spark, tmp_path):
