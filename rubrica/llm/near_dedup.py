@@ -248,7 +248,8 @@ def block_cells(open_: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Only pairs across components matter. So a bucket's members beside its largest component ask, in blocks i, and all its
     members answer, in blocks j; a large component never meets itself. Rows made are members × blocks that ask and the
-    reverse: linear in the bucket where few members stand outside the largest component.
+    reverse: linear in the bucket where few members stand outside the largest component. A bucket of one block has a row a
+    member, which asks (unless it is of the largest component) and answers; elsewhere ``asks`` tells rows apart.
     """
     per = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     whole = per.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
@@ -256,8 +257,9 @@ def block_cells(open_: DataFrame, block: int = BLOCK) -> DataFrame:
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = open_.join(sizes, "bucket").withColumn("large", F.col("component") == F.col("largest"))
-    asks = dealt.where("NOT large").select("bucket", own("is_").alias("i"), each("js").alias("j"), F.lit(True).alias("asks"), "large", "node", "component")
-    answers = dealt.select("bucket", each("is_").alias("i"), own("js").alias("j"), F.lit(False).alias("asks"), "large", "node", "component")
+    one = (F.col("is_") == 1) & (F.col("js") == 1)
+    asks = dealt.where(~F.col("large") & ~one).select("bucket", own("is_").alias("i"), each("js").alias("j"), F.lit(True).alias("asks"), "large", "node", "component")
+    answers = dealt.select("bucket", each("is_").alias("i"), own("js").alias("j"), F.when(one, F.when(F.col("large"), F.lit(False))).otherwise(F.lit(False)).alias("asks"), "large", "node", "component")
     return asks.unionByName(answers)
 
 
@@ -276,11 +278,11 @@ def block_pairs(open_: DataFrame, reps: DataFrame, least: float, percent: int, b
         component = np.unique([str(r[1]) for r in rows], return_inverse=True)[1]
         n = np.array([r[2] for r in rows], np.int64)
         bits = np.array([r[3] for r in rows], np.int64)
-        asks, large = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+        asks, large = [r[4] for r in rows], np.array([r[5] for r in rows])  # null: asks and answers
         maps = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), -1)
         found = []
-        answers = np.flatnonzero(~asks)
-        for x in np.flatnonzero(asks):
+        answers = np.array([i for i, a in enumerate(asks) if not a], np.int64)
+        for x in (i for i, a in enumerate(asks) if a is not False):
             y = answers[component[answers] != component[x]]
             if not best_only:  # two askers meet in two cells, from either side
                 y = y[[large[z] or nodes[z] > nodes[x] for z in y]]

@@ -152,6 +152,8 @@ def test_near_dedup_bucket_with_outsiders(spark):
     few = near_dedup.block_cells(open_.where(f"node >= {n - 60} OR node < 40"), 8).collect()
     met = {(x.node, y.node) for x in few if x.asks for y in few if not y.asks and (x.i, x.j) == (y.i, y.j)}
     nodes = {r.node: r.component for r in few}
+    small = near_dedup.block_cells(open_.where(f"node >= {n - 60} OR node < 40")).collect()
+    assert len(small) == 100 and {r.node for r in small if r.asks is None} == {a for a in nodes if nodes[a] != 0}
     assert {(a, b) for a in nodes for b in nodes if nodes[a] != nodes[b] and nodes[a] != 0} <= met
 
 
