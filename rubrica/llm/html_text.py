@@ -13,14 +13,17 @@ column's width, up to ``WIDEST``, with spans counted. Tables nested deeper than
 Null and empty pages give an empty text. Rows are independent, so repeated rows give equal results, and an empty table gives
 an empty one; other columns, whatever their names, are neither read nor returned. Long pages are rendered whole, without
 recursion but for nested tables. ``WIDEST``, ``DEEPEST`` and at most 100 columns a cell bound the blanks and the depth of a
-layout, not its words: whatever is beyond them is still shown.
+layout, not its words: whatever is beyond them is still shown. So does ``PADDING``, the most blanks put before one cell, as
+else a page of a few hundred kilobytes whose cells each span all rows below would take gigabytes of blanks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import html
 import re
+from bisect import bisect_right, insort
 from collections import Counter
 
 import pyarrow as pa
@@ -59,7 +62,7 @@ CLOSES = {
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 CLOSE_P = BLOCKS - frozenset("body html li dd dt option optgroup select td th tr tbody thead tfoot caption legend summary".split())
 SCOPE = frozenset("td th caption table html template button".split())
-WIDEST, DEEPEST = 60, 20
+WIDEST, DEEPEST, PADDING = 60, 20, 1000
 
 
 class Node:
@@ -418,12 +421,50 @@ def render(root: Node, rules: dict, depth: int = 0, seen: bool = True, keep: boo
     return out.done()
 
 
+class Columns:
+    """The columns that no cell from a row above still takes, as sorted gaps; the work grows with the cells, not their spans."""
+
+    def __init__(self) -> None:
+        self.gaps: list[tuple[int, int]] = [(0, 1 << 60)]
+        self.row = 0
+        self.taken: list[tuple[int, int, int]] = []  # heap: row from which it is free, start, end
+
+    def first(self, column: int) -> int:
+        """The first open column from this one on."""
+        i = bisect_right(self.gaps, (column, 1 << 61)) - 1
+        if i >= 0 and column < self.gaps[i][1]:
+            return column
+        return self.gaps[i + 1][0]
+
+    def take(self, start: int, end: int, down: int) -> None:
+        """Takes what is open of these columns for ``down`` rows, this one included."""
+        i = max(bisect_right(self.gaps, (start, 1 << 61)) - 1, 0)
+        j = i
+        left: list[tuple[int, int]] = []
+        while self.gaps[j][0] < end:
+            low, high = self.gaps[j]
+            a, b = max(low, start), min(high, end)
+            if a < b:
+                heapq.heappush(self.taken, (self.row + down, a, b))
+            left += [piece for piece in ((low, min(high, start)), (max(low, end), high)) if piece[0] < piece[1]]
+            j += 1
+            if high >= end:
+                break
+        self.gaps[i:j] = left
+
+    def next_row(self) -> None:
+        self.row += 1
+        while self.taken and self.taken[0][0] <= self.row:
+            _, start, end = heapq.heappop(self.taken)
+            insort(self.gaps, (start, end))
+
+
 def table_lines(node: Node, rules: dict, depth: int, seen: bool, keep: bool) -> list[str]:
     """Lines of a table: its caption, then rows of cells padded to their columns."""
     rows: list[list[tuple[int, list[str]]]] = []
     caption: list[str] = []
     widths: dict[int, int] = {}
-    reserved: dict[int, int] = {}  # column: rows below that a cell from above still takes
+    open_columns = Columns()
     work = [(c, seen) for c in reversed(node.children)]
     stray = Node("div")
     while work:
@@ -449,20 +490,18 @@ def table_lines(node: Node, rules: dict, depth: int, seen: bool, keep: bool) ->
             shown, cell_seen = visibility(cell, rules, seen_here)
             if not shown:
                 continue
-            while reserved.get(column, 0) > 0:
-                column += 1
+            column = open_columns.first(column)
             lines = render(cell, rules, depth, cell_seen, keep) if cell.tag in ("td", "th") else render(_only(cell), rules, depth, cell_seen, keep)
             span = min(max(number(cell.attrs.get("colspan"), 1), 1), 100)
             down = min(max(number(cell.attrs.get("rowspan"), 1), 1), 65534)  # as the grammar allows
             row.append((column, lines))
             if span == 1:
                 widths[column] = max(widths.get(column, 0), min(max(map(len, lines), default=0), WIDEST))
-            for c in range(column, column + span):
-                widths.setdefault(c, 0)
-                if down > 1:
-                    reserved[c] = down
+            widths.setdefault(column, 0)
+            if down > 1:
+                open_columns.take(column, column + span, down)
             column += span
-        reserved = {c: n - 1 for c, n in reserved.items() if n > 1}
+        open_columns.next_row()
         rows.append(row)
     starts, at = {}, 0
     for c in sorted(widths):
@@ -474,7 +513,8 @@ def table_lines(node: Node, rules: dict, depth: int, seen: bool, keep: bool) ->
             line = ""
             for column, lines in row:
                 if i < len(lines) and lines[i]:
-                    line = line.ljust(starts[column]) if len(line) <= starts[column] else line + "  "
+                    gap = starts[column] - len(line)
+                    line += " " * min(gap, PADDING) if gap >= 0 else "  "
                     line += lines[i]
             out.append(line.rstrip())
     return out

@@ -1,5 +1,7 @@
 """Rendering of HTML against expected layouts, and edge cases."""
 
+import random
+
 import pytest
 
 from rubrica.llm import html_text
@@ -83,3 +85,31 @@ def test_long_spans():
     rows = "".join(f"<tr><td>v{i}</td></tr>" for i in range(1500))
     lines = visible_text(f"<table><tr><td rowspan=2000>side</td><td>v</td></tr>{rows}</table>").splitlines()
     assert lines[0] == "side  v" and {len(x) - len(x.lstrip()) for x in lines[1:]} == {6}
+
+
+def test_columns_by_plain_grid():
+    """Gaps against a table of every column's first free row."""
+    rng = random.Random(5)
+    for _ in range(200):
+        columns, free = html_text.Columns(), {}
+        for row in range(rng.randint(1, 12)):
+            at = 0
+            for _ in range(rng.randint(0, 6)):
+                span, down = rng.choice((1, 1, 2, 3, 9)), rng.choice((1, 1, 2, 3, 7))
+                plain = at
+                while free.get(plain, 0) > row:
+                    plain += 1
+                at = columns.first(at)
+                assert at == plain
+                if down > 1:
+                    columns.take(at, at + span, down)
+                    free |= {c: row + down for c in range(at, at + span) if free.get(c, 0) <= row}
+                at += span
+            columns.next_row()
+
+
+def test_many_long_spans():
+    """Cells that each span all rows below take work and blanks in proportion to the page."""
+    for cell in ("<td rowspan=65534 colspan=100>x", "<td rowspan=65534>word"):
+        text = visible_text("<table>" + f"<tr>{cell}" * 20_000 + "</table>")
+        assert text.split() == [cell.rsplit(">", 1)[1]] * 20_000 and len(text) < 20_000 * (html_text.PADDING + 10)
