@@ -38,6 +38,25 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Scratch tables of one call, deleted together by it alone; calls at the same time don't see each other's."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/rubrica-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        """``df`` written to the shared folder and read again, as ``written`` does."""
+        self.count += 1
+        return written(df, f"{self.folder}/{self.count}")
+
+    def clear(self) -> None:
+        """Deletes the tables; nothing lazy may still read them."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def mark() -> int:
     """A point to which ``clear`` goes back."""
     return len(_MADE)

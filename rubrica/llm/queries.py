@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, byte_bpe, exact_dedup, html_text, licenses, matroska, near_dedup, packing, secrets, toxicity, warc
+from . import bpe, byte_bpe, exact_dedup, html_text, licenses, matroska, near_dedup, packing, secrets, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_matroska": matroska.op8_matroska,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_warc": warc.op10_warc,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
         "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     }
 
