@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, byte_bpe, exact_dedup, html_text, licenses, matroska, near_dedup, packing, secrets, toxicity, warc, whitening
+from . import bpe, byte_bpe, conversations, exact_dedup, html_text, licenses, matroska, near_dedup, packing, secrets, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_warc": warc.op10_warc,
         "op11_embedding_whitening": whitening.op11_embedding_whitening,
         "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+        "op13_conversation_repair": conversations.op13_conversation_repair,
     }
 
 
