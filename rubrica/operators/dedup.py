@@ -104,6 +104,99 @@ def overlaps(a: DataFrame, b: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -
     return both.select("a_key", "b_key", (F.col("both") / (F.col("a_n") + F.col("b_n") - F.col("both"))).alias("similarity"))
 
 
+#: Held-out texts that a shingle may stand in to count as rare.
+RARE = 64
+#: Slack of bounds computed in floating point.
+SLACK = 1e-9
+
+
+def rarity(b: DataFrame) -> DataFrame:
+    """h, f: each shingle of ``b`` and the number of its sets that hold it."""
+    return b.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("f"))
+
+
+def known(sets: DataFrame, order: DataFrame) -> DataFrame:
+    """key, n, known: the shingles of each set that stand in ``order`` (``rarity``), as (f, h), the rarest first.
+
+    Sets without any are left out. A set's row is as wide as the set; keys are unique.
+    """
+    rows = sets.select("key", "n", F.explode("s").alias("h")).join(order, "h")
+    return rows.groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "h"))).alias("known"))
+
+
+class Ordered:
+    """Two tables of sets with their shingles in the order of rarity in the second, for joins that leave frequent ones out.
+
+    The order is broadcast up to ``broadcast_rows`` shingles, as counted, and else joined by shuffle, each shingle once.
+    """
+
+    def __init__(self, a: DataFrame, b: DataFrame, broadcast_rows: int = BROADCAST_ROWS):
+        order = cut(rarity(b))
+        self.few = order.count() <= broadcast_rows
+        self.small = F.broadcast if (b.agg(F.sum("n").alias("n")).first().n or 0) <= broadcast_rows else lambda df: df
+        order = F.broadcast(order) if self.few else order
+        self.a, self.b = cut(known(a, order)), cut(known(b, order))
+
+    def matched(self, a_part: Column, b_part: Column) -> DataFrame:
+        """a_key, b_key, a_n, b_n, both: pairs that share a shingle of two parts of their ``known``, and how many they share."""
+        side = lambda df, x, part: df.select(F.col("key").alias(f"{x}_key"), F.col("n").alias(f"{x}_n"), F.explode(part).alias("s")).select(f"{x}_key", f"{x}_n", "s.h")
+        met = side(self.a, "a", a_part).join(self.small(side(self.b, "b", b_part)), "h")
+        return met.groupBy("a_key", "b_key").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.count(F.lit(1)).alias("both"))
+
+
+def _share(both: Column, a_n: Column, b_n: Column) -> Column:
+    return both / (a_n + b_n - both)
+
+
+def pairs_above(a: DataFrame, b: DataFrame, threshold: float, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """a_key, b_key, similarity of all pairs of sets whose similarity exceeds ``threshold``, by a prefix filter.
+
+    Such a pair shares more than threshold · n of each side's shingles, so with both in one order, by rarity, it shares one
+    among the first of either that are left when so many are taken from the end. Only those are joined, with bounds on the
+    sizes, and pairs are confirmed on whole sets. A frequent shingle is among the first only of sets with little else.
+    """
+    sides = Ordered(a, b, broadcast_rows)
+    first = F.slice("known", F.lit(1), F.greatest(F.size("known") - F.floor(F.col("n") * threshold - SLACK).cast("int"), F.lit(0)))
+    sized = (F.col("b_n") > F.col("a_n") * threshold - SLACK) & (F.col("a_n") > F.col("b_n") * threshold - SLACK)
+    found = sides.matched(first, first).where(sized).select("a_key", "b_key", "a_n", "b_n")
+    whole = lambda df, x: df.select(F.col("key").alias(f"{x}_key"), F.col("known.h").alias(f"{x}_s"))
+    both = F.size(F.array_intersect("a_s", "b_s"))
+    scored = found.join(whole(sides.a, "a"), "a_key").join(sides.small(whole(sides.b, "b")), "b_key")
+    return scored.select("a_key", "b_key", _share(both, F.col("a_n"), F.col("b_n")).alias("similarity")).where(F.col("similarity") > threshold)
+
+
+def best_overlaps(a: DataFrame, b: DataFrame, rare: int = RARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """key, best: the highest similarity of each set of ``a`` to a set of ``b``, exact, where it shares a shingle with any.
+
+    Pairs are made by shingles of at most ``rare`` sets of ``b``, so they grow with ``a``; what such a pair shares of
+    frequent ones is counted on its arrays. Other pairs share frequent shingles only, and there only which of them a set
+    holds counts: sets of ``a`` are taken by the frequent ones that they hold, where these can beat what was found, and
+    those of ``b`` likewise, the smallest for all; classes are joined, not sets, however many hold a passage.
+    """
+    sides = Ordered(a, b, broadcast_rows)
+    few, many = F.filter("known", lambda x: x.f <= rare), F.filter("known", lambda x: x.f > rare).getField("h")
+    pairs = sides.matched(few, few)
+    frequent = lambda df, x: df.select(F.col("key").alias(f"{x}_key"), many.alias(f"{x}_s")).where(F.size(f"{x}_s") > 0)
+    of_b = cut(frequent(sides.b, "b").join(sides.b.select(F.col("key").alias("b_key"), "n"), "b_key").groupBy(F.col("b_s").alias("s")).agg(F.min("n").alias("b_n")).withColumn("b_class", F.monotonically_increasing_id()))
+    score = lambda df: df.groupBy(F.col("a_key").alias("key")).agg(F.max(_share(F.col("both"), F.col("a_n"), F.col("b_n"))).alias("best"))
+    if of_b.isEmpty():
+        return score(pairs)
+    shared = F.coalesce(F.size(F.array_intersect("a_s", "b_s")), F.lit(0))
+    pairs = pairs.join(frequent(sides.a, "a"), "a_key", "left").join(sides.small(frequent(sides.b, "b")), "b_key", "left")
+    best = cut(score(pairs.withColumn("both", F.col("both") + F.when(F.col("a_s").isNotNull() & F.col("b_s").isNotNull(), shared).otherwise(0))))
+    least = of_b.agg(F.min("b_n").alias("least"))
+    most = F.size("s") / (F.col("n") + F.greatest(F.col("least") - F.size("s"), F.lit(0)))
+    open_ = sides.a.select("key", "n", many.alias("s")).where(F.size("s") > 0).join(F.broadcast(least)).join(best, "key", "left").where(F.coalesce("best", F.lit(0.0)) < most)
+    held = cut(open_.select("key", "n", F.xxhash64("s").alias("class"), "s"))
+    classes = held.groupBy("class", "s").agg(F.count(F.lit(1)).alias("rows"))
+    own = classes.select("class", "s", F.explode("s").alias("h"))
+    other = of_b.select("b_n", "b_class", F.explode("s").alias("h"))
+    met = own.join(other, "h").groupBy("class", "s", "b_class").agg(F.count(F.lit(1)).alias("both"), F.first("b_n").alias("b_n"))
+    met = met.groupBy("class", "s", "both").agg(F.min("b_n").alias("b_n"))  # of as many shared, the smallest set
+    rest = held.join(met, ["class", "s"]).groupBy("key").agg(F.max(_share(F.col("both"), F.col("n"), F.col("b_n"))).alias("best"))
+    return best.unionByName(rest).groupBy("key").agg(F.max("best").alias("best"))
+
+
 def _estimate(a: str, b: str, permutations: int) -> Column:
     """Similarity by the share of equal pairs of bits in two arrays of planes, corrected for chance collisions of one in four."""
     words = -(-permutations // 64)
@@ -173,7 +266,7 @@ def greedy_survivors(pairs: DataFrame, first: str = "a_key", second: str = "b_ke
 
 def decontam_audit(candidates: DataFrame, heldout: DataFrame, threshold: float = 0.35) -> DataFrame:
     """key, max_similarity, flagged for each candidate with shingles (both tables are ``shingle_sets``); without overlap 0."""
-    best = overlaps(candidates, heldout).groupBy(F.col("a_key").alias("key")).agg(F.max("similarity").alias("best"))
+    best = best_overlaps(candidates, heldout)
     found = candidates.where("n > 0").select("key").join(best, "key", "left")
     similarity = F.coalesce("best", F.lit(0.0))
     return found.select("key", similarity.alias("max_similarity"), (similarity > threshold).alias("flagged"))
@@ -186,15 +279,14 @@ def decontaminate(df: DataFrame, heldout: DataFrame, key: str, text: str, heldou
     ``shingle_sets``, where they are there already.
     """
     sets = shingle_sets(df, key, text, k) if sets is None else sets
-    pairs = overlaps(sets, shingle_sets(heldout, heldout_key, heldout_text, k))
-    best = pairs.groupBy(F.col("a_key").alias(key)).agg(F.max("similarity").alias("max_similarity"))
+    best = best_overlaps(sets, shingle_sets(heldout, heldout_key, heldout_text, k)).select(F.col("key").alias(key), F.col("best").alias("max_similarity"))
     joined = df.join(best, key, "left").withColumn("max_similarity", F.coalesce("max_similarity", F.lit(0.0)))
     return joined.withColumn("kept", F.col("max_similarity") <= threshold)
 
 
 def reject_repeats(new: DataFrame, prior: DataFrame, key: str, text: str, prior_key: str, prior_text: str, threshold: float = 0.5, k: int = 3) -> DataFrame:
     """Rows of ``new`` whose similarity to every prior text is at most ``threshold``."""
-    pairs = overlaps(shingle_sets(new, key, text, k), shingle_sets(prior, prior_key, prior_text, k)).where(F.col("similarity") > threshold)
+    pairs = pairs_above(shingle_sets(new, key, text, k), shingle_sets(prior, prior_key, prior_text, k), threshold)
     return new.join(pairs.select(F.col("a_key").alias(key)).distinct(), key, "left_anti")
 
 
