@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fenced_blocks, numbered_line, syntax_ok
 from .grading import broken
+from .lineage import ranked
 
 MAX_SPAN = 300
 
@@ -57,10 +58,9 @@ def selection_report(candidates: DataFrame, selected: DataFrame, group: str, ind
 
 
 def take_quota(df: DataFrame, topic: str, order: list[Column | str], ratio: float = 5 / 12) -> DataFrame:
-    """The first rows of each topic, up to its size times ``ratio``, halves rounded to even."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(topic))
-    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(topic).orderBy(*order))).withColumn("__most", F.bround(n * F.lit(ratio)))
-    return ranked.where("__n <= __most").drop("__n", "__most")
+    """The first rows of each topic, up to its size times ``ratio``, halves rounded to even; ranked by ranges, no topic in one task."""
+    placed = ranked(df, topic, [F.col(c) if isinstance(c, str) else c for c in order], "__n", "__total")
+    return placed.where(F.col("__n") <= F.bround(F.col("__total") * F.lit(ratio))).drop("__n", "__total")
 
 
 def tag_scope(evidence: DataFrame, scope: DataFrame, key: str, path: str) -> DataFrame:
@@ -168,11 +168,11 @@ def derived_scope(df: DataFrame, status: str, scope: str) -> DataFrame:
 def stratified_split(df: DataFrame, key: str, topic: str, total: int, seed: int) -> DataFrame:
     """``df`` with split: dev or study. Each topic gives total // topics rows to dev, the first total % topics (sorted) one more.
 
-    Rows are chosen by the order of sha2(seed|key).
+    Rows are chosen by the order of sha2(seed|key), ranked by ranges, so that no topic lies in one task.
     """
     topics = df.select(topic).distinct().withColumn("__t", F.row_number().over(Window.orderBy(topic)) - 1)  # a row a topic
     topics = topics.join(topics.agg(F.count(F.lit(1)).alias("__n")), how="cross")
     share = F.floor(F.lit(total) / F.col("__n")) + (F.col("__t") < F.lit(total) % F.col("__n")).cast("int")
-    place = F.row_number().over(Window.partitionBy(topic).orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256), key))
-    marked = df.join(topics, topic).withColumn("__p", place)
+    order = [F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256), F.col(key)]
+    marked = ranked(df, topic, order, "__p").join(topics, topic)
     return marked.withColumn("split", F.when(F.col("__p") <= share, "dev").otherwise("study")).drop("__t", "__n", "__p")

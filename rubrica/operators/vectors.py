@@ -8,9 +8,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
-from .lineage import cut, numbered
+from .cells import BLOCK_ROWS, PivotTree, matrix
+from .lineage import cut, numbered, ranked
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -99,150 +99,113 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int, block_rows: int = 1
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-PIVOTS = 256
-
-
 def _unit(df: DataFrame, key: str, vector: str) -> DataFrame:
     return l2_normalize(df.select(F.col(key).alias("key"), F.col(vector).alias("v")), "v").select("key", "v")
 
 
-def _near_blocks(rows: DataFrame, reach: float, block_rows: int) -> DataFrame:
-    """``rows`` (key, v, weight and others; v of unit length) dealt to pairs of blocks that can hold vectors within ``reach``.
+def _contracted(points: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """(key, class of each row with a vector; class, key, v, weight: a row for all that are equal, zeros left out)."""
+    unit = _unit(points.where(F.col(vector).isNotNull()), key, vector)
+    unit = cut(unit.where(F.size("v") > 0).withColumn("class", F.md5(F.array_join(F.transform("v", lambda x: F.hex(F.round(x, 12).cast("string"))), ","))))
+    rows = unit.where(norm(F.col("v")) > 0).groupBy("class").agg(F.min("key").alias("key"), F.min_by("v", "key").alias("v"), F.count(F.lit(1)).alias("weight"))
+    return unit.select("key", "class"), cut(rows)
 
-    Rows belong to the cell of their nearest pivot (at most ``PIVOTS`` rows, by hash order, which every task holds). By the
-    triangle inequality a row can only be near rows of a cell if the cell's pivot is no further from it than ``reach`` and
-    the cell's radius. Cells of many rows have several blocks. A row goes to each block that can hold a near one, as
-    ``role`` 1, and to its own as ``role`` 0: pairs are looked at from both of their rows.
-    """
-    import numpy as np
 
-    pivots = np.array([r.v for r in rows.orderBy(F.xxhash64("key"), "key").limit(PIVOTS).collect()], dtype=np.float64)
-    if not len(pivots):
-        return rows.select("*", F.lit(0).alias("role"), F.lit(0).alias("cell"), F.lit(0).alias("block")).limit(0)
-
-    @F.arrow_udf(ArrayType(DoubleType()))
-    def distances(vs: pa.Array) -> pa.Array:
-        out = np.empty((len(vs), len(pivots)))
-        if len(vs):
-            v = np.stack(vs.to_numpy(zero_copy_only=False))
-            out = np.sqrt(np.maximum(0, (v * v).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * v @ pivots.T))
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(pivots)), pa.int32()), pa.array(out.ravel()))
-
-    placed = rows.withColumn("d", distances("v"))
-    placed = cut(placed.withColumn("cell", (F.array_position("d", F.array_min("d")) - 1).cast("int")))
-    cells = placed.groupBy("cell").agg(F.max(F.array_min("d")).alias("radius"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    known = {r.cell: (r.radius, r.blocks) for r in cells.collect()}  # a row a pivot
-    limits = F.array(*(F.lit(float(known[c][0] + reach + 1e-9) if c in known else -1.0) for c in range(len(pivots))))
-    blocks = F.array(*(F.lit(known[c][1] if c in known else 1) for c in range(len(pivots))))
-    own = placed.select(*rows.columns, F.lit(0).alias("role"), "cell", F.pmod(F.xxhash64("key"), F.get(blocks, F.col("cell"))).cast("int").alias("block"))
-    near = F.filter(F.transform(F.col("d"), lambda x, i: F.when(x <= F.get(limits, i), i)), lambda i: i.isNotNull())
-    asked = placed.select(*rows.columns, F.lit(1).alias("role"), F.explode(near).alias("cell"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("cell")) - 1)))
-    return own.unionByName(asked.select(*own.columns))
-
-
-def _by_block(met: DataFrame, eps: float, schema: str, fn) -> DataFrame:
-    """``fn(asked keys, weights, own keys, weights, near)`` for each block and each slice of the rows that ask it.
-
-    ``near`` marks pairs within cosine distance ``eps``; a row is not near itself. A task holds one block and one slice.
-    """
+def _reach(eps: float) -> float:
+    """The Euclidean distance of unit vectors at cosine distance ``eps``."""
+    return math.sqrt(max(0.0, 2 * eps))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
 
-        group, own, ask, block, kind = None, ([], [], []), ([], [], []), None, None
+def _cosine_distances(own: pa.RecordBatch, ask: pa.RecordBatch):
+    """(keys that ask, own keys, their cosine distances); a row is infinitely far from itself."""
+    import numpy as np
 
-        def out():
-            near = 1 - np.array(ask[2]) @ block.T <= eps
-            near &= np.array(ask[0], object)[:, None] != np.array(own[0], object)[None]
-            rows = fn(ask[0], np.array(ask[1]), own[0], np.array(own[1]), near)
-            return pa.RecordBatch.from_arrays([pa.array(c, kind if i < len(keys) else None) for i, c in enumerate(rows)], names)
+    a, b = (batch.column("key").to_numpy(zero_copy_only=False) for batch in (ask, own))
+    far = 1 - matrix(ask.column("v")) @ matrix(own.column("v")).T
+    far[a[:, None] == b[None]] = np.inf
+    return a, b, far
 
-        for batch in batches:
-            kind = batch.schema.field("key").type
-            for cell, part, role, key, weight, v in zip(*(batch.column(c).to_pylist() for c in ("cell", "block", "role", "key", "weight", "v")), strict=True):
-                if (cell, part) != group:
-                    if ask[0] and own[0]:
-                        yield out()
-                    group, own, ask, block = (cell, part), ([], [], []), ([], [], []), None
-                side = ask if role else own
-                if role and block is None:
-                    block = np.array(own[2])
-                for held, x in zip(side, (key, weight, v), strict=True):
-                    held.append(x)
-                if len(ask[0]) == 2048:
-                    if own[0]:
-                        yield out()
-                    ask = ([], [], [])
-        if ask[0] and own[0]:
-            yield out()
-
-    names = [x.split()[0] for x in schema.split(", ")]
-    keys = [n for n in names if n in ("key", "a", "b")]
-    dealt = met.repartition("cell", "block").sortWithinPartitions("cell", "block", "role").select("cell", "block", "role", "key", "weight", "v")
-    return dealt.mapInArrow(run, schema)
-
-
-def density_cluster(points: DataFrame, key: str, vector: str, eps: float, min_samples: int, min_size: int, block_rows: int = 1024) -> DataFrame:
+
+def density_cluster(points: DataFrame, key: str, vector: str, eps: float, min_samples: int, min_size: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """key, cluster: density clusters by cosine distance, -1 for noise.
 
     A point is a core point if at least ``min_samples`` others lie within ``eps``, which is to say that its core distance is
     at most ``eps``. Core points within ``eps`` of each other are linked; components of ``min_size`` points or more are
     clusters, numbered by their smallest key. All pairs within ``eps`` count, whatever their number.
 
-    Equal vectors are contracted to one row with a weight first. Only blocks that can hold near vectors meet
-    (``_near_blocks``); a block gives a count for each row, then, for core points, links that join what is connected in it,
-    no more than it has rows. So what is shuffled grows with rows × near blocks, not with pairs. A row without a vector,
-    or of zeros, is noise.
+    Equal vectors are contracted to one row with a weight first. Only blocks that can hold near vectors meet, as a tree of
+    pivots tells (``cells``); a block gives a count for each row, then, for core points, links that join what is connected
+    in it, no more than it has rows. So what is shuffled grows with rows × near blocks, not with pairs. A row without a
+    vector, or of zeros, is noise.
     """
-    import numpy as np
-
-    unit = _unit(points.where(F.col(vector).isNotNull()), key, vector)
-    unit = cut(unit.where(F.size("v") > 0).withColumn("class", F.md5(F.array_join(F.transform("v", lambda x: F.hex(F.round(x, 12).cast("string"))), ","))))
-    rows = cut(unit.where(norm(F.col("v")) > 0).groupBy("class").agg(F.min("key").alias("key"), F.min_by("v", "key").alias("v"), F.count(F.lit(1)).alias("weight")))
-    reach = math.sqrt(max(0.0, 2 * eps))
+    unit, rows = _contracted(points, key, vector)
     kind = rows.schema["key"].dataType.simpleString()
-    met = _near_blocks(rows.select("key", "v", "weight"), reach, block_rows)
-    counts = _by_block(met, eps, f"key {kind}, n long", lambda ak, aw, bk, bw, near: (ak, near @ bw))
-    degree = counts.groupBy("key").agg(F.sum("n").alias("n"))
-    core = cut(rows.join(degree, "key").where(F.col("n") + F.col("weight") - 1 >= min_samples).select("key", "v", "weight"))
-
-    def joined(ak, aw, bk, bw, near):
-        """Links of a slice and a block that connect what is near in them: each row's first near one, then others' owners."""
-        a, b, parent = [], [], list(range(len(bk)))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for i, row in enumerate(near):
-            at = np.flatnonzero(row)
-            if not len(at):
-                continue
-            first = root(int(at[0]))
-            a.append(min(ak[i], bk[at[0]]))
-            b.append(max(ak[i], bk[at[0]]))
-            for j in np.unique(at[1:]):
-                other = root(int(j))
-                if other != first:
-                    parent[other] = first
-                    a.append(min(ak[i], bk[j]))
-                    b.append(max(ak[i], bk[j]))
-        return a, b
-
-    links = _by_block(_near_blocks(core, reach, block_rows), eps, f"a {kind}, b {kind}", joined).distinct()
-    labels = components(core.select("key"), links)
-    sizes = labels.join(core.select("key", "weight"), "key").groupBy("label").agg(F.sum("weight").alias("size")).where(F.col("size") >= min_size)
+    tree = PivotTree(rows.select("key", "v", "weight"), block_rows)
+    asked = cut(tree.asked(rows.select("key", "v", "weight", F.lit(_reach(eps)).alias("reach"))))
+
+    def counted(own: pa.RecordBatch, ask: pa.RecordBatch) -> pa.RecordBatch:
+        _, _, far = _cosine_distances(own, ask)
+        return pa.RecordBatch.from_arrays([ask.column("key"), pa.array((far <= eps) @ own.column("weight").to_numpy())], ["key", "n"])
+
+    degree = tree.blocks(asked, f"key {kind}, n long", counted).groupBy("key").agg(F.sum("n").alias("n"))
+    core = cut(rows.join(degree, "key").where(F.col("n") + F.col("weight") - 1 >= min_samples).select("key", "weight"))
+
+    def joined(own: pa.RecordBatch, ask: pa.RecordBatch) -> pa.RecordBatch:
+        """Links of a slice and a block that connect what is near in them."""
+        import numpy as np
+
+        ak, bk, far = _cosine_distances(own, ask)
+        a, b, owner = [], [], np.arange(len(bk))  # of each of the block's rows, the first that it is connected to
+        for i, row in enumerate(far <= eps):
+            for o in np.unique(owner[row]):
+                a.append(min(ak[i], bk[o]))
+                b.append(max(ak[i], bk[o]))
+            if row.any():
+                owner[np.isin(owner, owner[row])] = owner[row].min()
+        return pa.RecordBatch.from_arrays([pa.array(a, own.schema.field("key").type), pa.array(b, own.schema.field("key").type)], ["a", "b"])
+
+    cores = core.select("key")
+    links = tree.blocks(asked.join(cores, "key", "left_semi"), f"a {kind}, b {kind}", joined, tree.placed.join(cores, "key", "left_semi")).distinct()
+    labels = components(cores, links)
+    sizes = labels.join(core, "key").groupBy("label").agg(F.sum("weight").alias("size")).where(F.col("size") >= min_size)
     clusters = numbered(sizes.select("label"), ["label"], "cluster")
     named = unit.select(F.col("key").alias("own"), "class").join(rows.select("class", "key"), "class").join(labels, "key").join(clusters, "label")
     return points.select(key).join(named.select(F.col("own").alias(key), F.col("cluster").cast("int").alias("cluster")), key, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """key, label: the smallest key of each node's component, by rounds of joins in which labels spread and jump."""
-    links = cut(links.select("a", "b").union(links.select("b", "a")).toDF("key", "other").distinct())
+class Joined:
+    """Which keys are linked, the smallest of those that are as their root."""
+
+    def __init__(self):
+        self.parent = {}
+
+    def root(self, x):
+        parent = self.parent
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def link(self, a, b) -> bool:
+        """Links two keys; whether they weren't linked before."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+#: Links up to which one task joins components, as counted; more take rounds of joins.
+FEW_LINKS = 100_000
+
+
+def components(nodes: DataFrame, links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """key, label: the smallest key of each node's component: in one task where the links are at most ``few``, as counted,
+    else by rounds of joins in which labels spread and jump."""
+    links = cut(links.select("a", "b"))
+    if links.count() <= few:
+        return _few_components(nodes, links)
+    links = cut(links.union(links.select("b", "a")).toDF("key", "other").distinct())
     labels = cut(nodes.select("key", F.col("key").alias("label")))
     while True:
         around = links.join(labels.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("label").alias("least"))
@@ -255,6 +218,24 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
+def _few_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    kind = links.schema["a"].dataType.simpleString()
+    plain = lambda x: tuple(x.values()) if isinstance(x, dict) else x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        join, type_ = Joined(), None
+        for batch in batches:
+            type_ = batch.schema.field("a").type
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                join.link(plain(a), plain(b))
+        if type_ is not None:
+            keys = list(join.parent)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, type_), pa.array([join.root(k) for k in keys], type_)], ["key", "label"])
+
+    found = links.repartition(1).mapInArrow(run, f"key {kind}, label {kind}")
+    return cut(nodes.select("key").join(found, "key", "left").select("key", F.coalesce("label", "key").alias("label")))
+
+
 def cluster_summary(df: DataFrame, label: str = "cluster") -> DataFrame:
     """clusters, noise_fraction, sizes in descending order; label -1 is noise. One row a label is gathered."""
     sizes = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -266,17 +247,151 @@ def cluster_summary(df: DataFrame, label: str = "cluster") -> DataFrame:
     )
 
 
+def _spanning(weights):
+    """(rows, columns, weights) of a minimum spanning forest of a bipartite graph, by growing trees (Prim); inf is no edge."""
+    import numpy as np
+
+    many = weights.shape
+    near = [np.full(n, np.inf) for n in many]  # of each row and column, the least edge to the tree
+    by = [np.zeros(n, np.int64) for n in many]
+    out = [np.zeros(n, bool) for n in many]
+    found: list[tuple[int, int, float]] = []
+    starts = iter(np.flatnonzero(np.isfinite(weights).any(1)).tolist())
+    while True:
+        best = [int(np.argmin(x)) for x in near]
+        side = int(near[1][best[1]] <= near[0][best[0]])
+        at = best[side]
+        if near[side][at] == np.inf:  # a new tree
+            at, side = next((r for r in starts if not out[0][r]), None), 0
+            if at is None:
+                return found
+        else:
+            found.append((at, int(by[0][at]), float(near[0][at])) if side == 0 else (int(by[1][at]), at, float(near[1][at])))
+        out[side][at], near[side][at] = True, np.inf
+        edges = weights[at] if side == 0 else weights[:, at]
+        less = (edges < near[1 - side]) & ~out[1 - side]
+        near[1 - side][less], by[1 - side][less] = edges[less], at
+
+
+def spanning_forest(edges: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """a, b, w: a minimum spanning forest of ``edges`` (a, b, w).
+
+    Rounds after Borůvka: each component takes its least edge, ties by its ends, and what is so joined becomes one; at least
+    half of the components go in each. What is left is sorted and joined in one task once it is at most ``few`` edges, as
+    counted.
+    """
+    kind = edges.schema["a"].dataType.simpleString()
+    left = cut(edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w")).where("a <> b").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "a", "b", "w"))
+    taken = None
+    while left.count() > few:
+        both = left.select(F.col("ca").alias("c"), F.struct("w", "a", "b").alias("e"), F.col("cb").alias("other")).union(left.select(F.col("cb").alias("c"), F.struct("w", "a", "b").alias("e"), F.col("ca").alias("other")))
+        least = cut(both.groupBy("c").agg(F.min(F.struct("e", "other")).alias("m")).select("c", "m.other", "m.e.*"))
+        new = least.select("a", "b", "w").distinct()
+        taken = new if taken is None else taken.unionByName(new)
+        labels = components(least.select(F.col("c").alias("key")), least.select(F.col("c").alias("a"), F.col("other").alias("b")), few)
+        name = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"new_{c}"))
+        moved = left.join(name("ca"), "ca").join(name("cb"), "cb").where("new_ca <> new_cb")
+        left = cut(moved.select(F.least("new_ca", "new_cb").alias("ca"), F.greatest("new_ca", "new_cb").alias("cb"), "a", "b", "w").groupBy("ca", "cb").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("ca", "cb", "e.a", "e.b", "e.w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        join, rows, type_ = Joined(), [], None
+        for batch in batches:
+            type_ = batch.schema.field("a").type
+            rows += zip(*(batch.column(c).to_pylist() for c in ("w", "a", "b", "ca", "cb")), strict=True)
+        kept = [(a, b, w) for w, a, b, ca, cb in sorted(rows) if join.link(ca, cb)]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), (type_, type_, pa.float64()), strict=True)], ["a", "b", "w"])
+
+    last = left.select("w", "a", "b", "ca", "cb").repartition(1).mapInArrow(run, f"a {kind}, b {kind}, w double")
+    return cut(last if taken is None else taken.unionByName(last))
+
+
+def reach_forests(rows: DataFrame, eps: float, samples: list[int], block_rows: int = BLOCK_ROWS, few: int = FEW_LINKS) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """(key, core: the core distance for each of ``samples``, null beyond ``eps``; for each of them a minimum spanning forest
+    a, b, w of the graph of mutual reachability distances up to ``eps``) of ``rows`` (key, v, weight).
+
+    Near blocks meet twice, whatever ``samples`` and the cuts to come: for each row's nearest distances, then for a spanning
+    forest of each block and slice, whose union holds a spanning forest of the whole.
+    """
+    kind = rows.schema["key"].dataType.simpleString()
+    tree = PivotTree(rows.select("key", "v", "weight"), block_rows)
+    asked = cut(tree.asked(rows.select("key", "v", "weight", F.lit(_reach(eps)).alias("reach"))))
+    most = max(samples)
+
+    def nearest(own: pa.RecordBatch, ask: pa.RecordBatch) -> pa.RecordBatch:
+        import numpy as np
+
+        _, _, far = _cosine_distances(own, ask)
+        take = np.argsort(far, 1, kind="stable")[:, :most]
+        d = np.take_along_axis(far, take, 1)
+        i, j = np.nonzero(d <= eps)
+        columns = [ask.column("key").take(pa.array(i)), pa.array(d[i, j]), pa.array(own.column("weight").to_numpy()[take[i, j]])]
+        return pa.RecordBatch.from_arrays(columns, ["key", "d", "w"])
+
+    near = tree.blocks(asked, f"key {kind}, d double, w long", nearest).groupBy("key", "d").agg(F.sum("w").alias("w"))
+    within = F.sum("w").over(Window.partitionBy("key").orderBy("d"))  # a row's nearest, some a block
+    counted = near.withColumn("within", within).join(rows.select("key", "weight"), "key", "right").withColumn("more", F.col("weight") - 1)
+    first = lambda m: F.min(F.when(F.col("more") >= m, 0.0).when(F.col("within") + F.col("more") >= m, F.col("d")))
+    core = cut(counted.groupBy("key").agg(F.array(*(first(m) for m in samples)).alias("core")))
+
+    def local(own: pa.RecordBatch, ask: pa.RecordBatch) -> pa.RecordBatch:
+        import numpy as np
+
+        ak, bk, far = _cosine_distances(own, ask)
+        out: list[tuple] = []
+        cores = [np.array([[np.inf if c is None else c for c in x] for x in batch.column("core").to_pylist()]) for batch in (ask, own)]
+        for k, m in enumerate(samples):
+            mutual = np.maximum(np.maximum(far, cores[0][:, k][:, None]), cores[1][:, k][None])
+            mutual[mutual > eps] = np.inf
+            out += [(m, min(ak[i], bk[j]), max(ak[i], bk[j]), w) for i, j, w in _spanning(mutual)]
+        type_ = own.schema.field("key").type
+        columns = zip(*out, strict=True) if out else ([],) * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), type_, type_, pa.float64()), strict=True)], ["m", "a", "b", "w"])
+
+    edges = cut(tree.blocks(asked.join(core, "key"), f"m int, a {kind}, b {kind}, w double", local, tree.placed.join(core, "key")))
+    return core, {m: spanning_forest(edges.where(F.col("m") == m).select("a", "b", "w"), few) for m in samples}
+
+
+def cluster_cuts(points: DataFrame, key: str, vector: str, grid: list[tuple[float, int, int]], block_rows: int = BLOCK_ROWS, few: int = FEW_LINKS) -> DataFrame:
+    """setting (place in ``grid``), key, cluster: for each (eps, min_samples, min_size), what ``density_cluster`` gives.
+
+    The forests of the largest eps are built once (``reach_forests``); each setting cuts them at its own eps. Components of
+    all settings are joined at the same time.
+    """
+    unit, rows = _contracted(points, key, vector)
+    samples = sorted({m for _, m, _ in grid})
+    core, forests = reach_forests(rows, max(e for e, _, _ in grid), samples, block_rows, few)
+    cuts = points.sparkSession.createDataFrame([(i, float(e), samples.index(m), n) for i, (e, m, n) in enumerate(grid)], "setting int, eps double, m int, least long")
+    weighed = core.join(rows.select("key", "weight"), "key")
+    inside = cut(weighed.join(F.broadcast(cuts), F.get("core", F.col("m")) <= F.col("eps")).select(F.struct("setting", "key").alias("key"), "least", "weight"))
+    edges = None
+    for m, forest in forests.items():
+        part = forest.join(F.broadcast(cuts.where(F.col("m") == samples.index(m))), F.col("w") <= F.col("eps")).select(F.struct("setting", F.col("a").alias("key")).alias("a"), F.struct("setting", F.col("b").alias("key")).alias("b"))
+        edges = part if edges is None else edges.unionByName(part)
+    labels = components(inside.select("key"), edges, few)
+    sizes = labels.join(inside, "key").groupBy("label").agg(F.sum("weight").alias("size"), F.first("least").alias("least")).where("size >= least")
+    clusters = ranked(sizes.select("label", F.col("label.setting").alias("setting")), "setting", [F.col("label")], "cluster")
+    named = labels.join(clusters.select("label", "cluster"), "label").select(F.col("key").getField("setting").alias("setting"), F.col("key").getField("key").alias("key"), (F.col("cluster") - 1).cast("int").alias("cluster"))
+    whole = unit.select(F.col("key").alias("own"), "class").join(rows.select("class", "key"), "class").join(named, "key").select("setting", F.col("own").alias(key), "cluster")
+    all_ = points.select(key).join(F.broadcast(cuts.select("setting")))  # a row a setting
+    return all_.join(whole, ["setting", key], "left").select("setting", key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
 def sweep(points: DataFrame, key: str, vector: str, grid: list[tuple[float, int, int]]) -> DataFrame:
-    """A row for each (eps, min_samples, min_size): the summary of its clusters and their mean silhouette."""
+    """A row for each (eps, min_samples, min_size): the summary of its clusters and their mean silhouette.
+
+    Neighbours are found once for the whole grid (``cluster_cuts``).
+    """
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
+    found = cut(cluster_cuts(points, key, vector, grid))
+    members = cut(found.where("cluster >= 0").join(points.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features")), key).select("setting", "features", F.col("cluster").cast("double").alias("prediction")))
+    several = {r.setting for r in members.groupBy("setting").agg(F.min("prediction").alias("a"), F.max("prediction").alias("b")).where("a < b").collect()}  # a row a setting
     out = None
-    for eps, samples, size in grid:
-        clusters = cut(density_cluster(points, key, vector, eps, samples, size))
-        inside = clusters.where("cluster >= 0").join(points, key).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col("cluster").cast("double").alias("prediction"))
-        score = ClusteringEvaluator().evaluate(inside) if inside.select("prediction").distinct().count() > 1 else None
-        row = cluster_summary(clusters).select(F.lit(eps).alias("eps"), F.lit(samples).alias("min_samples"), F.lit(size).alias("min_size"), "*", F.lit(score).cast("double").alias("score"))
+    for i, (eps, samples, size) in enumerate(grid):
+        score = ClusteringEvaluator().evaluate(members.where(F.col("setting") == i).drop("setting")) if i in several else None
+        row = cluster_summary(found.where(F.col("setting") == i)).select(F.lit(eps).alias("eps"), F.lit(samples).alias("min_samples"), F.lit(size).alias("min_size"), "*", F.lit(score).cast("double").alias("score"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -304,7 +419,7 @@ def centroid_rank(df: DataFrame, key: str, vector: str, cluster: str) -> DataFra
     unit = l2_normalize(df.select(key, cluster, F.col(vector).alias("v")), "v")
     means = unit.groupBy(cluster).agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("c"))
     scored = unit.join(means, cluster).select(key, cluster, (dot(F.col("v"), F.col("c")) / norm(F.col("c"))).alias("cosine"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("cosine"), key)))
+    return ranked(scored, cluster, [F.desc("cosine"), F.col(key)], "rank")
 
 
 def seed_batches(ranked: DataFrame, cluster: str, key: str, batches: int, size: int = 10) -> DataFrame:
@@ -325,52 +440,37 @@ def usable_topics(clusters: DataFrame) -> DataFrame:
     return clusters.where(F.col("coherent") & F.col("corpus_groundable"))
 
 
-def _nearest_by_blocks(unit: DataFrame, base: DataFrame, many: int, block_rows: int = 2048) -> DataFrame:
-    """key, nearest of each row of ``unit`` (key, v) to the ``many`` rows of ``base`` (v); both of unit length.
+def _nearest_in_tree(unit: DataFrame, base: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """key, nearest of each row of ``unit`` (key, v) to the rows of ``base`` (v); vectors are of unit length or zero.
 
-    Each pair of blocks meets in one task, which keeps one cosine a row; what is shuffled grows with rows × blocks.
+    Each row first meets the leaf of ``base`` that it falls into; the best cosine there gives its reach, and of the other
+    leaves only those that can hold a nearer row, by the triangle inequality, are multiplied with. The result is exact.
     """
     rows = cut(unit.withColumn("row", F.monotonically_increasing_id()))  # so that rows of one key stay apart
-    dealt = cut(base.withColumn("row", F.monotonically_increasing_id()))
-    wide, high = max(1, -(-many // block_rows)), max(1, -(-rows.count() // block_rows))
-    place = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = dealt.select(each(high).alias("q"), place(wide).alias("b"), F.lit(0).alias("role"), "row", "v")
-    asked = rows.select(place(high).alias("q"), each(wide).alias("b"), F.lit(1).alias("role"), "row", "v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    zero = lambda v: ~F.exists(v, lambda x: x != 0)
+    own = cut(base.distinct().withColumn("key", F.monotonically_increasing_id()).withColumn("weight", F.lit(1).cast("long")))
+    tree = PivotTree(own.where(~zero(F.col("v"))), block_rows)
+    asking = rows.where(~zero(F.col("v"))).select(F.col("row").alias("key"), "v", F.lit(1).cast("long").alias("weight"))
 
-        group, block, ids, vs = None, [], [], []
+    def best(own_: pa.RecordBatch, ask: pa.RecordBatch) -> pa.RecordBatch:
+        cosine = (matrix(ask.column("v")) @ matrix(own_.column("v")).T).max(1)
+        return pa.RecordBatch.from_arrays([ask.column("key"), pa.array(cosine)], ["key", "nearest"])
 
-        def out():
-            best = (np.array(vs) @ np.array(block).T).max(1)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(best, pa.float64())], ["row", "nearest"])
-
-        for batch in batches:
-            for q, b, role, row, v in zip(*(batch.column(c).to_pylist() for c in ("q", "b", "role", "row", "v")), strict=True):
-                if (q, b) != group:
-                    if ids and block:
-                        yield out()
-                    group, block, ids, vs = (q, b), [], [], []
-                if role:
-                    ids.append(row)
-                    vs.append(v)
-                else:
-                    block.append(v)
-        if ids and block:
-            yield out()
-
-    met = held.unionByName(asked).repartition("q", "b").sortWithinPartitions("q", "b").select("q", "b", "role", "row", "v")
-    best = met.mapInArrow(run, "row long, nearest double").groupBy("row").agg(F.max("nearest").alias("nearest"))
-    return rows.select("row", "key").join(best, "row", "left").select("key", "nearest")
+    top = lambda asked: tree.blocks(asked, "key long, nearest double", best).groupBy("key").agg(F.max("nearest").alias("nearest"))
+    first = cut(top(tree.home(asking)))
+    reach = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("nearest")))
+    rest = top(tree.asked(asking.join(first, "key").withColumn("reach", reach).drop("nearest"))) if tree.levels else first
+    zeros = own.agg(F.coalesce(F.bool_or(zero(F.col("v"))), F.lit(False)).alias("zeros"), F.count(F.lit(1)).alias("many"))
+    found = rows.join(rest, rest["key"] == rows["row"], "left").join(F.broadcast(zeros)).select(rows["key"], "v", "nearest", "zeros", "many")
+    beside = F.when((F.col("many") > 0) & (F.col("zeros") | zero(F.col("v"))), 0.0)  # a zero vector's cosine
+    return found.select("key", F.greatest("nearest", beside).alias("nearest"))
 
 
 def nearest_cosine(a: DataFrame, b: DataFrame, key: str, vector: str, broadcast_bytes: int = 32 << 20, flag: float = 0.95) -> DataFrame:
     """key, nearest (highest cosine of a row of ``a`` to any row of ``b``), flagged.
 
     Where ``b``'s vectors take at most ``broadcast_bytes``, as counted, they are gathered to one block that every task
-    multiplies with; beyond that both sides are dealt to blocks, whose pairs are multiplied in tasks.
+    multiplies with; beyond that ``b`` is laid out in cells, and rows meet only the blocks that can hold their nearest.
     """
     import numpy as np
 
@@ -378,7 +478,7 @@ def nearest_cosine(a: DataFrame, b: DataFrame, key: str, vector: str, broadcast_
     unit = l2_normalize(a.select(F.col(key), F.col(vector).alias("v")), "v")
     size = b.agg(F.count(F.lit(1)).alias("many"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("wide")).first()
     if size.many * size.wide * 8 > broadcast_bytes:
-        scored = _nearest_by_blocks(unit.select(F.col(key).alias("key"), "v"), base, size.many)
+        scored = _nearest_in_tree(unit.select(F.col(key).alias("key"), "v"), base)
         return scored.select(F.col("key").alias(key), "nearest", (F.col("nearest") >= flag).alias("flagged"))
     block = a.sparkSession.sparkContext.broadcast(np.array(base.toPandas()["v"].tolist(), dtype=np.float64))
 

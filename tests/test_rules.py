@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rubrica.functions import text
-from rubrica.operators import codesearch, curate, dedup, foldback, grading, lineage, stats, traces, vectors
+from rubrica.operators import cells, codesearch, curate, dedup, foldback, grading, lineage, stats, traces, vectors
+from rubrica.operators.lineage import cut
 from rubrica.streaming import jobs
 
 from .test_operators import one
@@ -343,3 +344,196 @@ def test_no_local_folder_on_a_cluster():
         lineage.shared_dir(Session())
     Session.sparkContext.master = "local[4]"
     assert lineage.shared_dir(Session()) == lineage.LOCAL_DIR
+
+
+# decontamination
+
+
+def plain_overlaps(a, b):
+    grams = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} if len(t.split()) > 2 else {tuple(t.split())} if t.split() else set()
+    one_, two = {i: grams(t) for i, t in enumerate(a)}, {j: grams(t) for j, t in enumerate(b)}
+    return {(i, j): len(x & y) / len(x | y) for i, x in one_.items() for j, y in two.items() if x & y}
+
+
+def passages(seed, rows, frames):
+    """Texts of rare words, of one of ``frames`` passages that many hold, or of both, some of them copies with edits."""
+    rng = np.random.default_rng(seed)
+    frame = [words_of(np.random.default_rng(100 + i), 14, 30) for i in range(frames)]
+    texts = []
+    for i in range(rows):
+        own = words_of(rng, int(rng.integers(0, 20)), 400)
+        texts.append([own, frame[i % frames], f"{frame[i % frames]} {own}", f"{own} {frame[i % frames]} {frame[(i + 1) % frames]}", texts[int(rng.integers(0, i))] + " more words" if i else "", ""][int(rng.integers(0, 6))])
+    return texts
+
+
+@pytest.mark.parametrize("bound, rare, seed", [(0, 64, 1), (1_000_000, 3, 2), (0, 3, 3), (1_000_000, 0, 4)])
+def test_prefix_filter_and_best_overlaps_equal_brute_force(spark, bound, rare, seed):
+    a, b = passages(seed, 40, 3), passages(seed + 50, 30, 3)
+    want = plain_overlaps(a, b)
+    one_, two = (cut(dedup.shingle_sets(spark.createDataFrame(list(enumerate(t)), "id int, t string"), "id", "t")) for t in (a, b))
+    for threshold in (0.05, 0.35, 0.5, 0.9):
+        got = {(r.a_key, r.b_key): round(r.similarity, 9) for r in dedup.pairs_above(one_, two, threshold, bound).collect()}
+        assert got == {p: round(s, 9) for p, s in want.items() if s > threshold}
+    best = {}
+    for (i, _), s in want.items():
+        best[i] = max(s, best.get(i, 0))
+    assert {r.key: round(r.best, 9) for r in dedup.best_overlaps(one_, two, rare, bound).collect()} == {i: round(s, 9) for i, s in best.items()}
+
+
+def test_frequent_passages_make_no_pairs(spark):
+    """A passage in all texts of both sides: neither join sees a row for each pair of texts."""
+    frame, rng = words_of(np.random.default_rng(5), 60, 1000), np.random.default_rng(6)
+    a, b = ([f"{frame} {words_of(rng, 12, 100_000)}" for _ in range(300)] for _ in range(2))
+    one_, two = (cut(dedup.shingle_sets(spark.createDataFrame(list(enumerate(t)), "id int, t string"), "id", "t")) for t in (a, b))
+    assert dedup.pairs_above(one_, two, 0.9).count() == 0
+    sides = dedup.Ordered(one_, two)
+    few = F.filter("known", lambda x: x.f <= dedup.RARE)
+    first = F.slice("known", F.lit(1), F.greatest(F.size("known") - F.floor(F.col("n") * 0.9 - dedup.SLACK).cast("int"), F.lit(0)))
+    assert sides.matched(few, few).count() < 10 and sides.matched(first, first).count() < 3000  # of 90,000 pairs
+    best = dedup.best_overlaps(one_, two)
+    assert best.count() == 300 and best.where("best < 0.6").count() == 0
+
+
+def test_decontamination_edges(spark):
+    none = spark.createDataFrame([], "id int, t string")
+    some = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, "a b c d"), (5, "x y z")], "id int, t string")
+    for one_, two in ((none, some), (some, none), (none, none)):
+        assert dedup.decontaminate(one_, two, "id", "t", "id", "t").where("max_similarity > 0").count() == 0
+        assert dedup.reject_repeats(one_, two, "id", "t", "id", "t").count() == one_.count()
+    got = {r.id: (r.max_similarity, r.kept) for r in dedup.decontaminate(some, some, "id", "t", "id", "t").collect()}
+    assert got == {1: (0.0, True), 2: (0.0, True), 3: (1.0, False), 4: (1.0, False), 5: (1.0, False)}
+
+
+# cells of near vectors
+
+
+def clustered(seed, many, wide=8, groups=12, spread=0.03):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, wide))
+    vs = centres[rng.integers(0, groups, many)] + rng.normal(size=(many, wide)) * spread
+    return vs / np.linalg.norm(vs, axis=1, keepdims=True)
+
+
+def vector_rows(spark, vs):
+    return spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(vs)], "key long, v array<double>, weight long")
+
+
+def test_pivot_tree_bounds_blocks_and_keeps_near_rows(spark):
+    vs = np.concatenate([clustered(7, 300), np.repeat(clustered(8, 1), 60, 0)])  # one vector more often than a block holds
+    rows_ = vector_rows(spark, vs)
+    tree = cells.PivotTree(rows_, block_rows=16)
+    leaf = {r.key: r.leaf for r in tree.placed.collect()}
+    assert len(leaf) == len(vs) and max(np.unique(list(leaf.values()), return_counts=True)[1]) <= 16 and len(tree.levels) >= 2
+    for reach in (0.0, 0.1, 0.6):
+        asked = {(r.key, r.leaf) for r in tree.asked(rows_.withColumn("reach", F.lit(reach))).collect()}
+        near = np.argwhere(cells.distances(vs, vs) <= reach)
+        assert all((i, leaf[j]) in asked for i, j in near.tolist())
+    assert {r.key for r in tree.home(rows_).collect()} == set(leaf)
+
+
+def test_pairs_of_blocks_grow_less_than_quadratically(spark):
+    asked = []
+    for many in (400, 1600):
+        rows_ = vector_rows(spark, clustered(9, many, groups=40, spread=0.01))
+        tree = cells.PivotTree(rows_, block_rows=16)
+        asked.append(tree.asked(rows_.withColumn("reach", F.lit(0.05))).count())
+    assert asked[1] < 8 * asked[0]  # four times the rows; with all blocks it would be sixteen times
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_forest_is_minimal(spark, few):
+    rng = np.random.default_rng(10)
+    edges = [(int(a), int(b), float(rng.integers(1, 12))) for a, b in rng.integers(0, 40, (150, 2))]
+    got = vectors.spanning_forest(spark.createDataFrame(edges, "a long, b long, w double"), few).collect()
+    for cut_at in range(1, 13):
+        joins = [vectors.Joined(), vectors.Joined()]
+        for join, some in zip(joins, (edges, [(r.a, r.b, r.w) for r in got]), strict=True):
+            for a, b, w in some:
+                if w <= cut_at:
+                    join.link(a, b)
+        assert [joins[0].root(i) for i in range(40)] == [joins[1].root(i) for i in range(40)]
+    check = vectors.Joined()
+    assert all(check.link(r.a, r.b) for r in got)  # a forest
+
+
+def test_local_forest_is_minimal():
+    rng = np.random.default_rng(11)
+    for _ in range(30):
+        weights = rng.integers(1, 9, (7, 9)).astype(float)
+        weights[rng.random((7, 9)) < 0.5] = np.inf
+        found = vectors._spanning(weights)
+        for cut_at in range(1, 9):
+            joins = [vectors.Joined(), vectors.Joined()]
+            for i, j in np.argwhere(weights <= cut_at).tolist():
+                joins[0].link(i, 100 + j)
+            for i, j, w in found:
+                assert w == weights[i, j]
+                if w <= cut_at:
+                    joins[1].link(i, 100 + j)
+            nodes = [*range(7), *range(100, 109)]
+            assert [joins[0].root(n) for n in nodes] == [joins[1].root(n) for n in nodes]
+
+
+def test_components_with_and_without_rounds(spark):
+    links = [(1, 2), (2, 3), (5, 4), (7, 7), (9, 8), (8, 3)]
+    nodes = spark.range(0, 11).withColumnRenamed("id", "key")
+    for few in (0, 100):
+        got = {r.key: r.label for r in vectors.components(nodes, spark.createDataFrame(links, "a long, b long"), few).collect()}
+        assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 1, 9: 1, 10: 10}
+
+
+@pytest.mark.parametrize("block", [1024, 24])
+def test_cuts_of_one_forest_equal_single_clusterings(spark, block, monkeypatch):
+    vs = np.concatenate([clustered(12, 90, spread=0.1), np.repeat(clustered(13, 3), 6, 0)])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vs)] + [(900, None), (901, [0.0] * 8)], "id long, v array<double>")
+    grid = [(e, m, n) for e in (0.002, 0.01, 0.03, 0.2) for m, n in ((2, 2), (5, 3), (5, 8))]
+    passes = []
+    blocks = cells.PivotTree.blocks
+    monkeypatch.setattr(cells.PivotTree, "blocks", lambda self, *a: passes.append(1) or blocks(self, *a))
+    got = {}
+    for r in vectors.cluster_cuts(df, "id", "v", grid, block).collect():
+        got.setdefault(r.setting, {})[r.id] = r.cluster
+    assert len(passes) == 2  # of near blocks: nearest distances and forests, whatever the grid
+    for i, (eps, samples, least) in enumerate(grid):
+        want = brute_clusters(vs, eps, samples, least)
+        assert [got[i][k] for k in range(len(vs))] == want.tolist() and got[i][900] == got[i][901] == -1
+    assert {r.id: r.cluster for r in vectors.density_cluster(df, "id", "v", 0.03, 5, 3).collect()} == got[7]
+
+
+def test_nearest_cosine_in_a_tree(spark):
+    """Clustered and scattered rows, copies, zero vectors on either side, blocks smaller than cells."""
+    a = np.concatenate([clustered(14, 60), clustered(15, 20, groups=20), np.zeros((1, 8))])
+    b = np.concatenate([clustered(14, 400), np.repeat(clustered(16, 1), 40, 0)])
+    frame = lambda x: spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "key long, v array<double>")
+    for base in (b, np.concatenate([b, np.zeros((1, 8))])):
+        got = {r.key: r.nearest for r in vectors._nearest_in_tree(frame(a), frame(base).select("v"), 16).collect()}
+        want = (a @ base.T).max(1)
+        assert len(got) == len(a) and all(abs(got[i] - w) < 1e-9 for i, w in enumerate(want))
+    none = vectors._nearest_in_tree(frame(a), frame(b).limit(0).select("v"), 16)
+    assert [r.nearest for r in none.collect()] == [None] * len(a)
+
+
+# ranks within keys
+
+
+def test_ranks_within_a_hot_key(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rng = np.random.default_rng(17)
+        data = [(["hot", "cold", None, "rare"][k], int(x), i) for i, (k, x) in enumerate(zip(rng.choice(4, 400, p=[0.6, 0.25, 0.1, 0.05]), rng.integers(0, 50, 400), strict=True))]
+        df = spark.createDataFrame(data, "k string, x int, i int")
+        got = lineage.ranked(df, "k", [F.desc("x"), F.col("i")], "rank", "n")
+        assert got.columns == ["k", "x", "i", "rank", "n"]
+        want = {}
+        for k in {d[0] for d in data}:
+            own = sorted((d for d in data if d[0] == k), key=lambda d: (-d[1], d[2]))
+            want |= {d[2]: (place, len(own)) for place, d in enumerate(own, 1)}
+        assert {r.i: (r["rank"], r.n) for r in got.collect()} == want
+        parts = lineage._in_order(df, [F.col("k"), F.desc("x"), F.col("i")]).where("k = 'hot'").groupBy("__part").count().collect()
+        assert len(parts) > 3 and max(r["count"] for r in parts) < 150  # the hot key's 240 rows are split
+        assert lineage.ranked(df.limit(0), "k", [F.col("i")], "rank", "n").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
