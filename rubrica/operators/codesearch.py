@@ -3,38 +3,180 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .lineage import cut
+from .lineage import cut, ranked
 
 MOST_HITS, MOST_PATHS, MOST_LINES, LINE_CHARS = 50, 200, 200, 500
 
 
-def grep(lines: DataFrame, patterns: DataFrame, cap: int = MOST_HITS, chars: int = LINE_CHARS) -> DataFrame:
-    """pattern_id, rank, hit (``path:line:text``), truncated: the first ``cap`` hits of each pattern by path and line.
-
-    ``patterns`` (pattern_id, pattern, prefix) is a short list of requests, small enough to go to every task. Matching is
-    per line. A request whose prefix has no file gives one row with a null hit.
-    """
-    asked = F.broadcast(patterns)
-    hits = lines.join(asked, F.startswith("path", "prefix") & F.expr("text RLIKE pattern"))
-    order = Window.partitionBy("pattern_id").orderBy("path", "line_no")
-    ranked = hits.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pattern_id")))
-    found = ranked.where(F.col("rank") <= cap).select("pattern_id", "rank", F.concat_ws(":", "path", F.col("line_no").cast("string"), F.substring("text", 1, chars)).alias("hit"), (F.col("n") > cap).alias("truncated"))
-    paths = lines.select("path").distinct()
-    none = patterns.join(paths.join(asked, F.startswith("path", "prefix")).select("pattern_id").distinct(), "pattern_id", "left_anti")
-    return found.unionByName(none.select("pattern_id", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("hit"), F.lit(False).alias("truncated")))
+#: Lines of a file that a posting of the index stands for, and seconds that a task spends on one pattern.
+BLOCK_LINES, SECONDS = 64, 10.0
 
 
 def safe_pattern(pattern: str) -> str:
-    """The pattern, or, where it isn't a regular expression, one that matches it literally."""
+    """The pattern, or, where the engine that matches doesn't take it as a regular expression, one for it as it stands."""
     try:
-        re.compile(pattern)
+        regex.compile(pattern)
         return pattern
-    except re.error:
-        return re.escape(pattern)
+    except regex.error:
+        return regex.escape(pattern)
+
+
+def required(pattern: str) -> list[str]:
+    """Texts that every match holds, as the parsed pattern tells: runs of plain characters outside of alternatives and
+    optional parts. Empty where it tells nothing."""
+    try:
+        tree = re._parser.parse(safe_pattern(pattern))
+    except (re.error, OverflowError):  # a form that only the matching engine knows
+        return []
+    out, run = [], []
+
+    def end() -> None:
+        if run:
+            out.append("".join(run))
+            run.clear()
+
+    def walk(items) -> None:
+        for op, value in items:
+            name = str(op)
+            if name == "LITERAL":
+                run.append(chr(value))
+            elif name == "SUBPATTERN" and not value[1] and not value[2]:
+                walk(value[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] >= 1:
+                end()
+                walk(value[2])
+                end()
+            elif name == "ATOMIC_GROUP":
+                walk(value)
+            elif name != "AT":
+                end()
+
+    if not tree.state.flags & re.IGNORECASE:
+        walk(tree)
+    end()
+    return out
+
+
+def trigrams(text: str) -> set[str]:
+    return {text[i : i + 3] for i in range(len(text) - 2)}
+
+
+def trigram_index(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """gram, path, block: the character trigrams of each block of lines, once each; block b holds lines from b · block_lines + 1."""
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("text") - 2), lambda i: F.substring(F.col("text"), i, F.lit(3))))
+    block = F.floor((F.col("line_no") - 1) / block_lines).cast("int").alias("block")
+    return lines.where(F.char_length("text") > 2).select("path", block, F.explode(grams).alias("gram")).distinct().select("gram", "path", "block")
+
+
+def open_blocks(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """pattern_id, path, block: blocks that hold all trigrams of a pattern (asked: pattern_id, prefix, grams: at least one)."""
+    wanted = F.broadcast(asked.select("pattern_id", "prefix", F.size("grams").alias("n"), F.explode("grams").alias("gram")))
+    met = index.join(wanted, "gram").where(F.startswith("path", "prefix"))
+    return met.groupBy("pattern_id", "path", "block").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n")).where("found = n").select("pattern_id", "path", "block")
+
+
+def candidates(lines: DataFrame, requests: list, index: DataFrame | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """path, line_no, text and patterns (places in ``requests``) of the lines that a pattern is tried on: those under its
+    prefix that hold all texts that its matches require. With an ``index``, lines come from its open blocks where the
+    pattern requires a trigram; a pattern that requires nothing is tried on all lines under its prefix.
+    """
+    texts = [required(r.pattern) for r in requests]
+    grams = [sorted(set().union(*map(trigrams, t))) for t in texts]
+    tried = []
+    for i, r in enumerate(requests):
+        holds = F.startswith("path", F.lit(r.prefix))
+        for t in texts[i]:
+            holds = holds & F.contains("text", F.lit(t))
+        tried.append(F.when(holds, F.lit(i)))
+    if index is not None:
+        spark = lines.sparkSession
+        asked = spark.createDataFrame([(i, r.prefix, grams[i]) for i, r in enumerate(requests) if grams[i]], "pattern_id int, prefix string, grams array<string>")
+        blocks = open_blocks(index, asked).groupBy("path", "block").agg(F.collect_set("pattern_id").alias("open"))  # as many as patterns
+        all_ = F.array(*(F.lit(i) for i in range(len(requests)) if not grams[i])).cast("array<int>")
+        placed = lines.withColumn("block", F.floor((F.col("line_no") - 1) / block_lines).cast("int"))
+        if any(not g for g in grams):
+            placed = placed.join(blocks, ["path", "block"], "left").withColumn("open", F.concat(F.coalesce("open", F.array().cast("array<int>")), all_))
+        else:
+            placed = placed.join(blocks, ["path", "block"])
+        tried = [F.when(F.array_contains("open", F.lit(i)), t) for i, t in enumerate(tried)]
+        lines = placed
+    patterns = F.array_compact(F.array(*tried)) if tried else F.array().cast("array<int>")
+    return lines.select("path", "line_no", "text", patterns.alias("patterns")).where(F.size("patterns") > 0)
+
+
+def grep(lines: DataFrame, patterns: DataFrame, cap: int = MOST_HITS, chars: int = LINE_CHARS, index: DataFrame | None = None, seconds: float = SECONDS) -> DataFrame:
+    """pattern_id, rank, hit (``path:line:text``), truncated: the first ``cap`` hits of each pattern by path and line.
+
+    ``patterns`` (pattern_id, pattern, prefix) is a short list of requests. Matching is per line, by an engine that stops in
+    time; patterns that it doesn't take stand for themselves. Only lines that hold what a pattern requires are matched
+    (``candidates``), found by an ``index`` of trigrams (``trigram_index``) if there is one. A task keeps a pattern's first
+    ``cap`` hits and whether there are more, and gives the pattern up after ``seconds`` of matching, which counts as
+    truncated. A request whose prefix has no file gives one row with a null hit; so does one given
+    up before any hit, truncated.
+    """
+    requests = patterns.collect()
+    compiled = [safe_pattern(r.pattern) for r in requests]
+    kind = patterns.schema["pattern_id"].dataType.simpleString()
+    ids = pa.array([r.pattern_id for r in requests], to_arrow_type(patterns.schema["pattern_id"].dataType))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import heapq
+        import time
+
+        engines = [regex.compile(p) for p in compiled]
+        left = [seconds] * len(engines)
+        kept: list[list] = [[] for _ in engines]  # heaps of the first hits, the last of them on top
+        for batch in batches:
+            for path, line, text, tried in zip(*(batch.column(c).to_pylist() for c in ("path", "line_no", "text", "patterns")), strict=True):
+                for i in tried:
+                    place = (path, line)
+                    if left[i] <= 0 or len(kept[i]) > cap and place > kept[i][0].place:
+                        continue
+                    began = time.monotonic()
+                    try:
+                        if engines[i].search(text, timeout=left[i]):
+                            heapq.heappush(kept[i], Last(place, text[:chars]))
+                            if len(kept[i]) > cap + 1:
+                                heapq.heappop(kept[i])
+                    except TimeoutError:
+                        left[i] = 0
+                    left[i] -= time.monotonic() - began
+        rows = [(i, *hit.place, hit.text, False) for i, held in enumerate(kept) for hit in held] + [(i, None, None, None, True) for i in range(len(engines)) if left[i] <= 0]
+        if rows:
+            places, *others = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(places)), *(pa.array(c, t) for c, t in zip(others, (pa.string(), pa.int64(), pa.string(), pa.bool_()), strict=True))], ["pattern_id", "path", "line_no", "text", "late"])
+
+    tried = candidates(lines, requests, index).withColumn("line_no", F.col("line_no").cast("long"))
+    hits = tried.mapInArrow(run, f"pattern_id {kind}, path string, line_no long, text string, late boolean")
+    ranked_ = hits.where("NOT late").withColumn("rank", F.row_number().over(Window.partitionBy("pattern_id").orderBy("path", "line_no")))  # cap + 1 a task
+    judged = ranked_.select("pattern_id", "rank", "path", "line_no", "text", F.lit(False).alias("late")).unionByName(hits.where("late").select("pattern_id", F.lit(0).alias("rank"), "path", "line_no", "text", "late"))
+    judged = cut(judged.where(F.col("rank") <= cap + 1))
+    more = judged.groupBy("pattern_id").agg((F.max("rank") > cap).alias("more"), F.bool_or("late").alias("late")).select("pattern_id", (F.col("more") | F.col("late")).alias("truncated"))
+    found = judged.where((F.col("rank") <= cap) & (F.col("rank") > 0)).join(F.broadcast(more), "pattern_id")  # a row a pattern
+    found = found.select("pattern_id", "rank", F.concat_ws(":", "path", F.col("line_no").cast("string"), "text").alias("hit"), "truncated")
+    under = [F.coalesce(F.bool_or(F.startswith("path", F.lit(r.prefix))), F.lit(False)).alias(str(i)) for i, r in enumerate(requests)]
+    there = lines.agg(*under).first() if requests else []
+    none = patterns.sparkSession.createDataFrame([(r.pattern_id, 0, None, False) for r, ok in zip(requests, there, strict=True) if not ok], f"pattern_id {kind}, rank int, hit string, truncated boolean")
+    silent = more.where("truncated").join(judged.where(F.col("rank") > 0).select("pattern_id"), "pattern_id", "left_anti")  # given up before a hit
+    return found.unionByName(none).unionByName(silent.select("pattern_id", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("hit"), "truncated"))
+
+
+class Last:
+    """A hit in a heap whose top is the last place."""
+
+    def __init__(self, place: tuple, text: str):
+        self.place, self.text = place, text
+
+    def __lt__(self, other: Last) -> bool:
+        return self.place > other.place
 
 
 def glob_pattern(glob: str) -> str:
@@ -61,10 +203,10 @@ def glob(files: DataFrame, patterns: list[str], cap: int = MOST_PATHS) -> DataFr
     asked = spark.createDataFrame([(p, glob_pattern(p), "/" not in p) for p in patterns], "pattern string, regex string, bare boolean")
     paths = files.select("path").distinct().withColumn("base", F.substring_index("path", "/", -1))
     hit = paths.join(F.broadcast(asked), F.expr("path RLIKE regex OR (bare AND base RLIKE regex)")).withColumn("whole", F.expr("path RLIKE regex"))
-    any_whole = F.bool_or("whole").over(Window.partitionBy("pattern"))
-    hit = hit.withColumn("any_whole", any_whole).where("whole OR NOT any_whole")
-    ranked = hit.withColumn("rank", F.row_number().over(Window.partitionBy("pattern").orderBy("path"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pattern")))
-    return ranked.where(F.col("rank") <= cap).select("pattern", "rank", "path", F.greatest(F.col("n") - cap, F.lit(0)).alias("more"))
+    any_whole = hit.groupBy("pattern").agg(F.bool_or("whole").alias("any_whole"))  # a row a glob
+    hit = hit.join(F.broadcast(any_whole), "pattern").where("whole OR NOT any_whole").select("pattern", "path")
+    placed = ranked(hit, "pattern", [F.col("path")], "rank", "n")
+    return placed.where(F.col("rank") <= cap).select("pattern", "rank", "path", F.greatest(F.col("n") - cap, F.lit(0)).alias("more"))
 
 
 def read_range(lines: DataFrame, requests: DataFrame, cap: int = MOST_LINES, chars: int = LINE_CHARS) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import codesearch, curate, foldback
+from ..operators.lineage import cut
 from .proxies import R, claims
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 FILES = "f AS (SELECT source || '/d' || doc_id || '.py' AS path, text FROM documents)"
 LINES = "l AS (SELECT path, unnest(t) AS text, generate_subscripts(t, 1) AS line_no FROM (SELECT path, string_split(text, chr(10)) AS t FROM f))"
@@ -247,6 +248,14 @@ def cs1(spark, sf_dir):
     return codesearch.grep(lines(spark, sf_dir), spark.sql(f"SELECT * FROM {PATTERNS.replace('(VALUES', 'VALUES').replace(') AS t', ' AS t')}"), 20)
 
 
+@query("cs1_grep_indexed", ORACLES["cs1_grep"])
+def cs1_indexed(spark, sf_dir):
+    """The same requests through an index of trigrams, which a user would store."""
+    own = cut(lines(spark, sf_dir))
+    asked = spark.sql(f"SELECT * FROM {PATTERNS.replace('(VALUES', 'VALUES').replace(') AS t', ' AS t')}")
+    return codesearch.grep(own, asked, 20, index=cut(codesearch.trigram_index(own)))
+
+
 GLOBS = {"src1/*.py": "^src1/[^/]*\\.py$", "d1?.py": "d1.\\.py$", "src[2-3]/d*5.py": "^src[2-3]/d[^/]*5\\.py$", "**/d77.py": "^([^/]+/)*d77\\.py$"}
 
 
