@@ -1,13 +1,18 @@
-"""Text expressions: cleaning, question form, shingles, fenced programs. Built-in functions, except ``syntax_ok``.
+"""Text expressions: cleaning, question form, shingles, fenced programs. Built-in functions, except ``syntax_ok`` and hashed shingles.
 
 A line ends at a newline, with or without a carriage return. Null texts count as empty unless a function says otherwise.
 """
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, LongType
 
 # Words whose lines don't count as a text's first, and the words that open a question or a request.
 GREETINGS = ["hi", "hello", "hey", "greetings", "thanks", "thank", "dear"]
@@ -127,8 +132,66 @@ def shingles(c: Column, k: int = 3) -> Column:
 
 
 def shingle_hashes(c: Column, k: int = 3) -> Column:
-    """The set of ``shingles`` as 64-bit hashes, without making their strings."""
-    return _grams(c, k, F.xxhash64, F.xxhash64)
+    """The set of ``shingles`` as 64-bit hashes, without making their strings; in no order."""
+    return _hasher(k)(normalize_text(c))
+
+
+@functools.cache
+def _hasher(k: int):
+    """Hashes of all runs of ``k`` words of normalized texts: a rolling hash of the bytes gives that of any run at once."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def hashes(texts: pa.Array) -> pa.Array:
+        parts = []
+        start, held = 0, 0
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        for i, n in enumerate([*sizes.tolist(), None]):  # slices, so that memory doesn't follow a batch of long texts
+            if n is None or held and held + n > SLICE_BYTES:
+                parts.append(_run_hashes(texts.slice(start, i - start), k))
+                start, held = i, 0
+            held += n or 0
+        return pa.concat_arrays(parts)
+
+    return hashes
+
+
+#: Bytes of text whose runs are hashed at once; a longer text makes a slice of its own.
+SLICE_BYTES = 4 << 20
+#: Base of the rolling hash, odd, so that it has an inverse among the 64-bit numbers.
+ROLL = 0x9E3779B97F4A7C15
+
+
+def _run_hashes(texts: pa.Array, k: int) -> pa.Array:
+    texts = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] if len(bounds) else 0 : bounds[-1] if len(bounds) else 0]
+    bounds = bounds - bounds[0] if len(bounds) else np.zeros(1, np.int64)
+    filled = np.flatnonzero(np.diff(bounds))
+    spaces = np.flatnonzero(data == 32)
+    starts, ends = np.sort(np.concatenate([bounds[filled], spaces + 1])), np.sort(np.concatenate([bounds[filled + 1], spaces]))
+    owner = np.searchsorted(bounds[filled], starts, "right") - 1  # of each word, among the texts that have any
+    first = np.searchsorted(owner, np.arange(len(filled)))
+    words = np.diff(np.append(first, len(owner)))
+    runs = np.flatnonzero(owner[: len(owner) - k + 1] == owner[k - 1 :]) if len(owner) >= k else np.zeros(0, np.int64)
+    few = np.flatnonzero(words < k)  # shorter texts are one run
+    low = np.concatenate([starts[runs], starts[first[few]]])
+    high = np.concatenate([ends[runs + k - 1], ends[first[few] + words[few] - 1]])
+    of = np.concatenate([owner[runs], few])
+    factor = np.full(len(data) + 1, ROLL, np.uint64)
+    factor[0] = 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.cumprod(factor)[:-1], out=sums[1:])
+    factor[1:] = pow(ROLL, -1, 1 << 64)
+    h = (sums[high] - sums[low]) * np.cumprod(factor)[low] + (high - low).astype(np.uint64) * np.uint64(ROLL)
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(times)
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    counts = np.zeros(len(texts), np.int64)
+    counts[filled] = np.bincount(of[new], minlength=len(filled))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(h[new].view(np.int64)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

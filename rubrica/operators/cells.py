@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 #: Rows of a leaf at most, pivots that a cell is split by at most, and slices of rows that meet a block at once.
-BLOCK_ROWS, FAN, SLICE = 1024, 64, 2048
+BLOCK_ROWS, FAN, SLICE = 4096, 64, 1024
 #: Slack of the triangle inequality for rounding.
 SLACK = 1e-7
 
@@ -137,43 +137,43 @@ class PivotTree:
         self.levels.append(cut(pivots.join(radius, "child").select(F.col("leaf").alias("cell"), F.col("child").alias("leaf"), "pivot", "radius")))
         return moved.drop("d")
 
-    def _down(self, rows: DataFrame, columns: list[str], fn: Callable) -> DataFrame:
-        """``rows`` (``columns``) led from level to level by ``fn`` to leaves; it gives columns and leaf."""
-        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-        schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", leaf string"
-        left, settled = rows.select(*columns, F.lit("").alias("leaf")), None
+    def _down(self, rows: DataFrame, fn: Callable) -> DataFrame:
+        """key, leaf: ``rows`` (key, v, weight, any others; unique keys) led from level to level by ``fn``, which says which cells
+        of a level a row goes on to. Only keys are kept from level to level, not the vectors, of which there are many copies."""
+        left, settled = rows.select("key", F.lit("").alias("leaf")), None
         for level in self.levels:
             cells = level.select(F.col("cell").alias("leaf")).distinct()
             done = left.join(cells, "leaf", "left_anti")
             settled = done if settled is None else settled.unionByName(done)
-            dealt, parts = in_parts(left.join(cells, "leaf", "left_semi").withColumnRenamed("leaf", "cell"), "cell", 64 * self.block_rows)
-            left = cut(met_by(level.join(parts, "cell"), dealt, ["cell", "part"], schema, fn))
+            going = left.join(cells, "leaf", "left_semi").withColumnRenamed("leaf", "cell").join(rows, "key")
+            dealt, parts = in_parts(going, "cell", 64 * self.block_rows)
+            kind = rows.schema["key"].dataType.simpleString()
+            left = cut(met_by(level.join(parts, "cell"), dealt, ["cell", "part"], f"key {kind}, leaf string", fn))
         return left if settled is None else settled.unionByName(left)
 
     def asked(self, rows: DataFrame) -> DataFrame:
-        """key, v, weight, reach, leaf: ``rows`` (with reach) at each leaf that can hold a row within their reach."""
-        names = ["key", "v", "weight", "reach"]
+        """key, leaf: ``rows`` (with reach) at each leaf that can hold a row within their reach."""
 
         def near(own: pa.RecordBatch, ask: pa.RecordBatch) -> pa.RecordBatch:
             import numpy as np
 
             limit = ask.column("reach").to_numpy()[:, None] + own.column("radius").to_numpy()[None] + SLACK
             i, j = np.nonzero(distances(matrix(ask.column("v")), matrix(own.column("pivot"))) <= limit)
-            return pa.RecordBatch.from_arrays([*(ask.column(c).take(pa.array(i)) for c in names), own.column("leaf").take(pa.array(j))], [*names, "leaf"])
+            return pa.RecordBatch.from_arrays([ask.column("key").take(pa.array(i)), own.column("leaf").take(pa.array(j))], ["key", "leaf"])
 
-        return self._down(rows, names, near)
+        return self._down(rows, near)
 
     def home(self, rows: DataFrame) -> DataFrame:
-        """key, v, weight, leaf: ``rows`` at the leaf of the nearest pivots, where rows near them are likely."""
-        names = ["key", "v", "weight"]
+        """key, leaf: ``rows`` at the leaf of the nearest pivots, where rows near them are likely."""
 
         def nearest(own: pa.RecordBatch, ask: pa.RecordBatch) -> pa.RecordBatch:
             best = distances(matrix(ask.column("v")), matrix(own.column("pivot"))).argmin(1)
-            return pa.RecordBatch.from_arrays([*(ask.column(c) for c in names), own.column("leaf").take(pa.array(best))], [*names, "leaf"])
+            return pa.RecordBatch.from_arrays([ask.column("key"), own.column("leaf").take(pa.array(best))], ["key", "leaf"])
 
-        return self._down(rows, names, nearest)
+        return self._down(rows, nearest)
 
-    def blocks(self, asked: DataFrame, schema: str, fn: Callable, held: DataFrame | None = None) -> DataFrame:
-        """``fn(a leaf's rows, a slice of the rows that ask it)``; ``held``: the tree's rows (with leaf) or some of them."""
-        dealt, parts = in_parts(asked, "leaf", 32 * self.block_rows)
+    def blocks(self, asked: DataFrame, rows: DataFrame, schema: str, fn: Callable, held: DataFrame | None = None) -> DataFrame:
+        """``fn(a leaf's rows, a slice of the rows that ask it)``: ``rows`` (key, v, weight, any others) as ``asked`` (key, leaf);
+        ``held``: the tree's rows (with leaf) or some of them."""
+        dealt, parts = in_parts(asked.join(rows, "key"), "leaf", 32 * self.block_rows)
         return met_by((self.placed if held is None else held).join(parts, "leaf"), dealt, ["leaf", "part"], schema, fn)

@@ -118,10 +118,11 @@ def rarity(b: DataFrame) -> DataFrame:
 def known(sets: DataFrame, order: DataFrame) -> DataFrame:
     """key, n, known: the shingles of each set that stand in ``order`` (``rarity``), as (f, h), the rarest first.
 
-    Sets without any are left out. A set's row is as wide as the set; keys are unique.
+    Empty sets are left out, those with nothing in the order aren't. Keys are unique.
     """
-    rows = sets.select("key", "n", F.explode("s").alias("h")).join(order, "h")
-    return rows.groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "h"))).alias("known"))
+    rows = sets.select("key", "n", F.explode("s").alias("h")).join(order, "h", "left")
+    listed = F.sort_array(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "h"))))
+    return rows.groupBy("key").agg(F.first("n").alias("n"), listed.alias("known"))
 
 
 class Ordered:
@@ -166,7 +167,8 @@ def pairs_above(a: DataFrame, b: DataFrame, threshold: float, broadcast_rows: in
 
 
 def best_overlaps(a: DataFrame, b: DataFrame, rare: int = RARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """key, best: the highest similarity of each set of ``a`` to a set of ``b``, exact, where it shares a shingle with any.
+    """key, best: the highest similarity of each set of ``a`` to a set of ``b``, exact; 0 where they share nothing. Empty sets
+    are left out.
 
     Pairs are made by shingles of at most ``rare`` sets of ``b``, so they grow with ``a``; what such a pair shares of
     frequent ones is counted on its arrays. Other pairs share frequent shingles only, and there only which of them a set
@@ -178,7 +180,8 @@ def best_overlaps(a: DataFrame, b: DataFrame, rare: int = RARE, broadcast_rows:
     pairs = sides.matched(few, few)
     frequent = lambda df, x: df.select(F.col("key").alias(f"{x}_key"), many.alias(f"{x}_s")).where(F.size(f"{x}_s") > 0)
     of_b = cut(frequent(sides.b, "b").join(sides.b.select(F.col("key").alias("b_key"), "n"), "b_key").groupBy(F.col("b_s").alias("s")).agg(F.min("n").alias("b_n")).withColumn("b_class", F.monotonically_increasing_id()))
-    score = lambda df: df.groupBy(F.col("a_key").alias("key")).agg(F.max(_share(F.col("both"), F.col("a_n"), F.col("b_n"))).alias("best"))
+    every = sides.a.select("key", F.lit(0.0).alias("best"))
+    score = lambda df: df.select(F.col("a_key").alias("key"), _share(F.col("both"), F.col("a_n"), F.col("b_n")).alias("best")).unionByName(every).groupBy("key").agg(F.max("best").alias("best"))
     if of_b.isEmpty():
         return score(pairs)
     shared = F.coalesce(F.size(F.array_intersect("a_s", "b_s")), F.lit(0))
@@ -186,7 +189,7 @@ def best_overlaps(a: DataFrame, b: DataFrame, rare: int = RARE, broadcast_rows:
     best = cut(score(pairs.withColumn("both", F.col("both") + F.when(F.col("a_s").isNotNull() & F.col("b_s").isNotNull(), shared).otherwise(0))))
     least = of_b.agg(F.min("b_n").alias("least"))
     most = F.size("s") / (F.col("n") + F.greatest(F.col("least") - F.size("s"), F.lit(0)))
-    open_ = sides.a.select("key", "n", many.alias("s")).where(F.size("s") > 0).join(F.broadcast(least)).join(best, "key", "left").where(F.coalesce("best", F.lit(0.0)) < most)
+    open_ = sides.a.select("key", "n", many.alias("s")).where(F.size("s") > 0).join(F.broadcast(least)).join(best, "key").where(F.col("best") < most)
     held = cut(open_.select("key", "n", F.xxhash64("s").alias("class"), "s"))
     classes = held.groupBy("class", "s").agg(F.count(F.lit(1)).alias("rows"))
     own = classes.select("class", "s", F.explode("s").alias("h"))
@@ -267,9 +270,7 @@ def greedy_survivors(pairs: DataFrame, first: str = "a_key", second: str = "b_ke
 def decontam_audit(candidates: DataFrame, heldout: DataFrame, threshold: float = 0.35) -> DataFrame:
     """key, max_similarity, flagged for each candidate with shingles (both tables are ``shingle_sets``); without overlap 0."""
     best = best_overlaps(candidates, heldout)
-    found = candidates.where("n > 0").select("key").join(best, "key", "left")
-    similarity = F.coalesce("best", F.lit(0.0))
-    return found.select("key", similarity.alias("max_similarity"), (similarity > threshold).alias("flagged"))
+    return best.select("key", F.col("best").alias("max_similarity"), (F.col("best") > threshold).alias("flagged"))
 
 
 def decontaminate(df: DataFrame, heldout: DataFrame, key: str, text: str, heldout_key: str, heldout_text: str, threshold: float = 0.35, k: int = 3, sets: DataFrame | None = None) -> DataFrame:

@@ -141,13 +141,14 @@ def density_cluster(points: DataFrame, key: str, vector: str, eps: float, min_sa
     unit, rows = _contracted(points, key, vector)
     kind = rows.schema["key"].dataType.simpleString()
     tree = PivotTree(rows.select("key", "v", "weight"), block_rows)
-    asked = cut(tree.asked(rows.select("key", "v", "weight", F.lit(_reach(eps)).alias("reach"))))
+    asked = cut(tree.asked(rows.select("key", "v", F.lit(_reach(eps)).alias("reach"))))
+    own = rows.select("key", "v", "weight")
 
     def counted(own: pa.RecordBatch, ask: pa.RecordBatch) -> pa.RecordBatch:
         _, _, far = _cosine_distances(own, ask)
         return pa.RecordBatch.from_arrays([ask.column("key"), pa.array((far <= eps) @ own.column("weight").to_numpy())], ["key", "n"])
 
-    degree = tree.blocks(asked, f"key {kind}, n long", counted).groupBy("key").agg(F.sum("n").alias("n"))
+    degree = tree.blocks(asked, own, f"key {kind}, n long", counted).groupBy("key").agg(F.sum("n").alias("n"))
     core = cut(rows.join(degree, "key").where(F.col("n") + F.col("weight") - 1 >= min_samples).select("key", "weight"))
 
     def joined(own: pa.RecordBatch, ask: pa.RecordBatch) -> pa.RecordBatch:
@@ -165,7 +166,7 @@ def density_cluster(points: DataFrame, key: str, vector: str, eps: float, min_sa
         return pa.RecordBatch.from_arrays([pa.array(a, own.schema.field("key").type), pa.array(b, own.schema.field("key").type)], ["a", "b"])
 
     cores = core.select("key")
-    links = tree.blocks(asked.join(cores, "key", "left_semi"), f"a {kind}, b {kind}", joined, tree.placed.join(cores, "key", "left_semi")).distinct()
+    links = tree.blocks(asked, own.join(cores, "key", "left_semi"), f"a {kind}, b {kind}", joined, tree.placed.join(cores, "key", "left_semi")).distinct()
     labels = components(cores, links)
     sizes = labels.join(core, "key").groupBy("label").agg(F.sum("weight").alias("size")).where(F.col("size") >= min_size)
     clusters = numbered(sizes.select("label"), ["label"], "cluster")
@@ -315,7 +316,8 @@ def reach_forests(rows: DataFrame, eps: float, samples: list[int], block_rows: i
     """
     kind = rows.schema["key"].dataType.simpleString()
     tree = PivotTree(rows.select("key", "v", "weight"), block_rows)
-    asked = cut(tree.asked(rows.select("key", "v", "weight", F.lit(_reach(eps)).alias("reach"))))
+    asked = cut(tree.asked(rows.select("key", "v", F.lit(_reach(eps)).alias("reach"))))
+    own = rows.select("key", "v", "weight")
     most = max(samples)
 
     def nearest(own: pa.RecordBatch, ask: pa.RecordBatch) -> pa.RecordBatch:
@@ -328,7 +330,7 @@ def reach_forests(rows: DataFrame, eps: float, samples: list[int], block_rows: i
         columns = [ask.column("key").take(pa.array(i)), pa.array(d[i, j]), pa.array(own.column("weight").to_numpy()[take[i, j]])]
         return pa.RecordBatch.from_arrays(columns, ["key", "d", "w"])
 
-    near = tree.blocks(asked, f"key {kind}, d double, w long", nearest).groupBy("key", "d").agg(F.sum("w").alias("w"))
+    near = tree.blocks(asked, own, f"key {kind}, d double, w long", nearest).groupBy("key", "d").agg(F.sum("w").alias("w"))
     within = F.sum("w").over(Window.partitionBy("key").orderBy("d"))  # a row's nearest, some a block
     counted = near.withColumn("within", within).join(rows.select("key", "weight"), "key", "right").withColumn("more", F.col("weight") - 1)
     first = lambda m: F.min(F.when(F.col("more") >= m, 0.0).when(F.col("within") + F.col("more") >= m, F.col("d")))
@@ -348,7 +350,7 @@ def reach_forests(rows: DataFrame, eps: float, samples: list[int], block_rows: i
         columns = zip(*out, strict=True) if out else ([],) * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), type_, type_, pa.float64()), strict=True)], ["m", "a", "b", "w"])
 
-    edges = cut(tree.blocks(asked.join(core, "key"), f"m int, a {kind}, b {kind}, w double", local, tree.placed.join(core, "key")))
+    edges = cut(tree.blocks(asked, own.join(core, "key"), f"m int, a {kind}, b {kind}, w double", local, tree.placed.join(core, "key")))
     return core, {m: spanning_forest(edges.where(F.col("m") == m).select("a", "b", "w"), few) for m in samples}
 
 
@@ -450,16 +452,16 @@ def _nearest_in_tree(unit: DataFrame, base: DataFrame, block_rows: int = BLOCK_R
     zero = lambda v: ~F.exists(v, lambda x: x != 0)
     own = cut(base.distinct().withColumn("key", F.monotonically_increasing_id()).withColumn("weight", F.lit(1).cast("long")))
     tree = PivotTree(own.where(~zero(F.col("v"))), block_rows)
-    asking = rows.where(~zero(F.col("v"))).select(F.col("row").alias("key"), "v", F.lit(1).cast("long").alias("weight"))
+    asking = rows.where(~zero(F.col("v"))).select(F.col("row").alias("key"), "v")
 
     def best(own_: pa.RecordBatch, ask: pa.RecordBatch) -> pa.RecordBatch:
         cosine = (matrix(ask.column("v")) @ matrix(own_.column("v")).T).max(1)
         return pa.RecordBatch.from_arrays([ask.column("key"), pa.array(cosine)], ["key", "nearest"])
 
-    top = lambda asked: tree.blocks(asked, "key long, nearest double", best).groupBy("key").agg(F.max("nearest").alias("nearest"))
+    top = lambda asked: tree.blocks(asked, asking, "key long, nearest double", best).groupBy("key").agg(F.max("nearest").alias("nearest"))
     first = cut(top(tree.home(asking)))
     reach = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("nearest")))
-    rest = top(tree.asked(asking.join(first, "key").withColumn("reach", reach).drop("nearest"))) if tree.levels else first
+    rest = top(tree.asked(cut(asking.join(first, "key").withColumn("reach", reach).drop("nearest")))) if tree.levels else first
     zeros = own.agg(F.coalesce(F.bool_or(zero(F.col("v"))), F.lit(False)).alias("zeros"), F.count(F.lit(1)).alias("many"))
     found = rows.join(rest, rest["key"] == rows["row"], "left").join(F.broadcast(zeros)).select(rows["key"], "v", "nearest", "zeros", "many")
     beside = F.when((F.col("many") > 0) & (F.col("zeros") | zero(F.col("v"))), 0.0)  # a zero vector's cosine

@@ -5,6 +5,7 @@ import itertools
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -346,6 +347,21 @@ def test_no_local_folder_on_a_cluster():
     assert lineage.shared_dir(Session()) == lineage.LOCAL_DIR
 
 
+def test_hashed_runs_equal_runs_of_words():
+    rng = np.random.default_rng(8)
+    texts = ["", "a", "a b", "a b c", "a b a b a b", "é ü 日本 x y", "w" * 5000, *(" ".join(rng.choice(["x", "yy", "zzz", "é"], int(rng.integers(0, 40)))) for _ in range(300))]
+    grams = lambda t, k: ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)}) if (w := t.split()) else set()
+    for k in (1, 3, 5):
+        for some in (texts, texts[::-1], texts[:1], []):
+            got = text._run_hashes(pa.array(["skip me", *some], pa.string()).slice(1), k).to_pylist()
+            name = {}
+            for t, hashes in zip(some, got, strict=True):
+                assert len(set(hashes)) == len(hashes) == len(grams(t, k))
+                for g in grams(t, k):
+                    name.setdefault(g, set(hashes)).intersection_update(hashes)
+            assert all(name.values())  # a run has one hash in all texts that hold it
+
+
 # decontamination
 
 
@@ -374,9 +390,9 @@ def test_prefix_filter_and_best_overlaps_equal_brute_force(spark, bound, rare, s
     for threshold in (0.05, 0.35, 0.5, 0.9):
         got = {(r.a_key, r.b_key): round(r.similarity, 9) for r in dedup.pairs_above(one_, two, threshold, bound).collect()}
         assert got == {p: round(s, 9) for p, s in want.items() if s > threshold}
-    best = {}
+    best = {i: 0 for i, t in enumerate(a) if t}
     for (i, _), s in want.items():
-        best[i] = max(s, best.get(i, 0))
+        best[i] = max(s, best[i])
     assert {r.key: round(r.best, 9) for r in dedup.best_overlaps(one_, two, rare, bound).collect()} == {i: round(s, 9) for i, s in best.items()}
 
 
