@@ -24,14 +24,14 @@ import heapq
 import html
 import re
 from bisect import bisect_right, insort
-from collections import Counter
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, table, texts_of
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[a-zA-Z][^>]*(?:>|\Z)|<[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[a-zA-Z][^>]*(?:>|\Z)|<[a-zA-Z](?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>`]+)))?""")
 CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
@@ -77,25 +77,22 @@ def parse(markup: str) -> tuple[Node, list[str]]:
     root = Node("html")
     stack, sheets = [root], []
     modes = ["html"]  # of the elements on the stack: html, svg, text (of a drawing) or math
-    opened: Counter[str] = Counter()  # of the elements on the stack, so that deep pages aren't searched in vain
+    places: dict[str, list[int]] = defaultdict(list)  # on the stack, of the elements of each tag, so that no search walks it
 
     def pop_to(at: int) -> None:
-        for node in stack[at:]:
-            opened[node.tag] -= 1
+        for node in reversed(stack[at:]):
+            places[node.tag].pop()
         del stack[at:], modes[at:]
 
+    def last(tags: frozenset) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(tags: frozenset, stops: frozenset) -> None:
-        if not any(opened[t] for t in tags):
-            return None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                first = i
-                while first > 1 and stack[first - 1].tag in tags:
-                    first -= 1
-                return pop_to(first)
-            if stack[i].tag in stops:
-                return None
-        return None
+        first = last(tags)
+        if first > last(stops):
+            while first > 1 and stack[first - 1].tag in tags:
+                first -= 1
+            pop_to(first)
 
     def put(node: Node, is_open: bool) -> None:
         mode = modes[-1]
@@ -112,7 +109,7 @@ def parse(markup: str) -> tuple[Node, list[str]]:
         if is_open:
             stack.append(node)
             modes.append(mode)
-            opened[node.tag] += 1
+            places[node.tag].append(len(stack) - 1)
 
     def add_text(text: str) -> None:
         if text and modes[-1] != "svg":
@@ -138,24 +135,17 @@ def parse(markup: str) -> tuple[Node, list[str]]:
             if tag == "br":
                 put(Node("br"), False)
             elif tag not in ("body", "html"):
-                stops = frozenset() if tag == "table" else SCOPE - {tag}
-                for i in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
-                    if stack[i].tag == tag:
-                        pop_to(i)
-                        break
-                    if stack[i].tag in stops:
-                        break
-                else:
-                    if tag == "p":
-                        put(Node("p"), False)
+                at_last = last(frozenset((tag,)))
+                if at_last > (0 if tag == "table" else last(SCOPE - {tag})):
+                    pop_to(at_last)
+                elif tag == "p":
+                    put(Node("p"), False)
             continue
         attrs = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(token[named.end() :].rstrip(">"))} if len(token) > named.end() + 1 else {}
         if tag in ("html", "body", "head"):
             if tag == "body":
-                for node in stack[1:]:
-                    if node.tag == "head":
-                        pop_to(stack.index(node))
-                        break
+                if places["head"]:
+                    pop_to(places["head"][0])
             if tag == "head" and len(stack) == 1:
                 put(Node("head", attrs), True)
             else:
@@ -195,17 +185,23 @@ def parse(markup: str) -> tuple[Node, list[str]]:
     return root, sheets
 
 
-def declared(style: str) -> tuple[bool, bool | None]:
-    """(is not displayed, visibility or None) of a list of declarations."""
-    gone, seen = False, None
+#: What the two properties that hide text are in a list of declarations: property → (is it important, value). A value is
+#: whether the element isn't displayed, and whether it is visible, None as its parent is.
+Declared = dict[str, tuple[bool, bool | None]]
+VISIBILITY = {"hidden": False, "collapse": False, "visible": True, "initial": True, "inherit": None, "unset": None, "revert": None}
+
+
+def declared(style: str) -> Declared:
+    out: Declared = {}
     for part in style.split(";"):
         key, _, value = part.partition(":")
-        key, value = key.strip().lower(), value.strip().lower().removesuffix("!important").strip()
-        if key == "display":
-            gone = value == "none"
-        elif key == "visibility":
-            seen = {"hidden": False, "collapse": False, "visible": True}.get(value, seen)
-    return gone, seen
+        key, value = key.strip().lower(), value.strip().lower()
+        plain = re.sub(r"\s*!\s*important$", "", value)
+        if key == "display" and plain or key == "visibility" and plain in VISIBILITY:
+            important = plain != value
+            if important or not out.get(key, (False,))[0]:
+                out[key] = (important, plain == "none" if key == "display" else VISIBILITY[plain])
+    return out
 
 
 def screen_rules(sheet: str) -> list[tuple[str, str]]:
@@ -238,15 +234,27 @@ def screen_rules(sheet: str) -> list[tuple[str, str]]:
     return [(prelude, ";".join(body)) for prelude, body in out]
 
 
-def sheet_rules(sheets: list[str]) -> dict[str, tuple[bool, bool | None]]:
-    """Simple selectors (a tag, .class or #id) that hide or show."""
-    out: dict[str, tuple[bool, bool | None]] = {}
+#: Selector → property → (is it important, place among all rules, value) of the declaration that wins for it.
+Rules = dict[str, dict[str, tuple[bool, int, bool | None]]]
+
+
+def sheet_rules(sheets: list[str]) -> Rules:
+    """Simple selectors (a tag, .class or #id) that hide or show; each property is kept apart."""
+    out: Rules = {}
+    place = 0
     for sheet in sheets:
         for selectors, body in screen_rules(sheet):
-            if "display" in body or "visibility" in body:
-                for selector in selectors.split(","):
-                    if re.fullmatch(r"[.#]?[\w-]+", selector.strip()):
-                        out[selector.strip()] = declared(body)
+            found = declared(body) if "display" in body.lower() or "visibility" in body.lower() else {}
+            if not found:
+                continue
+            place += 1
+            for selector in selectors.split(","):
+                selector = selector.strip()
+                if re.fullmatch(r"[.#]?[\w-]+", selector):
+                    own = out.setdefault(selector if selector[0] in ".#" else selector.lower(), {})
+                    for key, (important, value) in found.items():
+                        if important or not own.get(key, (False,))[0]:
+                            own[key] = (important, place, value)
     return out
 
 
@@ -317,21 +325,20 @@ class Layout:
         return self.lines
 
 
-def visibility(node: Node, rules: dict, seen: bool) -> tuple[bool, bool]:
-    """(is displayed, is visible) of an element."""
+def visibility(node: Node, rules: Rules, seen: bool) -> tuple[bool, bool]:
+    """(is displayed, is visible) of an element. Of all declarations of a property, important ones win, then those of the
+    style attribute, of an id, of classes, of the tag, then the last."""
     if node.tag in UNSEEN or "hidden" in node.attrs or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden"):
         return False, seen
-    gone = False
-    if rules:
-        for key in (node.tag, *("." + c for c in node.attrs.get("class", "").split()), "#" + node.attrs.get("id", "")):
-            if key in rules:
-                gone, shown = rules[key]
-                seen = seen if shown is None else shown
-    if "style" in node.attrs:
-        off, shown = declared(node.attrs["style"])
-        gone = off or gone and "display" not in node.attrs["style"].lower()
-        seen = seen if shown is None else shown
-    return not gone, seen
+    best: dict[str, tuple] = {}
+    keys = [(0, node.tag), *((1, "." + c) for c in node.attrs.get("class", "").split()), (2, "#" + node.attrs.get("id", ""))] if rules else []
+    found = [(key, (important, weight, place), value) for weight, name in keys for key, (important, place, value) in rules.get(name, {}).items()]
+    found += [(key, (important, 3, 0), value) for key, (important, value) in declared(node.attrs["style"]).items()] if "style" in node.attrs else []
+    for key, rank, value in found:
+        if key not in best or rank >= best[key][0]:
+            best[key] = (rank, value)
+    shown = best["visibility"][1] if "visibility" in best else None
+    return not ("display" in best and best["display"][1]), seen if shown is None else shown
 
 
 def number(value: str | None, default: int) -> int:

@@ -1,6 +1,7 @@
 """Rendering of HTML against expected layouts, and edge cases."""
 
 import random
+import time
 
 import pytest
 
@@ -54,6 +55,56 @@ def test_stress(markup):
     assert "x" in text if markup.endswith("x") else text is not None
 
 
+@pytest.mark.parametrize(
+    "markup",
+    ["<a " * 80_000 + '"', "<a b='" * 80_000 + '"', "<p><button>" + "<b>" * 80_000 + "</p>" * 80_000, "<p><button>" + "<b>" * 80_000 + "<hr>" * 80_000, "<div>" * 60_000 + "<body>" * 60_000, "<head><div>" * 40_000, "<li><ul>" * 20_000 + "</li>" * 60_000],
+)
+def test_parsing_is_linear(markup):
+    began = time.process_time()
+    html_text.parse(markup)
+    assert time.process_time() - began < 4  # some tenths of a second; quadratic work takes minutes
+
+
+def plain_cascade(sheet, inline, tag, classes, ident):
+    """(isn't displayed, is visible) by comparing every declaration with every other."""
+    ranked = []
+    for place, (selector, body) in enumerate(sheet):
+        weight = 2 if selector[0] == "#" else 1 if selector[0] == "." else 0
+        if selector in (tag, f"#{ident}", *(f".{c}" for c in classes)):
+            ranked += [(important, weight, place, i, name, value) for i, (name, value, important) in enumerate(body)]
+    ranked += [(important, 3, 0, i, name, value) for i, (name, value, important) in enumerate(inline)]
+    out = {"display": "inline", "visibility": "visible"}
+    for *_, name, value in sorted(ranked):
+        out[name] = value
+    return out["display"] == "none", out["visibility"] == "visible"
+
+
+def test_cascade_equals_plain():
+    rng = random.Random(11)
+    declaration = lambda: rng.choice([("display", rng.choice(["none", "block"])), ("visibility", rng.choice(["hidden", "visible", "collapse"]))])
+    block = lambda: [(*declaration(), rng.random() < 0.25) for _ in range(rng.randrange(1, 4))]
+    text = lambda body: ";".join(f"{n}:{v}{' !important' if i else ''}" for n, v, i in body)
+    for _ in range(500):
+        sheet = [(rng.choice(["em", ".a", ".b", "#i"]), block()) for _ in range(rng.randrange(6))]
+        inline = block() if rng.random() < 0.5 else []
+        classes = rng.sample(["a", "b"], rng.randrange(3))
+        style = "".join(f"{selector}{{{text(body)}}}" for selector, body in sheet)
+        markup = f"<style>{style}</style>x<em class='{' '.join(classes)}' id=i{f' style={chr(34)}{text(inline)}{chr(34)}' if inline else ''}>y</em>"
+        gone, seen = plain_cascade(sheet, inline, "em", classes, "i")
+        assert visible_text(markup) == ("xy" if seen and not gone else "x"), markup
+
+
+@pytest.mark.parametrize(
+    ("sheet", "markup", "text"),
+    [
+        (".x{display:none}.x{visibility:visible}", "<p class=x>t", ""), ("em{display:none}.y{visibility:visible}", "<em class=y>t</em>", ""), (".a{display:none!important}", "<p class=a style='display:block'>t", ""),
+        ("P{display:none}", "<p>t", ""), (".h{visibility:hidden}.v{visibility:inherit}", "<div class=h>a<p class=v>b</p></div>", ""), (".a{display:none}.b{display:block}", "<p class='b a'>t", "t"),
+    ],
+)
+def test_properties_stay_apart(sheet, markup, text):
+    assert visible_text(f"<style>{sheet}</style>{markup}") == text
+
+
 def test_no_visible_word_is_lost(spark):
     import re
 
