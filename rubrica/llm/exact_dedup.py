@@ -75,24 +75,37 @@ def light_winners(slim: DataFrame, winners: DataFrame) -> DataFrame:
     return rest.groupBy("digest").agg(F.min("o").alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
 
 
-def settled(slim: DataFrame, broadcast_rows: int, **heavy) -> tuple[DataFrame, DataFrame]:
+class Winners:
     """Winners (digest, best, size) of the heavy digests, at most ``max_heavy`` and so broadcast, and of the light ones that
     repeat, broadcast up to ``broadcast_rows`` of them, as counted."""
-    winners = written(heavy_winners(slim, **heavy))
-    light = written(light_winners(slim, winners))
-    return F.broadcast(winners), F.broadcast(light) if light.count() <= broadcast_rows else light
+
+    def __init__(self, slim: DataFrame, broadcast_rows: int, **heavy):
+        self.heavy = written(heavy_winners(slim, **heavy))
+        self.light = written(light_winners(slim, self.heavy))
+        self.few = self.light.count() <= broadcast_rows
+
+    def joined(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (digest, any others) with ``win`` (best, size), null where the digest doesn't repeat.
+
+        Rows of heavy digests meet their winners where they are, before anything is shuffled, however many light digests
+        repeat; only the others are shuffled by digest, and only where the light winners are too many to be broadcast.
+        """
+        win = lambda side: F.broadcast(side.select("digest", F.struct("best", "size").alias("win")))
+        if self.few:
+            return rows.join(win(self.heavy.unionByName(self.light)), "digest", "left")
+        hot = rows.join(win(self.heavy), "digest")
+        rest = rows.join(F.broadcast(self.heavy.select("digest")), "digest", "left_anti")
+        return hot.unionByName(rest.join(self.light.select("digest", F.struct("best", "size").alias("win")), "digest", "left"))
 
 
 def mark_copies(df: DataFrame, text: str = "text", id_column: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, **heavy) -> DataFrame:
     """A row for each row of ``df``: the id, keep_id, group_size, kept, text_sha256."""
     slim = digests(df, text, id_column)
     slim = written(slim.withColumn("o", F.col("o").withField("r", F.monotonically_increasing_id())))  # repeated rows differ by r
-    marked = slim.select("digest", "o")
-    for name, side in zip(("h", "l"), settled(slim, broadcast_rows, **heavy), strict=True):
-        marked = marked.join(side.select("digest", F.struct("best", "size").alias(name)), "digest", "left")
-    best = F.coalesce("h.best", "l.best", "o")
+    marked = Winners(slim, broadcast_rows, **heavy).joined(slim.select("digest", "o"))
+    best = F.coalesce("win.best", "o")
     return marked.select(
-        F.col("o.i").alias(id_column), best.getField("i").alias("keep_id"), F.coalesce("h.size", "l.size", F.lit(1).cast("long")).alias("group_size"),
+        F.col("o.i").alias(id_column), best.getField("i").alias("keep_id"), F.coalesce("win.size", F.lit(1).cast("long")).alias("group_size"),
         (F.col("o") == best).alias("kept"), F.col("digest").alias("text_sha256"),
     )
 
@@ -100,21 +113,19 @@ def mark_copies(df: DataFrame, text: str = "text", id_column: str = "doc_id", br
 def drop_copies(df: DataFrame, text: str = "text", id_column: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, **heavy) -> DataFrame:
     """``df`` with one row of each group of equal texts, all columns as they were.
 
-    What stays is settled on digests; whole rows are only shuffled where the repeated digests are too many to broadcast, and
-    where the best rows of a group tie in length and id.
+    What stays is settled on digests; whole rows are only shuffled where the repeated light digests are too many to
+    broadcast, heavy rows not among them, and where the best rows of a group tie in length and id.
     """
     slim = written(digests(df, text, id_column))
-    heavy_, light = settled(slim, broadcast_rows, **heavy)
+    winners = Winners(slim, broadcast_rows, **heavy)
     order = order_of(F.col(id_column), F.char_length(F.coalesce(F.col(text), F.lit(""))))
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")  # so that no column of df can clash with ours
     keyed = df.select(F.sha2(normal_text(F.col(text)), 256).alias("digest"), order.alias("o"), row)
 
     def best_rows(rows: DataFrame) -> DataFrame:
-        for name, side in (("h", heavy_), ("l", light)):
-            rows = rows.join(side.select("digest", F.col("best").alias(name)), "digest", "left")
-        return rows.where(F.col("o") == F.coalesce("h", "l", "o"))
+        return winners.joined(rows).where(F.col("o") == F.coalesce("win.best", "o"))
 
-    tied = written(best_rows(slim.select("digest", "o")).where(F.coalesce("h", "l").isNotNull()).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    tied = written(best_rows(slim.select("digest", "o")).where(F.col("win").isNotNull()).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
     left = best_rows(keyed)
     if not tied.isEmpty():
         of_tied = left.join(tied, "digest", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("digest").orderBy("o")))

@@ -83,6 +83,25 @@ def test_exact_dedup_light_groups(spark, broadcast_rows):
     assert sorted(re.sub(r"\s", "", r.text) for r in left) == sorted(want)
 
 
+def test_heavy_rows_are_not_shuffled(spark):
+    """Beyond the broadcast bound too, rows of heavy digests meet their winners before any shuffle."""
+    rows = [(i, "hot text" if i % 5 < 2 else f"pair {i // 10}" if i % 5 < 4 else f"own {i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    slim = exact_dedup.written(exact_dedup.digests(df, "text", "doc_id"))
+    winners = exact_dedup.Winners(slim, 0, share=0.1)
+    assert winners.heavy.count() == 1 and not winners.few
+    joined = winners.joined(slim)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    branches = plan.split("Union", 1)[1]
+    first, second = branches.split("LeftOuter", 1)
+    assert "LeftAnti" in second and "LeftAnti" not in first and "Join Inner" in first  # heavy rows apart, the rest without them
+    want = brute_exact([(r.doc_id, r.text) for r in df.collect()])
+    for bound in (0, 50_000):
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.mark_copies(df, broadcast_rows=bound, share=0.1).collect()}
+        assert got == {i: want["".join(t.split())] for i, t in rows}
+        assert exact_dedup.drop_copies(df, broadcast_rows=bound, share=0.1).count() == len(want)
+
+
 def test_exact_dedup_empty(none):
     assert exact_dedup.mark_copies(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
 
