@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-#: Rows of a leaf at most, pivots that a cell is split by at most, and slices of rows that meet a block at once.
-BLOCK_ROWS, FAN, SLICE = 4096, 64, 1024
+#: Rows of a leaf at most, pivots that a cell is split by at most, and pairs of a block and a slice that a task holds at once.
+BLOCK_ROWS, FAN, PAIRS = 16_384, 64, 4 << 20
 #: Slack of the triangle inequality for rounding.
 SLACK = 1e-7
 
@@ -47,7 +47,7 @@ def met_by(held: DataFrame, asked: DataFrame, by: list[str], schema: str, fn: Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        group, kept, block, waiting, count = None, [], None, [], 0
+        group, kept, block, waiting, count, held_rows = None, [], None, [], 0, 0
 
         def out():
             nonlocal block
@@ -66,17 +66,19 @@ def met_by(held: DataFrame, asked: DataFrame, by: list[str], schema: str, fn: Ca
                 if own != group:
                     if (done := out()) is not None:
                         yield done
-                    group, kept, block, waiting, count = own, [], None, [], 0
+                    group, kept, block, waiting, count, held_rows = own, [], None, [], 0, 0
                 part = batch.slice(start, stop - start)
                 if not role:
                     kept.append(part)
+                    held_rows += part.num_rows
                     continue
+                most = min(8192, max(64, PAIRS // max(1, held_rows)))
                 while part.num_rows:
-                    take = part.slice(0, SLICE - count)
+                    take = part.slice(0, most - count)
                     waiting.append(take)
                     count += take.num_rows
                     part = part.slice(take.num_rows)
-                    if count == SLICE:
+                    if count == most:
                         if (done := out()) is not None:
                             yield done
                         waiting, count = [], 0
@@ -140,7 +142,7 @@ class PivotTree:
     def _down(self, rows: DataFrame, fn: Callable) -> DataFrame:
         """key, leaf: ``rows`` (key, v, weight, any others; unique keys) led from level to level by ``fn``, which says which cells
         of a level a row goes on to. Only keys are kept from level to level, not the vectors, of which there are many copies."""
-        left, settled = rows.select("key", F.lit("").alias("leaf")), None
+        left, settled = cut(rows.select("key", F.lit("").alias("leaf"))), None  # cut, as a join by a constant becomes one without keys
         for level in self.levels:
             cells = level.select(F.col("cell").alias("leaf")).distinct()
             done = left.join(cells, "leaf", "left_anti")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.text import jaccard, normalize_text, shingle_hashes, shingles
-from .lineage import cut
+from .lineage import cut, small_batches
 
 #: Shingle rows of a side (16 bytes each, some 100 with the join's own) up to which it is broadcast, as counted.
 BROADCAST_ROWS = 1_000_000
@@ -44,6 +44,7 @@ def exact_dedup(df: DataFrame, text: str, order: list[str]) -> DataFrame:
 
 def shingle_sets(df: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
     """key, n (size), s (shingle hashes) of each text."""
+    small_batches(df.sparkSession)
     sets = df.select(F.col(key).alias("key"), shingle_hashes(F.col(text), k).alias("s"))
     return sets.select("key", F.size("s").alias("n"), "s")
 

@@ -33,6 +33,13 @@ def _in_order(df: DataFrame, order: list[str | Column]) -> DataFrame:
     return cut(sorted_.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}))
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most ``rows`` rows for the session, so that long texts can't fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """``df`` with its rows' places from 0 by ``order``: a range-partitioned sort, and offsets of a row a partition."""
     placed = _in_order(df, order)

@@ -307,7 +307,11 @@ def spanning_forest(edges: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     return cut(last if taken is None else taken.unionByName(last))
 
 
-def reach_forests(rows: DataFrame, eps: float, samples: list[int], block_rows: int = BLOCK_ROWS, few: int = FEW_LINKS) -> tuple[DataFrame, dict[int, DataFrame]]:
+#: Rows of a block in which a spanning forest is grown, edge by edge.
+FOREST_ROWS = 4096
+
+
+def reach_forests(rows: DataFrame, eps: float, samples: list[int], block_rows: int = FOREST_ROWS, few: int = FEW_LINKS) -> tuple[DataFrame, dict[int, DataFrame]]:
     """(key, core: the core distance for each of ``samples``, null beyond ``eps``; for each of them a minimum spanning forest
     a, b, w of the graph of mutual reachability distances up to ``eps``) of ``rows`` (key, v, weight).
 
@@ -354,7 +358,7 @@ def reach_forests(rows: DataFrame, eps: float, samples: list[int], block_rows: i
     return core, {m: spanning_forest(edges.where(F.col("m") == m).select("a", "b", "w"), few) for m in samples}
 
 
-def cluster_cuts(points: DataFrame, key: str, vector: str, grid: list[tuple[float, int, int]], block_rows: int = BLOCK_ROWS, few: int = FEW_LINKS) -> DataFrame:
+def cluster_cuts(points: DataFrame, key: str, vector: str, grid: list[tuple[float, int, int]], block_rows: int = FOREST_ROWS, few: int = FEW_LINKS) -> DataFrame:
     """setting (place in ``grid``), key, cluster: for each (eps, min_samples, min_size), what ``density_cluster`` gives.
 
     The forests of the largest eps are built once (``reach_forests``); each setting cuts them at its own eps. Components of
