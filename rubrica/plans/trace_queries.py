@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quiz, traces
 from ..sources import files
-from ..streaming import jobs
+from ..streaming import appends, jobs
 from .proxies import G, graded, grades
 from .registry import query, scratch, table
 
@@ -356,6 +356,6 @@ def ss4(spark, sf_dir):
 def ss5(spark, sf_dir):
     path, keys = scratch(spark), ["run", "budget", "rollout", "qid"]
     g = graded(event_stream(spark, sf_dir)).select(*keys)
-    for turn in range(2):  # the second run replays all rows and adds none
-        g.writeStream.foreachBatch(jobs.append_unseen(f"{path}/rows", keys)).option("checkpointLocation", f"{path}/state{turn}").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/rows").select(*keys)
+    for turn in range(2):  # the second stream brings all rows again and adds none
+        g.writeStream.foreachBatch(appends.append_unseen(f"{path}/rows", keys, f"turn{turn}")).option("checkpointLocation", f"{path}/state{turn}").trigger(availableNow=True).start().awaitTermination()
+    return appends.read_appended(spark, f"{path}/rows").select(*keys)

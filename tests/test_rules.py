@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from rubrica.functions import text
 from rubrica.operators import cells, codesearch, curate, dedup, foldback, grading, lineage, stats, traces, vectors
 from rubrica.operators.lineage import cut
-from rubrica.streaming import jobs
 
 from .test_operators import one
 
@@ -324,14 +323,6 @@ def test_surface_is_rows(spark):
     assert [tuple(r) for r in codesearch.corpus_surface(files).collect()] == [("", "z"), ("a", "x"), ("a", "y")]
 
 
-def test_unseen_rows_by_bucket(spark, tmp_path):
-    sink = jobs.append_unseen(str(tmp_path / "t"), ["k"], 8)
-    for batch in ([(1, "a"), (1, "b"), (2, "c")], [(2, "d"), (3, "e")], []):
-        sink(spark.createDataFrame(batch, "k int, v string"), 0)
-    got = spark.read.parquet(str(tmp_path / "t"))
-    assert sorted(r.k for r in got.collect()) == [1, 2, 3] and "bucket" in got.columns
-
-
 def test_no_local_folder_on_a_cluster():
     class Conf:
         def get(self, *_):

@@ -2,9 +2,10 @@
 
 import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from rubrica.streaming import jobs
+from rubrica.streaming import appends, jobs
 
 DAY = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 
@@ -51,3 +52,47 @@ def test_notebooks_end(spark, tmp_path):
     feed([(3, 1, "add_section", None, "V", "new", at(50))])
     got = go()
     assert (1, ["text\nmore", "next"], 3, 0, True) in got and (3, ["new"], 2, 0, False) in got
+
+
+def test_unseen_rows_and_replays(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sink = appends.append_unseen(path, ["k", "j"])
+    frame = lambda rows: spark.createDataFrame(rows, "k int, j string, v string").coalesce(1)
+    for i, batch in enumerate([[(1, "x", "a"), (1, "x", "b"), (2, None, "c")], [(2, None, "d"), (3, "y", "e")], []]):
+        sink(frame(batch), i)
+    kept = lambda: sorted((r.k, r.j or "") for r in appends.read_appended(spark, path).collect())
+    assert kept() == [(1, "x"), (2, ""), (3, "y")]
+    sink(frame([(9, "z", "f")]), 1)  # a batch that is known by its id
+    assert kept() == [(1, "x"), (2, ""), (3, "y")]
+    appends.append_unseen(path, ["k", "j"], "other")(frame([(3, "y", "g"), (4, "z", "h")]), 0)
+    assert kept() == [(1, "x"), (2, ""), (3, "y"), (4, "z")]
+
+
+def test_an_ended_batch_is_written_anew(spark, tmp_path):
+    """Rows without a manifest row aren't read, and the batch replaces them."""
+    path = str(tmp_path / "t")
+    frame = spark.createDataFrame([(1, "a")], "k int, v string")
+    appends.append_unseen(path, ["k"])(frame, 0)
+    spark.createDataFrame([(7, "lost")], "k int, v string").write.parquet(f"{path}/rows/stream=main/batch=1")
+    assert [r.k for r in appends.read_appended(spark, path).collect()] == [1]
+    appends.append_unseen(path, ["k"])(spark.createDataFrame([(8, "b")], "k int, v string"), 1)
+    assert sorted(r.k for r in appends.read_appended(spark, path).collect()) == [1, 8]
+
+
+def test_a_batch_reads_files_that_may_hold_its_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for i in range(6):
+        appends.append_unseen(path, ["k"])(spark.range(i * 100, i * 100 + 100).withColumnRenamed("id", "k").coalesce(1), i)
+    known = appends.manifest(spark, path)
+    ask = lambda *keys: appends.open_files(known, spark.createDataFrame([(k,) for k in keys], "k long").select(F.xxhash64("k").alias("h")))
+    assert known.where("file IS NOT NULL").count() == 6
+    assert len(ask(250)) == 1 and "batch=2" in ask(250)[0] and len(ask(5, 599)) == 2 and ask() == [] and len(ask(10**6)) <= 1
+
+
+def test_filters_forget_nothing():
+    rng = np.random.default_rng(1)
+    hashes, others = (rng.integers(-(1 << 63), 1 << 63, 5000, dtype=np.int64) for _ in range(2))
+    filter_ = appends.bloom(hashes)
+    assert all(appends.may_hold(filter_, hashes[i : i + 1]) for i in range(5000))
+    assert sum(appends.may_hold(filter_, others[i : i + 1]) for i in range(5000)) < 150
+    assert not appends.may_hold(appends.bloom(hashes[:0]), others)
