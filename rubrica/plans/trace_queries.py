@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quiz, traces
-from ..sources import files
+from ..sources import episodes, files
 from ..streaming import appends, jobs
 from .proxies import G, graded, grades
-from .registry import query, scratch, table
+from .registry import ORACLES, query, scratch, table
 
 #: Commands made from conversations: some leave the corpus.
 COMMAND_SQL = (
@@ -256,11 +256,20 @@ def io3(spark, sf_dir):
 def io4(spark, sf_dir):
     path = scratch(spark)
     d = table(spark, sf_dir, "documents")
-    files.write_episode_tree(d.select(F.col("source").alias("budget"), (F.col("doc_id") % 3).alias("rollout"), F.col("doc_id").alias("qid"), "n_chars"), path)
+    episodes.write_episode_tree(d.select(F.col("source").alias("budget"), (F.col("doc_id") % 3).alias("rollout"), F.col("doc_id").alias("qid"), "n_chars"), path)
     tree = files.read_episode_tree(spark, path, "n_chars bigint")
     return tree.groupBy("budget", "rollout").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("gen_tokens"))
 
 
+@query("io4_compact_tree", ORACLES["io4_episode_tree"])
+def io4_compact(spark, sf_dir):
+    path = scratch(spark)
+    d = table(spark, sf_dir, "documents")
+    episodes.write_episode_tree(d.select(F.col("source").alias("budget"), (F.col("doc_id") % 3).alias("rollout"), F.col("doc_id").alias("qid"), "n_chars"), path)
+    tree = episodes.compact_episode_tree(spark, path, "n_chars bigint", scratch(spark))
+    return tree.groupBy("budget", "rollout").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("gen_tokens"))
+
+
 @query("io5_read_events", "SELECT CAST(count(*) AS BIGINT) AS events, CAST(sum(length(text)) AS BIGINT) AS tokens FROM conversations WHERE turn <> 1")
 def io5(spark, sf_dir):
     path = scratch(spark)

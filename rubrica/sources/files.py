@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,34 +57,9 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BUNDLE).json(path, mode="FAILFAST")
 
 
-def write_episode_tree(df: DataFrame, root: str) -> None:
-    """One file ``{budget}/r{rollout}/{qid}.json`` under ``root`` for each row of ``df`` (budget, rollout, qid and further fields).
-
-    Tasks write the files; the driver only moves each to its name, in Spark's file system. Budgets and qids must be file names
-    as they stand, and the three together unique.
-    """
-    parts = f"{root.rstrip('/')}-parts"
-    df.repartition("budget", "rollout", "qid").write.partitionBy("budget", "rollout", "qid").json(parts)
-    jvm = df.sparkSession._jvm
-    new = jvm.org.apache.hadoop.fs.Path
-    fs = new(parts).getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
-    found, made = fs.listFiles(new(parts), True), set()
-    while found.hasNext():
-        path = found.next().getPath()
-        named = re.search(r"/budget=([^/]+)/rollout=([^/]+)/qid=([^/]+)/part-[^/]+$", path.toString())
-        if named:
-            folder, target = f"{root.rstrip('/')}/{named[1]}/r{named[2]}", f"{named[3]}.json"
-            if folder not in made:
-                fs.mkdirs(new(folder))
-                made.add(folder)
-            if not fs.rename(path, new(f"{folder}/{target}")):
-                raise ContractError(f"{folder}/{target} stands twice or can't be written")
-    fs.delete(new(parts), True)
-
-
 def read_episode_tree(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Rows of ``{budget}/r{rollout}/{qid}.json`` under ``root``, with budget, rollout and qid taken from the path."""
-    rows = spark.read.schema(schema).json(root, multiLine=True, recursiveFileLookup=True).withColumn("__path", F.col("_metadata.file_path"))
+    rows = spark.read.schema(schema).json(root, multiLine=True, recursiveFileLookup=True).withColumn("__path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
     part = lambda i: F.regexp_extract("__path", TREE, i)
     return rows.where(F.col("__path").rlike(TREE)).withColumns({"budget": part(1), "rollout": part(2).cast("int"), "qid": part(3)}).drop("__path")
 
