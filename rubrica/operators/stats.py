@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut, numbered
@@ -15,6 +19,14 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def draws(seed: int, parts: list[tuple]):
+    """``draw`` of each tuple, as an array; nulls are left out, as ``concat_ws`` leaves them out."""
+    import numpy as np
+
+    md5 = hashlib.md5
+    return np.array([int(md5("|".join([str(seed), *(str(x) for x in p if x is not None)]).encode()).hexdigest()[:8], 16) for p in parts], np.int64)
+
+
 class PopulationError(ValueError):
     """Two arms that don't have the same episodes."""
 
@@ -59,17 +71,57 @@ def deltas_of(area: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return area.groupBy(*by).agg((pick(b) - pick(a)).alias("delta"))
 
 
+#: Questions of a block, whose draws in all replicates are a matrix that meets their sums in one task; replicates of a task.
+BLOCK, REPS_A_TASK = 4096, 64
+
+
+def drawn_counts(spark: SparkSession, reps: int, count: int, seed: int) -> DataFrame:
+    """rep, block, times: how often each replicate draws each place of ``count``, an array for each block of places.
+
+    A replicate is drawn whole in one task, as a vector of ``count`` small integers; no row is made for a draw.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for rep in batch.column("id").to_pylist():
+                times = np.bincount(draws(seed, [(rep, i) for i in range(count)]) % count, minlength=count).astype(np.int32)
+                starts = range(0, count, BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([rep] * len(starts), pa.int64()), pa.array([s // BLOCK for s in starts], pa.int64()), pa.array([times[s : s + BLOCK] for s in starts], pa.list_(pa.int32()))], ["rep", "block", "times"])
+
+    return spark.range(0, reps, 1, max(1, -(-reps // REPS_A_TASK))).mapInArrow(run, "rep long, block long, times array<int>")
+
+
 def bootstrap_deltas(sums: DataFrame, questions: DataFrame, a: str, b: str, reps: int, seed: int, n: int | None = 4) -> DataFrame:
     """rep, delta: each rep draws as many questions as there are, with replacement, and recomputes both arms' areas.
 
-    ``questions`` (qid, place) numbers them from 0. Rows made: reps × questions, then reps × drawn questions × budgets.
+    ``questions`` (qid, place) numbers them from 0. Draws are vectors of counts (``drawn_counts``); for each block of
+    questions and run and budget, the matrix of all replicates' counts is multiplied with the questions' sums, so that what
+    is shuffled afterwards is a row for each replicate, block, run and budget.
     """
+    import pandas as pd
+
     count = questions.count()
     spark = sums.sparkSession
-    draws = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(count - 1, 0)))).alias("i"))
-    times = draws.withColumn("place", F.pmod(draw(seed, F.col("rep"), F.col("i")), F.lit(count))).groupBy("rep", "place").agg(F.count(F.lit(1)).alias("times"))
-    drawn = times.join(questions, "place").join(sums, "qid")
-    return deltas_of(areas(drawn, ["rep"], n), ["rep"], a, b)
+    counts = drawn_counts(spark, reps, count, seed)
+    placed = sums.join(questions, "qid").select((F.col("place") / BLOCK).cast("long").alias("block"), (F.col("place") % BLOCK).cast("int").alias("at"), "run", "budget", *(F.col(c).cast("double").alias(c) for c in "stn"))
+
+    def products(drawn: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        out = []
+        if len(drawn) and len(held):
+            times = np.stack(drawn["times"].to_numpy())
+            for (run, budget), own in held.groupby(["run", "budget"], dropna=False, sort=False):
+                made = times[:, own["at"].to_numpy()] @ own[["s", "t", "n"]].to_numpy()
+                out.append(pd.DataFrame({"rep": drawn["rep"], "run": run, "budget": budget, "s": made[:, 0], "t": made[:, 1], "n": made[:, 2]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["rep", "run", "budget", "s", "t", "n"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in sums.schema}
+    schema = f"rep long, run {kinds['run']}, budget {kinds['budget']}, s double, t double, n double"
+    drawn = counts.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(products, schema).where("n > 0")
+    return deltas_of(areas(drawn.withColumn("times", F.lit(1)), ["rep"], n), ["rep"], a, b)
 
 
 def bootstrap_interval(deltas: DataFrame, reps: int, bounds: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
@@ -109,12 +161,27 @@ def sign_test(wins: Column, losses: Column) -> Column:
 def permutation_test(pairs: DataFrame, reps: int, seed: int) -> DataFrame:
     """mean_delta, p_value: the share of sign flips whose mean is as far from 0, the observed one counted too.
 
-    Each rep needs one sum; rows made are reps × questions, pre-aggregated map-side.
+    A pair's signs in all replicates are a vector; a task multiplies the matrix of its pairs' signs with their deltas and
+    gives one sum a replicate, so that reps × tasks rows are shuffled, not reps × pairs. Null deltas count in no mean.
     """
     observed = pairs.agg(F.avg("delta").alias("observed"), F.count(F.lit(1)).alias("n"))
-    flips = pairs.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    sign = F.when(F.pmod(draw(seed, F.col("rep"), F.col("budget"), F.col("qid")), F.lit(2)) == 0, F.col("delta")).otherwise(-F.col("delta"))
-    means = flips.groupBy("rep").agg(F.avg(sign).alias("flipped")).join(F.broadcast(observed), how="cross")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        total, many = np.zeros(reps), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                keys, delta = [(b, q) for b, q in zip(part.column("budget").to_pylist(), part.column("qid").to_pylist(), strict=True)], part.column("delta").to_numpy(zero_copy_only=False)
+                signs = np.stack([1 - 2 * (draws(seed, [(rep, *k) for k in keys]) % 2) for rep in range(reps)]) if keys else np.zeros((reps, 0))
+                total += signs @ delta
+                many += len(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(range(reps), pa.int64()), pa.array(total), pa.array([many] * reps, pa.int64())], ["rep", "sum", "many"])
+
+    asked = pairs.where(F.col("delta").isNotNull()).select(F.col("budget").cast("string").alias("budget"), F.col("qid").cast("string").alias("qid"), F.col("delta").cast("double").alias("delta"))
+    flips = asked.mapInArrow(run, "rep long, sum double, many long").groupBy("rep").agg(F.sum("sum").alias("sum"), F.sum("many").alias("many"))
+    means = flips.select(F.when(F.col("many") > 0, F.col("sum") / F.col("many")).alias("flipped")).join(F.broadcast(observed), how="cross")
     return means.agg(F.first("observed").alias("mean_delta"), ((F.count_if(F.abs("flipped") >= F.abs("observed") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 

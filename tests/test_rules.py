@@ -544,3 +544,32 @@ def test_ranks_within_a_hot_key(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+# replicates as vectors
+
+
+def test_replicates_equal_single_draws(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK", 4)
+    rng = np.random.default_rng(20)
+    sums = [(run, b, q, float(rng.integers(0, 9)), float(rng.integers(1, 99)), int(rng.integers(1, 4))) for run in "ab" for b in (1, 2, 5) for q in range(11) if rng.random() < 0.9]
+    df = spark.createDataFrame(sums, "run string, budget int, qid int, s double, t double, n long")
+    places = stats.number_questions(df)
+    got = {r.rep: r.delta for r in stats.bootstrap_deltas(df, places, "a", "b", 70, 3, None).collect()}
+    assert sorted(got) == list(range(70))
+    count = places.count()
+    for rep in (0, 13, 69):
+        times = spark.createDataFrame([(int(stats.draws(3, [(rep, i)])[0]) % count,) for i in range(count)], "place long").groupBy("place").agg(F.count(F.lit(1)).alias("times"))
+        area = stats.areas(times.join(places, "place").join(df, "qid").withColumn("rep", F.lit(rep)), ["rep"], None)
+        assert abs(stats.deltas_of(area, ["rep"], "a", "b").first().delta - got[rep]) < 1e-9
+    seeds = spark.createDataFrame([(1, "x", None), (2, None, "é")], "a int, b string, c string")
+    assert [r[0] for r in seeds.select(stats.draw(9, F.col("a"), F.col("b"), F.col("c"))).collect()] == stats.draws(9, [(1, "x", None), (2, None, "é")]).tolist()
+
+
+def test_sign_flips_equal_plain_loop(spark):
+    deltas = [(1, "q1", 0.5), (1, "q2", -0.25), (2, "q1", 1.0), (2, "q3", None), (None, "q4", 0.75)]
+    got = stats.permutation_test(spark.createDataFrame(deltas, "budget int, qid string, delta double").repartition(2), 50, 7).first()
+    real = [d for d in deltas if d[2] is not None]
+    mean = sum(d[2] for d in real) / 4
+    flipped = [sum(d * (1 if stats.draws(7, [(rep, b, q)])[0] % 2 == 0 else -1) for b, q, d in real) / 4 for rep in range(50)]
+    assert got.mean_delta == mean and abs(got.p_value - (sum(abs(f) >= abs(mean) - 1e-12 for f in flipped) + 1) / 51) < 1e-12
