@@ -231,7 +231,8 @@ def syntax_ok(programs):
 
 def numbered_line(number: Column, line: Column) -> Column:
     """``0001: line``: at least four digits, more where the number has them."""
-    return F.format_string("%04d: %s", number, line)
+    digits = number.cast("string")
+    return F.concat(F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0")), F.lit(": "), line)
 
 
 def number_lines(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import ranked
+
 NOTE_CEILING = 150_000
 MOST_EXCERPT_LINES, MOST_EXCERPTS, MOST_CARDS = 40, 25, 40
 
@@ -73,10 +75,15 @@ def prune_paths(entries: DataFrame, files: DataFrame, key: str = "id", paths: st
     return entries.join(good, key).withColumn(paths, F.col("__good")).drop("__good")
 
 
-def verify_groups(entries: DataFrame, paths: str = "grounding_paths", key: str = "id") -> DataFrame:
-    """group, ids: entries that share the set of their first three paths."""
+def verify_groups(entries: DataFrame, paths: str = "grounding_paths", key: str = "id", most: int = 1000) -> DataFrame:
+    """group, part, ids: entries that share the set of their first three paths, in parts of ``most`` ids, in order.
+
+    Entries without paths are the group of the empty set; ids are ranked by ranges, so no group lies in one task.
+    """
     group = F.array_join(F.array_sort(F.array_distinct(F.slice(paths, 1, 3))), "|")
-    return entries.groupBy(group.alias("group")).agg(F.sort_array(F.collect_list(key)).alias("ids"))
+    placed = ranked(entries.select(group.alias("group"), key), "group", [F.col(key)], "place")
+    part = F.floor((F.col("place") - 1) / most).cast("int").alias("part")
+    return placed.groupBy("group", part).agg(F.sort_array(F.collect_list(key)).alias("ids"))
 
 
 def apply_verdicts(entries: DataFrame, verdicts: DataFrame, key: str = "id") -> DataFrame:

@@ -383,7 +383,8 @@ def fb7(spark, sf_dir):
 )
 def fb8(spark, sf_dir):
     e = grounded(spark, sf_dir).withColumn("grounding_paths", F.transform("grounding_paths", lambda p: F.split_part(p, F.lit("/"), F.lit(1))))
-    return foldback.verify_groups(e).select("group", F.size("ids").alias("n"), F.array_min("ids").alias("first"))
+    parts = foldback.verify_groups(e).groupBy("group").agg(F.sum(F.size("ids")).cast("int").alias("n"), F.min(F.array_min("ids")).alias("first"))
+    return parts.select("group", "n", "first")
 
 
 @query("fb9_apply_verdicts", f"WITH {ENTRIES}, v AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'contradicted' WHEN id % 5 = 0 THEN 'unverified' ELSE 'verified' END AS v FROM en WHERE id % 9 <> 0) SELECT coalesce(v, 'unverified') AS verdict, coalesce(v = 'verified', false) AS kept, CAST(count(*) AS BIGINT) AS n FROM en LEFT JOIN v USING (id) GROUP BY 1, 2")

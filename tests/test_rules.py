@@ -573,3 +573,12 @@ def test_sign_flips_equal_plain_loop(spark):
     mean = sum(d[2] for d in real) / 4
     flipped = [sum(d * (1 if stats.draws(7, [(rep, b, q)])[0] % 2 == 0 else -1) for b, q, d in real) / 4 for rep in range(50)]
     assert got.mean_delta == mean and abs(got.p_value - (sum(abs(f) >= abs(mean) - 1e-12 for f in flipped) + 1) / 51) < 1e-12
+
+
+def test_large_groups_come_in_parts(spark):
+    entries = spark.createDataFrame([(i, ["a", "b"][: i % 3]) for i in range(30)], "id int, grounding_paths array<string>")
+    got = {(r.group, r.part): r.ids for r in foldback.verify_groups(entries, most=4).collect()}
+    for k, name in enumerate(["", "a", "a|b"]):
+        own = [i for i in range(30) if i % 3 == k]
+        assert [got.pop((name, p)) for p in range(3)] == [own[:4], own[4:8], own[8:]]
+    assert not got
