@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,14 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Scratch folders that this process has made, in order.
-_MADE: list[str] = []
+class _Made(threading.local):
+    """Scratch folders that a thread has made, in order, so that queries in other threads keep theirs."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+
+_MADE = _Made()
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared ``spark.checkpoint.dir``."""
-    _MADE.append(f"{shared_dir(spark)}/rubrica-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    _MADE.folders.append(f"{shared_dir(spark)}/rubrica-{uuid.uuid4().hex}")
+    return _MADE.folders[-1]
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -58,8 +65,8 @@ class Scratch:
 
 
 def mark() -> int:
-    """A point to which ``clear`` goes back."""
-    return len(_MADE)
+    """A point to which ``clear`` goes back, in this thread."""
+    return len(_MADE.folders)
 
 
 def clear(spark: SparkSession, since: int, keep: tuple[DataFrame, ...] = ()) -> None:
@@ -70,11 +77,11 @@ def clear(spark: SparkSession, since: int, keep: tuple[DataFrame, ...] = ()) ->
     jvm = spark.sparkContext._jvm
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     held = {name for df in keep for f in df.inputFiles() for name in [part for part in f.split("/") if part.startswith("rubrica-")]}
-    for folder in _MADE[since:]:
+    for folder in _MADE.folders[since:]:
         if folder.rsplit("/", 1)[1] not in held:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-            _MADE.remove(folder)
+            _MADE.folders.remove(folder)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -383,26 +383,33 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
         more = written(confirmed(candidates, texts, k, percent))
         links = links.unionByName(more)
         components = contracted(links)
-    by_class = reps.select("cls", "node").join(components, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
-    by_class = written(by_class)
-    clear(df.sparkSession, start, (docs, by_class))
-    return (
-        docs.select("id", "n_shingles", "cls").join(by_class, "cls", "left")
-        .select(
-            F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "id").alias("component_id"),
-            F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"),
-        )
-    )
+    by_class = written(reps.select("cls", "node").join(components, "node", "left").select("cls", F.coalesce("component", "node").alias("component")))
+    slim = written(docs.select("id", "n_shingles", "cls"))
+    clear(df.sparkSession, start, (slim, by_class))
+    alone = slim.where("cls IS NULL").withColumn("component", F.lit(None).cast(slim.schema["id"].dataType))  # linked with nothing, and no key of a join
+    classed = slim.where("cls IS NOT NULL").join(by_class, "cls", "left").select(*alone.columns)
+    component = F.coalesce("component", "id")
+    return classed.unionByName(alone).select(
+        F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")
+    )
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
-    """``df`` without the rows that a smaller id of their component stands for. Of rows that share an id, one stays."""
+    """``df`` without the rows that a smaller id of their component stands for. Of rows that share an id, the longest stays.
+
+    Ids that repeat are found on ids alone; only their rows meet by id.
+    """
     marked = near_duplicates(df, text, id_column, k, percent)
     lost = written(marked.where("NOT kept").select(F.col(id_column).alias("id")).distinct())
+    ids = df.select(F.col(id_column).alias("id")).where("id IS NOT NULL")
+    repeated = written(ids.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"))
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")  # so that no column of df can clash with ours
     left = df.select(F.col(id_column).alias("id"), F.char_length(text).alias("n"), row).join(lost, "id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("id", F.when(F.col("id").isNull(), F.monotonically_increasing_id())).orderBy(F.desc("n")))
-    return left.withColumn("place", first).where("place = 1").select("row.*")
+    if not repeated.isEmpty():
+        first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n")))
+        of_repeated = left.join(repeated, "id", "left_semi").withColumn("place", first).where("place = 1").drop("place")
+        left = left.join(repeated, "id", "left_anti").unionByName(of_repeated)
+    return left.select("row.*")
 
 
 def op2_near_dedup(spark, sf_dir) -> DataFrame:

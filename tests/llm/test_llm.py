@@ -176,6 +176,29 @@ def test_near_dedup_bucket_with_outsiders(spark):
     assert {(a, b) for a in nodes for b in nodes if nodes[a] != nodes[b] and nodes[a] != 0} <= met
 
 
+def test_near_dedup_twice_at_once(spark):
+    """Two calls in two threads keep their scratch tables apart."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    rng = np.random.default_rng(9)
+    tables = []
+    for _ in range(2):
+        texts = [" ".join(rng.choice(200, 40).astype(str)) for _ in range(30)]
+        texts += [t + " more" for t in texts[:10]]
+        tables.append(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    alone = [sorted(map(tuple, near_dedup.near_duplicates(t).collect())) for t in tables]
+    with ThreadPoolExecutor(2) as pool:
+        both = list(pool.map(lambda t: sorted(map(tuple, near_dedup.near_duplicates(t).collect())), tables))
+    assert both == alone and all(sum(not r[3] for r in rows) == 10 for rows in alone)
+
+
+def test_rows_of_repeated_ids_alone_meet(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f g h"), (2, "x y"), (None, "q"), (None, "q"), (3, None)], "doc_id long, text string")
+    left = near_dedup.drop_near_duplicates(df)
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "q"), (0, "q"), (1, "a b c d e f g h"), (2, "x y"), (3, "")]
+    assert "Window" not in near_dedup.drop_near_duplicates(df.where("doc_id > 1"))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_near_dedup_edges(edge, none):
     got = near_dedup.near_duplicates(edge).collect()
     assert len(got) == edge.count()
