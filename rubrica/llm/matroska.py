@@ -108,6 +108,8 @@ def uint(data: bytes, at: int, end: int) -> int:
 
 
 def real(data: bytes, at: int, end: int) -> float:
+    if end - at not in (0, 4, 8) or end > len(data):
+        raise MatroskaError(f"number of {end - at} bytes at byte {at}")
     return struct.unpack(">f" if end - at == 4 else ">d", data[at:end])[0] if end > at else 0.0
 
 
@@ -126,8 +128,10 @@ def laced(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
     elif lacing == XIPH:
         for _ in range(n - 1):
             size = 0
-            while data[at] == 255:
+            while at < end and data[at] == 255:
                 size, at = size + 255, at + 1
+            if at >= end:
+                raise MatroskaError(f"lacing before byte {at} is cut off")
             sizes.append(size + data[at])
             at += 1
     else:
