@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a minimal acyclic transducer for frequent words.
 
 A tokenizer file becomes a ``Model`` on the driver and is broadcast; its size is that of the vocabulary. Frequent words
-(the vocabulary's own, and those of a sample over the whole table) are compiled with their ids into a minimal acyclic
+(the vocabulary's own, and those counted over every row of the table) are compiled with their ids into a minimal acyclic
 transducer: words share prefixes and suffixes, arcs carry numbers whose sum along a path is the word's place in the list
 of outputs. It is written once as a file, which the workers of a machine map together, read-only. Words it doesn't hold are merged exactly, all distinct words of a slice at a time.
 The lexicon only saves work; ids don't depend on it.
@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, scratch_dir, table, texts_of
+from .common import Scratch, arrow_map, scratch_dir, table, texts_of
 
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 0, 3
 BEYOND = re.compile("[\u0530-\U0010ffff]")
@@ -505,26 +505,39 @@ class Shared:
         return _MAPPED[self.file]
 
 
-def frequent_words(model: Model, df: DataFrame, text: str, sample_rows: int, most: int) -> list[bytes]:
-    """The most frequent words of about ``sample_rows`` rows drawn over the whole table; only speed depends on them."""
+def frequent_words(model: Model, df: DataFrame, text: str, longest: int, most: int) -> list[bytes]:
+    """The most frequent words of at most ``longest`` bytes, counted over every row; only speed depends on them.
+
+    Words of close counts come together, as many such classes as ``most`` words allow, so no more than those are gathered.
+    """
 
     def part(batch: pa.RecordBatch) -> dict:
         data, bounds, owner = model.words([model.normal(t) for t in texts_of(batch, "__t")])
         array = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
-        counts = array.filter(pa.array(owner >= 0)).value_counts()
+        counts = array.filter(pa.array((owner >= 0) & (np.diff(bounds) <= longest))).value_counts()
         return {"word": counts.field("values"), "n": counts.field("counts")}
 
-    share = min(1.0, sample_rows / max(1, df.count()))
-    few = df.select(F.col(text).alias("__t")).sample(share, 20240501)
-    counted = arrow_map(few, ["__t"], "word binary, n long", part, "__t").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.where((F.col("n") > 1) & (F.octet_length("word") <= 64)).orderBy(F.desc("n"), "word").limit(most).collect()
-    return [bytes(r.word) for r in rows]
+    scratch = Scratch(df.sparkSession)
+    try:
+        every = df.select(F.col(text).alias("__t"))
+        counted = arrow_map(every, ["__t"], "word binary, n long", part, "__t").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = scratch.written(counted.where("n > 1"))
+        classes = counted.groupBy(F.floor(F.log2("n") * 8).alias("class")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("words")).collect()
+        total, least = 0, None
+        for c in sorted(classes, key=lambda c: -c.least):
+            total += c.words
+            if total > most:
+                break
+            least = c.least
+        return [] if least is None else [bytes(r.word) for r in counted.where(F.col("n") >= least).collect()]
+    finally:
+        scratch.clear()
 
 
-def shared_model(spark: SparkSession, path: str, df: DataFrame, text: str = "text", sample_rows: int = 500, most: int = 20_000) -> Shared:
-    """The model of a tokenizer file, with the lexicon of its own words and the frequent ones of a sample of ``df``."""
+def shared_model(spark: SparkSession, path: str, df: DataFrame, text: str = "text", longest: int = 64, most: int = 100_000) -> Shared:
+    """The model of a tokenizer file, with the lexicon of its own words and the frequent ones of the whole ``df``."""
     model = Model(path)
-    return Shared(spark, model.compile(frequent_words(model, df, text, sample_rows, most)))
+    return Shared(spark, model.compile(frequent_words(model, df, text, longest, most)))
 
 
 def encode_texts(df: DataFrame, path: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:

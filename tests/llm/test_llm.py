@@ -423,6 +423,33 @@ def test_bpe_workers_share_one_file(spark, edge):
     assert set(bpe.frequent_words(model, late, "text", 200, 50)) >= {b"early", b"late"}
 
 
+@pytest.fixture
+def counted_words(spark):
+    """A table of 4,000 rows of a word each, every word in two rows far apart; and the words."""
+    word = F.concat(F.lit("zq"), F.translate(F.pmod("id", F.lit(2000)).cast("string"), "0123456789", "bcdfghjklm"))
+    docs = spark.range(4000).select(word.alias("text"))
+    return docs, sorted({r.text.encode() for r in docs.collect()})
+
+
+def test_lexicon_counts_every_row(spark, counted_words):
+    docs, words = counted_words
+    lexicon = bpe.shared_model(spark, P.path("byte_bpe_50k.json"), docs).get().lexicon
+    ends = np.cumsum([len(w) for w in words])
+    assert (lexicon.find(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends) >= 0).all()
+
+
+def test_frequent_words_are_those_of_highest_counts(spark, counted_words):
+    model = bpe.Model(P.path("byte_bpe_50k.json"))
+    docs, words = counted_words
+    more = spark.createDataFrame([("many " * 50,), (" some" * 9,), ("y" * 70,), ("y" * 70,), (None,), ("",), ("once",)], "text string")
+    every = docs.union(more)
+    assert sorted(bpe.frequent_words(model, every, "text", 64, 5000)) == sorted([*words, b" many", b" some"])
+    assert sorted(bpe.frequent_words(model, every, "text", 64, 1000)) == [b" many", b" some"]  # the 2,000 of the next count don't fit
+    assert bpe.frequent_words(model, every, "text", 64, 1) == [b" many"]
+    assert bpe.frequent_words(model, every, "text", 64, 0) == bpe.frequent_words(model, every.limit(0), "text", 64, 9) == []
+    assert b"y" * 70 in bpe.frequent_words(model, every, "text", 70, 5000)
+
+
 # packing
 
 
