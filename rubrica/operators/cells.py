@@ -19,6 +19,8 @@ from .lineage import cut
 
 #: Rows of a leaf at most, pivots that a cell is split by at most, and pairs of a block and a slice that a task holds at once.
 BLOCK_ROWS, FAN, PAIRS = 16_384, 64, 4 << 20
+#: Bytes of a packed block.
+PACKED_BYTES = 5 << 20
 #: Slack of the triangle inequality for rounding.
 SLACK = 1e-7
 
@@ -34,9 +36,51 @@ def matrix(column: pa.Array):
     """An array of vectors of one width as a matrix."""
     import numpy as np
 
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def pairs_of_blocks(rows: DataFrame, block_rows: int, parts: tuple[int, int]) -> DataFrame:
+    """q, own, b, other: each block of ``rows`` with each, both as Arrow streams of up to ``block_rows`` rows
+    or about PACKED_BYTES bytes; q and b name them.
+
+    Blocks lie in the shared folder once, in ``parts[0]`` partitions, and each of ``parts[1]`` groups of those meets each of them by
+    a Cartesian product of partitions, which shuffles nothing. A task holds one group; the pairs of a q come together in it.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, count, most = [], 0, None
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, waiting[0].schema) as writer:
+                writer.write_table(pa.Table.from_batches(waiting).combine_chunks())
+            return pa.RecordBatch.from_pydict({"block": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        for batch in batches:
+            if most is None and batch.num_rows:
+                most = max(1, min(block_rows, PACKED_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            while batch.num_rows:
+                waiting.append(batch.slice(0, most - count))
+                count += waiting[-1].num_rows
+                batch = batch.slice(waiting[-1].num_rows)
+                if count == most:
+                    yield out()
+                    waiting, count = [], 0
+        if waiting:
+            yield out()
+
+    blocks = cut(rows.repartition(parts[0], "key").mapInArrow(pack, "block binary").withColumn("id", F.monotonically_increasing_id()))
+    other = blocks.select(F.col("id").alias("b"), F.col("block").alias("other")).coalesce(parts[1])
+    return blocks.select(F.col("id").alias("q"), F.col("block").alias("own")).crossJoin(other.hint("shuffle_replicate_nl"))
+
+
+def unpacked(block: bytes) -> pa.Table:
+    """The rows of a packed block."""
+    with pa.ipc.open_stream(block) as reader:
+        return reader.read_all().combine_chunks()
+
+
 def met_by(held: DataFrame, asked: DataFrame, by: list[str], schema: str, fn: Callable) -> DataFrame:
     """``fn(held rows, a slice of asked rows)`` for each group of ``by``, both as record batches of the columns that the
     tables have in common with the other's as null. A task holds a group's held rows and one slice of its asked ones.

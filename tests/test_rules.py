@@ -538,6 +538,29 @@ def test_scattered_rows_settle_at_the_hub(spark, monkeypatch):
     assert sum(went) < len(vs) // 10
 
 
+@pytest.mark.parametrize("named", [False, True])
+def test_neighbours_of_packed_blocks(spark, named, monkeypatch):
+    """Several blocks, partitions and groups; more equal rows than neighbours, zeros, a row without a vector; no vector is
+    shuffled for a pair of blocks."""
+    monkeypatch.setattr(vectors, "PART_ROWS", 40)
+    monkeypatch.setattr(vectors, "GROUP_ROWS", 70)
+    base = np.random.default_rng(23).normal(size=(150, 6))
+    vs = np.concatenate([base, np.repeat(base[3:5], 9, 0), np.zeros((2, 6))])
+    keys = [f"k{(i * 37) % 997:03}" if named else (i * 37) % 997 for i in range(len(vs))]
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in zip(keys, vs, strict=True)] + [("none" if named else 9999, None)], f"id {'string' if named else 'int'}, v array<double>")
+    found = vectors.neighbours(df, "id", "v", 4, block_rows=16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sides = plan[plan.index("CartesianProduct") :].split("Scan ExistingRDD")[:2]
+    assert not any("Exchange" in side for side in sides)
+    got = {}
+    for r in found.orderBy("key", "rank").collect():
+        got.setdefault(r.key, []).append((round(abs(r.distance), 9), r.other))
+    unit = vs / np.maximum(np.linalg.norm(vs, axis=1, keepdims=True), 1e-300)
+    far = np.round(np.abs(1 - unit @ unit.T), 9)
+    assert got == {k: sorted((far[i, j], o) for j, o in enumerate(keys) if j != i)[:4] for i, k in enumerate(keys)}
+    assert vectors.neighbours(df.limit(0), "id", "v", 4).count() == 0
+
+
 def test_nearest_cosine_in_a_tree(spark):
     """Clustered and scattered rows, copies, zero vectors on either side, blocks smaller than cells."""
     a = np.concatenate([clustered(14, 60), clustered(15, 20, groups=20), np.zeros((1, 8))])
