@@ -8,7 +8,7 @@ from ..operators import quiz, traces
 from ..sources import episodes, files
 from ..streaming import appends, jobs
 from .proxies import G, graded, grades
-from .registry import ORACLES, query, scratch, table
+from .registry import ORACLES, dealt, query, scratch, table
 
 #: Commands made from conversations: some leave the corpus.
 COMMAND_SQL = (
@@ -281,8 +281,9 @@ def io5(spark, sf_dir):
 @query("io6_read_corpus", "SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents WHERE source <> 'src1'")
 def io6(spark, sf_dir):
     path = scratch(spark)
-    d = table(spark, sf_dir, "documents").select("source", F.col("text").alias("value"))
-    d.repartition("source").write.partitionBy("source").option("maxRecordsPerFile", 1).text(path)
+    folder = F.coalesce(F.concat(F.lit("source="), "source"), F.lit("none"))
+    d = dealt(table(spark, sf_dir, "documents").select("source", "text"))
+    episodes.write_tree(d.select(folder.alias("folder"), F.concat(F.monotonically_increasing_id(), F.lit(".txt")).alias("name"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("body")), path)
     roots = [f"source=src{i}" for i in range(20) if i != 1]
     return files.read_corpus(spark, path, roots).agg(F.count(F.lit(1)).alias("files"), F.sum(F.char_length("text")).alias("chars"))
 

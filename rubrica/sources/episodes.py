@@ -17,20 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .files import ContractError, read_episode_tree
+from .files import ContractError, _place, read_episode_tree
 
 SCHEMA = "folder string, name string, body string"
 
 
-def _place(path: str):
-    """(file system, path in it) of a path or address."""
-    from pyarrow import fs
-
-    if "://" not in path:
-        return fs.LocalFileSystem(), path.removeprefix("file:")
-    return fs.FileSystem.from_uri(path)
-
-
 @dataclass
 class Written(WriterCommitMessage):
     files: int
@@ -93,11 +84,16 @@ def write_episode_tree(df: DataFrame, root: str) -> None:
     fs, at = _place(root)
     if fs.get_file_info(at).type.name != "NotFound":
         raise ContractError(f"{root} is there already")
-    spark.dataSource.register(EpisodeTree)
     folder = F.concat_ws("/", F.col("budget").cast("string"), F.concat(F.lit("r"), F.col("rollout").cast("string")))
     body = F.to_json(F.struct(*(c for c in df.columns if c not in ("budget", "rollout", "qid"))))
     files = df.select(folder.alias("folder"), F.concat(F.col("qid").cast("string"), F.lit(".json")).alias("name"), F.coalesce(body, F.lit("{}")).alias("body"))
-    files.repartition("folder", "name").write.format("episode_tree").mode("append").option("path", root).save()
+    write_tree(files.repartition("folder", "name"), root)
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """A file ``{folder}/{name}`` under ``root``, which must not be there yet, for each row of ``files`` (folder, name, body)."""
+    files.sparkSession.dataSource.register(EpisodeTree)
+    files.write.format("episode_tree").mode("append").option("path", root).save()
 
 
 def compact_episode_tree(spark: SparkSession, root: str, schema: str, table: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ EVENT = (
     "usage struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_output_tokens:bigint>, _corrupt_record string"
 )
 MAX_FILE_BYTES = 5_000_000
+#: Bytes of files that a task hands on at once.
+BATCH_BYTES = 16 << 20
 TREE = r"([^/]+)/r(\d+)/([^/]+)\.json$"
 
 
@@ -76,11 +82,80 @@ def text_of(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+def _place(path: str):
+    """(file system, path in it) of a path or address."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        return fs.LocalFileSystem(), path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
+
+
+def _reached(root: str) -> bool:
+    """Whether pyarrow knows the store of ``root``."""
+    try:
+        _place(root)
+    except (ValueError, OSError):
+        return False
+    return True
+
+
+def _hidden(path: str) -> bool:
+    """Whether Spark's readers pass a path by."""
+    return any(p.startswith(".") or p.endswith("._COPYING_") or p.startswith("_") and "=" not in p for p in path.split("/"))
+
+
+def _contents(spark: SparkSession, root: str, roots: list[str], most_bytes: int) -> DataFrame:
+    """path, n_bytes, content: a task lists each of ``roots``, then the paths are dealt out and tasks read the files."""
+    root = root.rstrip("/")
+    store, top = _place(root)
+    if store.get_file_info(top).type.name == "NotFound":
+        raise ContractError(f"there is no {root}")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = _place(root)
+        for batch in batches:
+            for r in batch.column("root").to_pylist():
+                if store.get_file_info(f"{top}/{r}").type != fs.FileType.Directory:
+                    continue
+                found = store.get_file_info(fs.FileSelector(f"{top}/{r}", recursive=True))
+                kept = ((x.path[len(top) + 1 :], x.size) for x in found if x.type == fs.FileType.File and x.size <= most_bytes)
+                while rows := [x for x in itertools.islice(kept, 10_000)]:
+                    paths, sizes = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "n_bytes"]).filter(pa.array([not _hidden(p) for p in paths]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _place(root)
+        for batch in batches:
+            held, size, start = [], 0, 0
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                with store.open_input_stream(f"{top}/{path}") as file:
+                    held.append(file.read())
+                size += len(held[-1])
+                if size > BATCH_BYTES or i + 1 == batch.num_rows:
+                    part = batch.slice(start, len(held))
+                    yield pa.RecordBatch.from_arrays([part.column("path"), part.column("n_bytes"), pa.array(held, pa.binary())], ["path", "n_bytes", "content"])
+                    held, size, start = [], 0, i + 1
+
+    names = spark.createDataFrame([(r.strip("/"),) for r in dict.fromkeys(roots)], "root string").repartition("root")
+    paths = names.mapInArrow(listed, "path string, n_bytes long").distinct()  # a path may lie under several roots
+    return paths.repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInArrow(read, "path string, n_bytes long, content binary")
+
+
 def read_corpus(spark: SparkSession, root: str, roots: list[str], most_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """path, n_bytes, text of files under ``roots`` of ``root``: up to ``most_bytes``, without NUL in their first 8 KiB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_replace("path", f"^.*?{_quoted(root.rstrip('/').rsplit('/', 1)[-1])}/", "")
-    found = files.where(F.col("length") <= most_bytes).select(relative.alias("path"), F.col("length").alias("n_bytes"), "content")
+    """path, n_bytes, text of files under ``roots`` of ``root``: up to ``most_bytes``, without NUL in their first 8 KiB.
+
+    In stores that pyarrow reaches, tasks list and open the files (``_contents``); in others Spark's reader does, whose driver
+    lists them, and which passes empty files by.
+    """
+    if _reached(root):
+        found = _contents(spark, root, roots, most_bytes)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        relative = F.regexp_replace("path", f"^.*?{_quoted(root.rstrip('/').rsplit('/', 1)[-1])}/", "")
+        found = files.where(F.col("length") <= most_bytes).select(relative.alias("path"), F.col("length").alias("n_bytes"), "content")
     under = F.lit(False)
     for r in roots:
         under = under | F.col("path").startswith(r.rstrip("/") + "/")

@@ -45,3 +45,30 @@ def test_ten_thousand_episodes(spark, tmp_path):
     began = time.time()
     episodes.write_episode_tree(df, str(tmp_path / "t"))
     assert time.time() - began < 60 and sum(1 for _ in (tmp_path / "t").rglob("*.json")) == 10_000
+
+
+def test_corpus_is_listed_and_read_in_tasks(spark, tmp_path, monkeypatch):
+    """Nested, hidden, large and binary files, a folder under two roots, a missing one, several batches a task; Spark's own
+    reader, which lists on the driver, gives the same but for empty files."""
+    made = {"a/x y.py": b"one\n", "a/b/z+%20.py": b"\xff2", "a/_done": b"h", "a/.git/c": b"h", "a/_k=1/d": b"k", "a/big": b"b" * 300, "a/nul": b"n\0", "c/e": b"", "other/f": b"no"}
+    for name, body in made.items():
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_bytes(body)
+    monkeypatch.setattr(files, "BATCH_BYTES", 4)
+    read = lambda: sorted(tuple(r) for r in files.read_corpus(spark, f"file://{tmp_path}/tree", ["a", "a/b", "c/", "gone"], 299).collect())
+    got = read()
+    assert got == [("a/_k=1/d", 1, "k"), ("a/b/z+%20.py", 2, "\ufffd2"), ("a/x y.py", 4, "one\n"), ("c/e", 0, "")]
+    with pytest.raises(files.ContractError):
+        files.read_corpus(spark, str(tmp_path / "nothing"), ["a"])
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "read", property(lambda self: pytest.fail("the driver lists")))
+        assert read() == got
+    monkeypatch.setattr(files, "_reached", lambda root: False)
+    assert read() == got[:-1]  # Spark's reader passes empty files by
+
+
+def test_tree_of_equal_sources_is_dealt_out(spark, tmp_path):
+    """Files of one folder are written by several tasks."""
+    df = spark.range(0, 40, 1, 4).select(F.lit("s").alias("folder"), F.col("id").cast("string").alias("name"), F.lit("x").alias("body"))
+    episodes.write_tree(df, str(tmp_path / "tree"))
+    assert len(list((tmp_path / "tree" / "s").iterdir())) == 40
