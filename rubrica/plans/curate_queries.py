@@ -251,7 +251,7 @@ def cs1(spark, sf_dir):
 @query("cs1_grep_indexed", ORACLES["cs1_grep"])
 def cs1_indexed(spark, sf_dir):
     """The same requests through an index of trigrams, which a user would store."""
-    own = cut(lines(spark, sf_dir))
+    own = lines(spark, sf_dir)
     asked = spark.sql(f"SELECT * FROM {PATTERNS.replace('(VALUES', 'VALUES').replace(') AS t', ' AS t')}")
     return codesearch.grep(own, asked, 20, index=cut(codesearch.trigram_index(own)))
 
