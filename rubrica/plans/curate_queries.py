@@ -192,8 +192,10 @@ def cu12(spark, sf_dir):
 
 @query("cu13_excerpt_mismatch", f"{CUT} SELECT qid, span_id FROM x WHERE qid % 10 = 0 OR t IS NULL")
 def cu13(spark, sf_dir):
-    s, l = spans(spark, sf_dir), lines(spark, sf_dir)
-    stored = s.join(curate.excerpts(s, l, ["qid", "span_id"]), ["qid", "span_id"]).withColumn("excerpt", F.when(F.col("qid") % 10 == 0, "changed").otherwise(F.coalesce("recomputed", F.lit("gone")))).drop("recomputed")
+    s = spans(spark, sf_dir)
+    l = curate.cited_lines(s, lines(spark, sf_dir))
+    excerpt = F.when(F.col("qid") % 10 == 0, "changed").otherwise(F.coalesce("recomputed", F.lit("gone")))
+    stored = curate.with_excerpts(s, l).withColumn("excerpt", excerpt).drop("recomputed")
     return curate.excerpt_mismatch(stored, l, ["qid", "span_id"])
 
 

@@ -538,6 +538,23 @@ def test_scattered_rows_settle_at_the_hub(spark, monkeypatch):
     assert sum(went) < len(vs) // 10
 
 
+def test_text_is_not_shuffled_for_a_span(spark):
+    """Many spans of few ranges: a range is cut once, spans move without text; bad ranges and missing lines count as gone."""
+    lines = spark.createDataFrame([("p", i, f"t{i}") for i in range(1, 9)] + [("q", 1, "other")], "path string, line_no int, text string")
+    spans = spark.range(0, 3000, 1, 3).select("id", F.when(F.col("id") % 5 < 4, "p").otherwise("none").alias("path"), (F.col("id") % 3 + 1).cast("int").alias("start_line"), (F.col("id") % 4 + 1).cast("int").alias("end_line"))
+    text = lambda i: "\n".join(f"{n:04d}: t{n}" for n in range(i % 3 + 1, i % 4 + 2)) if i % 5 < 4 and i % 3 <= i % 4 else None
+    kept = curate.cited_lines(spans, lines)
+    assert sorted(r.line_no for r in kept.collect()) == [1, 2, 3, 4]
+    got = {r.id: r.recomputed for r in curate.with_excerpts(spans, kept).collect()}
+    assert got == {i: text(i) for i in range(3000)}
+    assert {r.id: r.recomputed for r in curate.excerpts(spans, lines, ["id"]).collect()} == got
+    stored = curate.with_excerpts(spans, kept).withColumn("excerpt", F.when(F.col("id") % 7 == 0, "changed").otherwise(F.col("recomputed"))).drop("recomputed")
+    found = curate.excerpt_mismatch(stored, kept, ["id"])
+    assert sorted(r.id for r in found.collect()) == list(range(0, 3000, 7))
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x]
+    assert len(joins) == 2 and all("start_line" in x and " id#" not in x for x in joins)  # by ranges, never by keys
+
+
 @pytest.mark.parametrize("named", [False, True])
 def test_neighbours_of_packed_blocks(spark, named, monkeypatch):
     """Several blocks, partitions and groups; more equal rows than neighbours, zeros, a row without a vector; no vector is
