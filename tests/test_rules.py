@@ -555,6 +555,18 @@ def test_text_is_not_shuffled_for_a_span(spark):
     assert len(joins) == 2 and all("start_line" in x and " id#" not in x for x in joins)  # by ranges, never by keys
 
 
+def test_density_clusters_of_scattered_rows_take_no_tree(spark, monkeypatch):
+    """Where the hub settles all rows, no row is copied to leaves: the tree has no rows."""
+    vs = np.random.default_rng(29).normal(size=(600, 4))
+    vs /= np.linalg.norm(vs, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vs)], "id long, v array<double>")
+    grown = []
+    make = cells.PivotTree.__init__
+    monkeypatch.setattr(cells.PivotTree, "__init__", lambda self, rows_, *a: grown.append(rows_.count()) or make(self, rows_, *a))
+    got = {r.id: r.cluster for r in vectors.density_cluster(df, "id", "v", 0.5, 4, 5, block_rows=200).collect()}
+    assert [got[i] for i in range(600)] == brute_clusters(vs, 0.5, 4, 5).tolist() and sum(grown) == 0
+
+
 @pytest.mark.parametrize("named", [False, True])
 def test_neighbours_of_packed_blocks(spark, named, monkeypatch):
     """Several blocks, partitions and groups; more equal rows than neighbours, zeros, a row without a vector; no vector is
